@@ -20,6 +20,11 @@ def heavy_keys(counts: DataFrame, key: str, count: str = "key_rows") -> DataFram
     return counts.where(F.col(count) > 1).orderBy(F.desc(count), key).limit(HEAVY_KEYS).select(key)
 
 
+def hashable(df: DataFrame) -> list[Column]:
+    """All columns in a form that can be hashed (maps cannot be)."""
+    return [F.to_json(F.col(f"`{n}`")) if "map<" in t else F.col(f"`{n}`") for n, t in df.dtypes]
+
+
 def lookup_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
     """Left join to a side with one row per key, without a hot partition.
 
@@ -36,7 +41,7 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame) -
     listed = F.broadcast(heavy.withColumn("_listed", F.lit(True)))
     tagged = left.join(listed, key, "left").join(F.broadcast(hot), key, "left")
     scattered = F.col("_listed").isNotNull() | F.col(key).isNull()
-    spread = F.concat(F.lit("\ufdd2"), F.xxhash64(*[F.col(c) for c in left.columns]).cast("string"))
+    spread = F.concat(F.lit("\ufdd2"), F.xxhash64(*hashable(left)).cast("string"))
     tagged = tagged.withColumn("_join_key", F.when(scattered, spread).otherwise(F.col(key).cast("string")))
     cold = cold.withColumn("_cold_key", F.col("_cold_key").cast("string"))
     joined = tagged.join(cold, F.col("_join_key") == F.col("_cold_key"), "left")

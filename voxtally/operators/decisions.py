@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxtally import fixed
+from voxtally.functions.skew import heavy_keys, key_counts, lookup_join
 
 LOG_SCHEMA = "theme_name string, action string, status string, reviewer_note string, event_time timestamp, event_id string"
 
@@ -106,15 +107,14 @@ def decision_state(log: DataFrame) -> DataFrame:
 def apply_decisions(df: DataFrame, decisions: DataFrame | None, theme: str = "theme_name") -> DataFrame:
     """Adds ``review_status`` and ``reviewer_note`` by theme, with ``pending`` and "" as defaults.
 
-    Decision states hold one row per theme, so only the other side can be
-    large, and it is never shuffled: the decisions for the themes at hand are
-    few and are broadcast.
+    A few themes usually hold most records, so the join treats frequent themes
+    apart instead of shuffling all their rows to one task.
     """
     default = F.col("human_review_status") if "human_review_status" in df.columns else F.lit("pending")
     if decisions is None:
         return df.withColumns({"review_status": default, "reviewer_note": F.lit("")})
-    own = decisions.select(F.col("theme_name").alias("_theme"), F.col("status").alias("_status"), F.col("reviewer_note").alias("_note"))
-    joined = df.join(own, F.col(theme) == F.col("_theme"), "left")
+    own = decisions.select(F.col("theme_name").alias(theme), F.col("status").alias("_status"), F.col("reviewer_note").alias("_note"))
+    joined = lookup_join(df, own, theme, heavy_keys(key_counts(df, theme), theme))
     return joined.withColumns(
         {"review_status": F.coalesce("_status", default), "reviewer_note": F.coalesce("_note", F.lit(""))}
-    ).drop("_theme", "_status", "_note")
+    ).drop("_status", "_note")

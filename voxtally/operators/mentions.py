@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtally import fixed
 from voxtally.functions.exprs import normalize_text, trim_to_null
-from voxtally.functions.skew import heavy_keys, key_counts, lookup_join, newest
+from voxtally.functions.skew import hashable, heavy_keys, key_counts, lookup_join, newest
 from voxtally.functions.values import parse_date
 
 
@@ -19,11 +19,7 @@ def check_feedback(fb: DataFrame) -> None:
 
 def row_order(df: DataFrame) -> Column:
     """What decides between rows with the same id: the ingest position, else the row's content."""
-    return F.col("_row_number") if "_row_number" in df.columns else F.xxhash64(*_hashable(df))
-
-
-def _hashable(df: DataFrame) -> list[Column]:
-    return [F.to_json(F.col(f.name)) if f.dataType.typeName() == "map" else F.col(f.name) for f in df.schema.fields]
+    return F.col("_row_number") if "_row_number" in df.columns else F.xxhash64(*hashable(df))
 
 
 def feedback_facts(fb: DataFrame) -> DataFrame:
