@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from typing import Callable, Iterable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # The characters that count as white space at the edges of a text.
 EDGE_SPACE = (
@@ -22,6 +23,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns that are computed once per row, whatever later steps do with them.
+
+    A filter on a projected column is pushed below the projection with the
+    whole expression copied into it, again at every level.  Columns made by a
+    generator are out of reach for that rule; the generator here yields exactly
+    one row and stays inside generated code.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def strip(column: Column) -> Column:
     return F.btrim(column, F.lit(EDGE_SPACE))
 
@@ -37,14 +49,18 @@ def normalize_text(column: Column) -> Column:
     return F.when((text != "") & (F.lower(text) != "nan"), text)
 
 
+def constant(value, kind: str) -> Column:
+    """A nested constant.  Parsed once by the optimizer's constant folding, whatever its size."""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), kind)
+
+
 def strings(values: Iterable[str]) -> Column:
-    """An array<string> literal, also for an empty list."""
-    values = list(values)
-    return F.lit(values) if values else F.array().cast("array<string>")
+    """An array<string> constant, also for an empty list."""
+    return constant(list(values), "array<string>")
 
 
 def string_map(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(part) for pair in values.items() for part in pair])
+    return constant(values, "map<string,string>")
 
 
 def lexicon_match(text_lower: Column, terms: Iterable[str]) -> Column:

@@ -11,7 +11,7 @@ from typing import Sequence
 from pyspark.sql import Column, functions as F
 
 from voxtally import fixed
-from voxtally.functions.exprs import let, lexicon_match, string_map, strings, word_or_phrase
+from voxtally.functions.exprs import constant, let, lexicon_match, string_map, strings, word_or_phrase
 from voxtally.sources.taxonomy import lexicon
 
 THEME_TYPE = (
@@ -103,7 +103,7 @@ def severity(hits: Column, default: Column) -> Column:
 
 
 def severity_score(label: Column) -> Column:
-    scores = F.create_map(*[F.lit(v) for k, n in fixed.SEVERITY_SCORES.items() for v in (k, float(n))])
+    scores = constant({k: float(v) for k, v in fixed.SEVERITY_SCORES.items()}, "map<string,double>")
     return F.coalesce(F.try_element_at(scores, label), F.lit(1.0))
 
 
@@ -134,21 +134,28 @@ def intent(text_lower: Column, hits: Column, default: Column) -> Column:
 # --- themes -----------------------------------------------------------------
 
 
+RULE_TYPE = (
+    "array<struct<rule_ord:int,theme:string,phrases:array<string>,keywords:array<string>,scale:double,"
+    "product_area:string,default_severity:string>>"
+)
+
+
 def rules_literal(rules: Sequence[dict]) -> Column:
     """The rule table as one constant array of structs."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("rule_ord"),
-                F.lit(r["theme"]).alias("theme"),
-                strings(_theme_terms(r["phrases"])).alias("phrases"),
-                strings(_theme_terms(r["keywords"])).alias("keywords"),
-                F.lit(max(2.0, 0.5 * max(1, len(r["phrases"]) + len(r["keywords"])))).alias("scale"),
-                F.lit(r["product_area"]).alias("product_area"),
-                F.lit(r["default_severity"]).alias("default_severity"),
-            )
+    return constant(
+        [
+            {
+                "rule_ord": i,
+                "theme": r["theme"],
+                "phrases": _theme_terms(r["phrases"]),
+                "keywords": _theme_terms(r["keywords"]),
+                "scale": max(2.0, 0.5 * max(1, len(r["phrases"]) + len(r["keywords"]))),
+                "product_area": r["product_area"],
+                "default_severity": r["default_severity"],
+            }
             for i, r in enumerate(rules)
-        ]
+        ],
+        RULE_TYPE,
     )
 
 
@@ -178,14 +185,14 @@ def theme_scores(hits: Column, rules: Sequence[dict]) -> Column:
     return F.when(F.size(hits) > 0, matched).otherwise(F.slice(scored, 1, 0))
 
 
+SUBTHEME_TYPE = "map<string,array<struct<name:string,terms:array<string>>>>"
+
+
 def subtheme(theme: Column, hits: Column, rules: Sequence[dict]) -> Column:
     """First declared subtheme of the theme with a term in the text, else ``general``."""
-    chain = None
-    for rule in rules:
-        for sub in rule["subthemes"]:
-            test = (theme == rule["theme"]) & has_any(hits, sub["terms"])
-            chain = F.when(test, sub["name"]) if chain is None else chain.when(test, sub["name"])
-    return F.coalesce(chain, F.lit("general")) if chain is not None else F.lit("general")
+    declared = F.try_element_at(constant({r["theme"]: r["subthemes"] for r in rules}, SUBTHEME_TYPE), theme)
+    fitting = F.filter(declared, lambda s: F.arrays_overlap(s["terms"], hits))
+    return F.coalesce(F.get(fitting, F.lit(0))["name"], F.lit("general"))
 
 
 def rank_themes(scores: Column, hits: Column, rules: Sequence[dict]) -> Column:

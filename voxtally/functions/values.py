@@ -72,8 +72,8 @@ def parse_date(raw: Column) -> Column:
     return F.when(date.between(F.lit("1677-09-22").cast("date"), F.lit("2262-04-11").cast("date")), date)
 
 
-def date_error(raw: Column) -> Column:
+def date_error(raw: Column, parsed: Column | None = None) -> Column:
+    """Message for an unreadable date; ``parsed`` is the outcome of ``parse_date`` where it is at hand."""
     text = trim_to_null(raw)
-    return F.when(
-        text.isNotNull() & parse_date(raw).isNull(), F.concat(F.lit("Date '"), text, F.lit("' could not be parsed."))
-    )
+    day = parse_date(raw) if parsed is None else parsed
+    return F.when(text.isNotNull() & day.isNull(), F.concat(F.lit("Date '"), text, F.lit("' could not be parsed.")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtally import fixed
 from voxtally.functions import topics
-from voxtally.functions.exprs import keep, normalize_text, round_half_even, strings
+from voxtally.functions.exprs import keep, normalize_text, round_half_even, settle, strings
 from voxtally.functions.skew import key_counts
 from voxtally.operators.similarity import TfidfModel, tfidf_fallback, tfidf_fit
 from voxtally.sources.taxonomy import DEFAULT_PRESET, load_rules
@@ -32,8 +32,8 @@ def check_input(df: DataFrame, column: str = "masked_text") -> None:
 
 def with_hits(df: DataFrame, rules: Sequence[dict], column: str = "masked_text") -> DataFrame:
     """Adds the normalised text and the list of known terms in it."""
-    text = df.withColumn("_text", normalize_text(F.col(column)))
-    return text.withColumn("_hits", topics.term_hits(F.lower(F.col("_text")), rules))
+    text = normalize_text(F.col(column))
+    return settle(df, _text=text, _hits=topics.term_hits(F.lower(text), rules))
 
 
 def sentiment(df: DataFrame, rules: Sequence[dict] | None = None, column: str = "masked_text") -> DataFrame:
@@ -46,14 +46,12 @@ def with_keyword_themes(df: DataFrame, rules: Sequence[dict], column: str = "mas
     """Adds ``_themes`` (keyword classification); row-local, so it also runs on a stream."""
     hits = with_hits(df, rules, column)
     ranked = topics.rank_themes(topics.theme_scores(F.col("_hits"), rules), F.col("_hits"), rules)
-    return hits.withColumn("_ranked", ranked).withColumn(
-        "_themes", topics.classify_theme(F.col("_text"), F.col("_ranked"))
-    )
+    return settle(hits, _themes=topics.classify_theme(F.col("_text"), ranked))
 
 
 def classify_theme(df: DataFrame, rules: Sequence[dict], column: str = "masked_text") -> DataFrame:
     """Adds the keyword classification as ``theme_result``."""
-    return with_keyword_themes(df, rules, column).withColumnRenamed("_themes", "theme_result").drop("_text", "_hits", "_ranked")
+    return with_keyword_themes(df, rules, column).withColumnRenamed("_themes", "theme_result").drop("_text", "_hits")
 
 
 def needs_fallback() -> Column:
@@ -88,7 +86,7 @@ def classify_themes_batch(
     """Keyword classification with the similarity fallback for weak rows, as ``theme_result``."""
     model = model or tfidf_fit(df, column)
     themed = _with_fallback(with_keyword_themes(df, rules, column), rules, model)
-    return themed.withColumnRenamed("_themes", "theme_result").drop("_text", "_hits", "_ranked")
+    return themed.withColumnRenamed("_themes", "theme_result").drop("_text", "_hits")
 
 
 def combine_confidence(theme_confidence: Column, sentiment_score: Column) -> Column:

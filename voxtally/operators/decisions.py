@@ -107,14 +107,18 @@ def decision_state(log: DataFrame) -> DataFrame:
 def apply_decisions(df: DataFrame, decisions: DataFrame | None, theme: str = "theme_name") -> DataFrame:
     """Adds ``review_status`` and ``reviewer_note`` by theme, with ``pending`` and "" as defaults.
 
-    A few themes usually hold most records, so the join treats frequent themes
-    apart instead of shuffling all their rows to one task.
+    Insights hold one row per theme and are joined plainly.  For records
+    (``theme`` names their theme column) a few themes usually hold most rows,
+    so frequent themes are treated apart instead of being shuffled to one task.
     """
     default = F.col("human_review_status") if "human_review_status" in df.columns else F.lit("pending")
     if decisions is None:
         return df.withColumns({"review_status": default, "reviewer_note": F.lit("")})
     own = decisions.select(F.col("theme_name").alias(theme), F.col("status").alias("_status"), F.col("reviewer_note").alias("_note"))
-    joined = lookup_join(df, own, theme, heavy_keys(key_counts(df, theme), theme))
+    if theme == "theme_name":
+        joined = df.join(own, theme, "left")
+    else:
+        joined = lookup_join(df, own, theme, heavy_keys(key_counts(df, theme), theme))
     return joined.withColumns(
         {"review_status": F.coalesce("_status", default), "reviewer_note": F.coalesce("_note", F.lit(""))}
     ).drop("_status", "_note")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -28,10 +28,14 @@ class Aggregation:
     mentions: DataFrame
     orphans: DataFrame
     total: int
-    excluded: int
     warnings: DataFrame
     invalid_quotes: int = 0
 
+    @cached_property
+    def excluded(self) -> int:
+        """Analysis rows whose id is not in the feedback table; counted on first use."""
+        return self.orphans.agg(F.coalesce(F.sum("analysis_rows"), F.lit(0)).alias("n")).first().n
+
 
 # --- per-theme aggregates over the mention table ----------------------------
 
@@ -229,12 +233,11 @@ def aggregate_themes(
         mentions = stage(mentions, "mentions")
     total = total_records(fb)
     orphans = orphan_ids(analysis, fb)
-    excluded = orphans.agg(F.coalesce(F.sum("analysis_rows"), F.lit(0)).alias("n")).first().n
     warnings = orphans.select("message")
     if total == 0 and fb.isEmpty():
         warnings = warnings.sparkSession.createDataFrame([(fixed.MSG_AGGREGATE_EMPTY,)], "message string")
     insights = build_insights(mentions, total, "user_type" in fb.columns, action_preset)
-    return Aggregation(insights, mentions, orphans, total, excluded, warnings.orderBy("message"))
+    return Aggregation(insights, mentions, orphans, total, warnings.orderBy("message"))
 
 
 # --- ranking ----------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from voxtally import fixed
 from voxtally.functions import pii
+from voxtally.functions.exprs import settle
 
 
 def detect_pii(df: DataFrame, column: str = "feedback_text") -> DataFrame:
@@ -13,7 +14,7 @@ def detect_pii(df: DataFrame, column: str = "feedback_text") -> DataFrame:
     if column not in df.columns:
         raise KeyError(f"Text column '{column}' was not found in the DataFrame.")
     text = F.col(column).cast("string")
-    spans = df.withColumn("_spans", pii.pii_resolve(pii.pii_candidates(text)))
+    spans = settle(df, _spans=pii.pii_resolve(pii.pii_candidates(text)))
     missing = pii.is_missing(text)
     found = F.coalesce(F.size("_spans"), F.lit(0)) > 0
     return spans.withColumns(

@@ -8,7 +8,7 @@ from typing import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtally import fixed
-from voxtally.functions.exprs import keep, strings, trim_to_null
+from voxtally.functions.exprs import keep, settle, strings, trim_to_null
 from voxtally.functions.skew import heavy_keys, key_counts, lookup_join
 from voxtally.functions.values import date_error, parse_date, parse_rating, rating_error
 
@@ -34,13 +34,13 @@ def check_rows(df: DataFrame) -> DataFrame:
 
     Stateless, so it runs on a stream as well.
     """
-    raw = with_feedback_columns(df)
+    raw = settle(with_feedback_columns(df), _day=parse_date(F.col("date")))
     texts = [c for c in fixed.FEEDBACK_COLUMNS if c != "rating"]
     checked = raw.withColumns(
         {
             "_rating_error": rating_error(F.col("rating")),
-            "_date_error": date_error(F.col("date")),
-            "date_normalized": F.date_format(parse_date(F.col("date")), "yyyy-MM-dd"),
+            "_date_error": date_error(F.col("date"), F.col("_day")),
+            "date_normalized": F.date_format("_day", "yyyy-MM-dd"),
             "rating": parse_rating(F.col("rating")),
             **{c: trim_to_null(F.col(c)) for c in texts},
         }

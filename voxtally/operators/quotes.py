@@ -65,14 +65,18 @@ def quote_rows(quotes: DataFrame) -> DataFrame:
     )
 
 
-def _lookup(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def _lookup(left: DataFrame, right: DataFrame, key: str = "_id") -> DataFrame:
     return lookup_join(left, right, key, heavy_keys(key_counts(left, key), key))
 
 
-def validate_quotes(quotes: DataFrame, fb: DataFrame, analysis: DataFrame | None = None) -> DataFrame:
+def validate_quotes(
+    quotes: DataFrame, fb: DataFrame, analysis: DataFrame | None = None, few: bool = False
+) -> DataFrame:
     """Check (theme_name, feedback_id, quote) rows against the masked texts and, if given, the analyses.
 
-    The last feedback row and the last analysis of an id count.
+    The last feedback row and the last analysis of an id count.  ``few`` says
+    that the quotes are those of an insight table, a handful per theme: then
+    only the rows they name are looked at, and no text is shuffled.
     """
     def optional(name: str, kind: str = "string") -> Column:
         column = F.col(name).cast("string") if name in fb.columns else F.lit(None).cast("string")
@@ -84,16 +88,22 @@ def validate_quotes(quotes: DataFrame, fb: DataFrame, analysis: DataFrame | None
         optional("source").alias("_source"), optional("date").alias("_date"), optional("rating", "double").alias("_rating"),
         row_order(fb).alias("_order"),
     ).where("_id is not null")
-    latest = newest(facts, "_id", F.struct("_order", F.xxhash64("_text", "_source", "_date").alias("t")),
-                    "_text", "_source", "_date", "_rating").withColumn("_found", F.lit(True))
     own = ["theme_name", "feedback_id", "quote"]
     asked = quotes.withColumns({"_id": trim_to_null(F.col("feedback_id")), "_quote": strip(F.coalesce("quote", F.lit("")))})
-    joined = _lookup(asked, latest, "_id")
+    named_ids = F.broadcast(asked.select("_id").distinct()) if few else None
+    if few:
+        facts = facts.join(named_ids, "_id", "left_semi")
+    latest = newest(facts, "_id", F.struct("_order", F.xxhash64("_text", "_source", "_date").alias("t")),
+                    "_text", "_source", "_date", "_rating").withColumn("_found", F.lit(True))
+    attach = (lambda left, right: left.join(right, "_id", "left")) if few else _lookup
+    joined = attach(asked, latest)
     supports = F.lit(True)
     if analysis is not None:
         named = F.concat(F.array("primary_theme"), F.transform("secondary_themes", lambda s: s["theme"]))
         claims = analysis.select(F.col("feedback_id").alias("_id"), named.alias("_named"), row_order(analysis).alias("_order"))
-        joined = _lookup(joined, newest(claims, "_id", F.struct("_order", "_named"), "_named"), "_id")
+        if few:
+            claims = claims.join(named_ids, "_id", "left_semi")
+        joined = attach(joined, newest(claims, "_id", F.struct("_order", "_named"), "_named"))
         no_theme = F.coalesce(F.col("theme_name"), F.lit("")) == ""
         supports = no_theme | F.coalesce(F.array_contains("_named", F.col("theme_name")), F.lit(False))
     exact = F.col("_quote") == F.col("_text")
@@ -136,7 +146,7 @@ def revalidate_insights(insights: DataFrame, fb: DataFrame, analysis: DataFrame
     from_evidence = F.transform("evidence_quotes", lambda q: F.struct(q["feedback_id"].alias("feedback_id"), q["quote"].alias("quote")))
     to_check = F.when(F.size("evidence_quotes") > 0, from_evidence).otherwise(from_texts)
     rows = insights.select("theme_name", F.posexplode(to_check).alias("position", "q")).select("theme_name", "position", "q.*")
-    checked = validate_quotes(rows, fb, analysis)
+    checked = validate_quotes(rows, fb, analysis, few=True)
     valid = F.col("validation_status") == "valid"
     quote = F.struct("feedback_id", "quote", "source", "date", "rating", "quote_is_exact", "validation_status", "validation_message")
     first = checked.groupBy("theme_name", "feedback_id", "quote", valid.alias("_ok")).agg(

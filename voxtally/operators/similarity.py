@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxtally import fixed
 from voxtally.functions import topics
-from voxtally.functions.exprs import let, normalize_text, strings
+from voxtally.functions.exprs import constant, let, normalize_text, settle, strings
 
 # Word characters as letters, digits, underscore, plus the Devanagari block inside a word.
 TOKEN = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_\u0900-\u097F]*[\p{L}\p{N}_])?"
@@ -131,10 +131,10 @@ def theme_similarity(df: DataFrame, model: TfidfModel, rules: Sequence[dict], te
     docs = theme_reference_docs(df.sparkSession, rules).withColumn("_terms", terms(F.col("text")))
     vectors = [r.v for r in model.transform(docs, "_terms", "v").orderBy("rule_ord").select("v").collect()]
     used = sorted({int(i) for v in vectors for i in v.indices})
-    zeros = F.array(*[F.lit(0.0) for _ in rules])
+    zeros = constant([0.0] * len(rules), "array<double>")
     if not used:
         return df.withColumn(out, zeros)
-    weights = F.array(*[F.array(*[F.lit(float(v[i])) for v in vectors]) for i in used])
+    weights = constant([[float(v[i]) for v in vectors] for i in used], "array<array<double>>")
     full = model.transform(df, terms_col, "_vector")
     sliced = VectorSlicer(inputCol="_vector", outputCol="_slice", indices=used).transform(full)
 
@@ -171,4 +171,4 @@ def tfidf_fallback(
         )
         return F.when(needed & (b["s"] >= fixed.FALLBACK_MIN_SIMILARITY), chosen)
 
-    return scored.withColumn("_fallback", let(best, build)).drop("_terms", "_similarity")
+    return settle(scored.drop("_terms"), _fallback=let(best, build)).drop("_similarity")

@@ -12,11 +12,14 @@ from voxtally.operators.quality import row_status, valid_rows
 from voxtally.sources.taxonomy import DEFAULT_PRESET
 
 
-def read_feedback_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None, fmt: str = "parquet") -> DataFrame:
-    reader = spark.readStream.schema(schema)
+def read_feedback_stream(
+    spark: SparkSession, folder: str, schema, files: str = "*", files_per_trigger: int | None = None, fmt: str = "parquet"
+) -> DataFrame:
+    """New files of a folder whose names match the pattern ``files``."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.format(fmt).load(path)
+    return reader.format(fmt).load(folder)
 
 
 def clean_stream(feedback: DataFrame) -> DataFrame:

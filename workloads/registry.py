@@ -14,7 +14,7 @@ from voxtally.operators import analysis as an
 from voxtally.operators import decisions as dec
 from voxtally.operators import explore, groups, insights, mentions, present, privacy, quality, quotes, similarity
 from voxtally.plans import pipeline
-from voxtally.session import new_folder
+from voxtally.session import new_folder, stage
 from voxtally.sources import feedback_csv, mapping, sinks
 from voxtally.sources.taxonomy import lexicon, load_rules, load_taxonomy
 from voxtally.streaming import stream
@@ -42,10 +42,6 @@ def joined(column: Column | str) -> Column:
     return F.array_join(column, "|")
 
 
-def key(df: DataFrame) -> Column:
-    return F.col("feedback_id")
-
-
 RAW, MASKED = views.raw_sql(), views.masked_sql()
 AN = (MASKED, sp.analysis_ctes("masked"))
 MENTIONS = (*AN, sp.mention_ctes())
@@ -64,8 +60,8 @@ def mention_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
 
 
 def insight_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
-    rows, total = mention_rows(spark, sf)
-    return insights.build_insights(rows, total), total
+    aggregation = insights.aggregate_themes(*analysed(spark, sf))
+    return aggregation.insights, aggregation.total
 
 
 def ranked_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -737,7 +733,8 @@ EXPLORER = (*AN, f"ex AS ({EXPLORER_SELECT})")
 
 
 def _explorer(spark, sf) -> DataFrame:
-    return explore.explorer_table(*analysed(spark, sf))
+    analysis, fb = analysed(spark, sf)
+    return explore.explorer_table(stage(analysis, "analysis"), fb)
 
 
 @register("explorer_table", query(*EXPLORER, select="SELECT * FROM ex"))
@@ -913,27 +910,27 @@ TIDY_INS = (*TIDY_AN, sp.mention_ctes("safe"), sp.quote_ctes(), sp.insight_ctes(
 
 def tidy(spark, sf) -> DataFrame:
     valid = quality.valid_rows(quality.clean_feedback(views.raw(spark, sf)))
-    return pipeline.mask(valid, materialize=False)
+    return pipeline.mask(valid)
 
 
 def tidy_ranked(spark, sf) -> tuple[DataFrame, insights.Aggregation, DataFrame, DataFrame]:
-    safe = pipeline.mask(quality.valid_rows(quality.clean_feedback(views.raw(spark, sf))))
-    analysis = an.analyze_rows(safe)
+    safe = tidy(spark, sf)
+    analysis = stage(an.analyze_rows(safe), "analysis")
     aggregation = insights.aggregate_themes(analysis, safe)
     return insights.prioritize(aggregation.insights, aggregation.total), aggregation, analysis, safe
 
 
-@register("export_records", query(*TIDY_AN, DECISION_SQL, select="""SELECT feedback_id, masked_text, source, date, CAST(rating AS VARCHAR) AS rating, sentiment, primary_theme,
+@register("export_records", query(*TIDY_AN, DECISION_SQL, select="""SELECT feedback_id, nullif(masked_text, '') AS masked_text, source, date, CAST(rating AS VARCHAR) AS rating, sentiment, primary_theme,
   nullif(secondary_themes, '') AS secondary_themes, severity, intent, product_area, CAST(confidence AS VARCHAR) AS confidence,
   CAST(requires_human_review AS VARCHAR) AS requires_human_review, analysis_method, CAST(NULL AS VARCHAR) AS cluster_id,
   CAST(pii_detected AS VARCHAR) AS pii_detected, nullif(replace(pii_entity_types, '|', ', '), '') AS pii_entity_types,
   coalesce(status, 'pending') AS review_status, reviewer_note
-  FROM an JOIN safe USING (feedback_id) LEFT JOIN dstate ON dstate.theme_name = an.primary_theme"""))
+  FROM an JOIN (SELECT * EXCLUDE (product_area) FROM safe) USING (feedback_id) LEFT JOIN dstate ON dstate.theme_name = an.primary_theme"""))
 def export_records(spark, sf):
     """Written as CSV and read back as text."""
     safe = tidy(spark, sf)
     path = new_folder(spark, "records")
-    sinks.export_records_csv(an.analyze_rows(safe), safe, path, decision_state(spark, sf))
+    sinks.export_records_csv(stage(an.analyze_rows(safe), "analysis"), safe, path, decision_state(spark, sf))
     return spark.read.options(header=True, multiLine=True, escape='"').csv(path)
 
 
@@ -998,8 +995,7 @@ def privacy_gate_masked(spark, sf):
     evidence_strength, warnings, priority_score FROM ins"""))
 def run_pipeline(spark, sf):
     """Untidy rows in, ranked insights out."""
-    safe = pipeline.mask(quality.valid_rows(quality.clean_feedback(views.raw(spark, sf))))
-    ranked = pipeline.run_pipeline(safe).ranked
+    ranked = pipeline.run_pipeline(tidy(spark, sf)).ranked
     flat = _flat_insights(ranked)
     return ranked.select("theme_name", "priority_score").join(flat, "theme_name")
 
@@ -1010,8 +1006,7 @@ def run_pipeline(spark, sf):
 def _event_stream(spark, sf) -> DataFrame:
     """The events file as a stream of event feedback."""
     schema = views.table(spark, sf, "events").schema
-    source = stream.read_feedback_stream(spark, f"{sf}/events.parquet", schema)
-    return source
+    return stream.read_feedback_stream(spark, sf, schema, "events.parquet")
 
 
 def _finish(df: DataFrame, label: str) -> DataFrame:
@@ -1021,7 +1016,7 @@ def _finish(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
-@register("stream_analyze", query(RAW, f"valid AS ({{}})" .format("SELECT _row_number, feedback_id, feedback_text FROM raw"),
+@register("stream_analyze", query(RAW, "valid AS (SELECT _row_number, feedback_id, feedback_text FROM raw)",
                                   sp.pii_ctes("valid", "feedback_text"), sp.pii_masked_cte("valid", "feedback_text", "safe"),
                                   sp.analysis_ctes("safe"), select="SELECT feedback_id, sentiment, primary_theme, severity, intent, confidence, requires_human_review FROM an"))
 def stream_analyze(spark, sf):
@@ -1037,6 +1032,7 @@ def stream_trend(spark, sf):
     """Days that the watermark has closed when the input ends."""
     events = _event_stream(spark, sf)
     rows = views.raw_from(events.withColumn("_ts", F.col("ts")), extra=("_ts",))
-    rows = rows.select((F.col("_row_number") - 2).cast("string").alias("feedback_id"), F.col("feedback_text").alias("masked_text"), F.col("_ts").alias("_row_number"))
+    rows = rows.select((F.col("_row_number") - 2).cast("string").alias("feedback_id"), F.col("feedback_text").alias("masked_text"),
+                       F.col("_ts").cast("timestamp").alias("_row_number"))
     analysis = an.analyze_rows(rows).withColumnRenamed("_row_number", "event_time")
     return _finish(stream.stream_trend(analysis, "event_time"), "trend")
