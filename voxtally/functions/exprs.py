@@ -63,10 +63,39 @@ def string_map(values: dict[str, str]) -> Column:
     return constant(values, "map<string,string>")
 
 
+def shared_words(terms: Iterable[str]) -> list[dict]:
+    """Group terms by a word they share: a text without the word needs no look at any of them.
+
+    The word covering most terms is taken first; a term sharing none stands alone.
+    """
+    left, groups = list(dict.fromkeys(terms)), []
+    while left:
+        cover: dict[str, list[str]] = {}
+        for term in left:
+            for word in dict.fromkeys(term.split()):
+                cover.setdefault(word, [t for t in left if word in t])
+        word = max(cover, key=lambda w: (len(cover[w]), len(w)))
+        members = cover[word] if len(cover[word]) > 1 else [left[0]]
+        groups.append({"word": word if len(members) > 1 else left[0], "terms": members})
+        left = [t for t in left if t not in members]
+    return groups
+
+
+def contained_terms(text_lower: Column, terms: Iterable[str]) -> Column:
+    """Distinct terms contained in the text, in no particular order; two-step search for long lists."""
+    groups = constant(shared_words(terms), "array<struct<word:string,terms:array<string>>>")
+
+    def search(text: Column) -> Column:
+        near = F.filter(groups, lambda g: F.contains(text, g["word"]))
+        return F.flatten(F.transform(near, lambda g: F.filter(g["terms"], lambda t: F.contains(text, t))))
+
+    return let(text_lower, search)
+
+
 def lexicon_match(text_lower: Column, terms: Iterable[str]) -> Column:
     """Terms contained in the text as substrings, distinct, in lexicon order."""
-    vocabulary = strings(dict.fromkeys(terms))
-    return let(text_lower, lambda text: F.filter(vocabulary, lambda term: F.contains(text, term)))
+    terms = list(dict.fromkeys(terms))
+    return let(contained_terms(text_lower, terms), lambda hits: F.array_intersect(strings(terms), hits))
 
 
 def round_half_even(column: Column, digits: int) -> Column:

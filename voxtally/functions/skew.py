@@ -34,16 +34,15 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame) -
     the row, so a recomputed task places it identically.
     """
     payload = [c for c in right.columns if c != key]
-    marked = right.join(F.broadcast(heavy.withColumn("_hot", F.lit(True))), key, "left")
-    as_struct = F.struct(*payload)
-    hot = marked.where("_hot").select(F.col(key), as_struct.alias("_hot_value"))
-    cold = marked.where("_hot is null").select(F.col(key).alias("_cold_key"), as_struct.alias("_cold_value"))
     listed = F.broadcast(heavy.withColumn("_listed", F.lit(True)))
-    tagged = left.join(listed, key, "left").join(F.broadcast(hot), key, "left")
+    marked = right.select(key, F.struct(*payload).alias("_value")).join(listed, key, "left")
+    hot_values = marked.where("_listed").select(key, F.col("_value").alias("_hot_value"))
+    hot = heavy.withColumn("_listed", F.lit(True)).join(F.broadcast(hot_values), key, "left")
+    cold = marked.where("_listed is null").select(F.col(key).cast("string").alias("_cold_key"), F.col("_value").alias("_cold_value"))
+    tagged = left.join(F.broadcast(hot), key, "left")
     scattered = F.col("_listed").isNotNull() | F.col(key).isNull()
     spread = F.concat(F.lit("\ufdd2"), F.xxhash64(*hashable(left)).cast("string"))
     tagged = tagged.withColumn("_join_key", F.when(scattered, spread).otherwise(F.col(key).cast("string")))
-    cold = cold.withColumn("_cold_key", F.col("_cold_key").cast("string"))
     joined = tagged.join(cold, F.col("_join_key") == F.col("_cold_key"), "left")
     value = F.coalesce("_hot_value", "_cold_value")
     return joined.select(*left.columns, *[value[c].alias(c) for c in payload])

@@ -11,7 +11,7 @@ from typing import Sequence
 from pyspark.sql import Column, functions as F
 
 from voxtally import fixed
-from voxtally.functions.exprs import constant, let, lexicon_match, string_map, strings, word_or_phrase
+from voxtally.functions.exprs import constant, contained_terms, let, string_map, strings, word_or_phrase
 from voxtally.sources.taxonomy import lexicon
 
 THEME_TYPE = (
@@ -39,7 +39,7 @@ def vocabulary(rules: Sequence[dict]) -> list[str]:
 
 
 def term_hits(text_lower: Column, rules: Sequence[dict]) -> Column:
-    return F.coalesce(lexicon_match(text_lower, vocabulary(rules)), strings([]))
+    return F.coalesce(contained_terms(text_lower, vocabulary(rules)), strings([]))
 
 
 def found(hits: Column, terms: Sequence[str]) -> Column:
@@ -180,9 +180,15 @@ def theme_scores(hits: Column, rules: Sequence[dict]) -> Column:
             build,
         )
 
-    scored = F.transform(rules_literal(rules), score)
-    matched = F.filter(scored, lambda s: s["raw_score"] > 0)
-    return F.when(F.size(hits) > 0, matched).otherwise(F.slice(scored, 1, 0))
+    # Which rules list a term: only rules with a hit are scored.
+    users: dict[str, list[int]] = {}
+    for i, rule in enumerate(rules):
+        for term in {*_theme_terms(rule["phrases"]), *_theme_terms(rule["keywords"])}:
+            users.setdefault(term, []).append(i)
+    by_term = constant(users, "map<string,array<int>>")
+    touched = F.flatten(F.array_compact(F.transform(hits, lambda h: F.try_element_at(by_term, h))))
+    table = rules_literal(rules)
+    return let(touched, lambda t: F.transform(F.filter(table, lambda r: F.array_contains(t, r["rule_ord"])), score))
 
 
 SUBTHEME_TYPE = "map<string,array<struct<name:string,terms:array<string>>>>"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from voxtally import fixed
-from voxtally.functions.exprs import strip, trim_to_null
+from voxtally.functions.exprs import let, strip, trim_to_null
 
 _NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 _INFINITE = r"(?i)^[+-]?inf(inity)?$"
@@ -58,18 +58,20 @@ def parse_date(raw: Column) -> Column:
     The shape test picks the one or two formats worth trying, so no row pays
     for a list of failing parses.
     """
-    text = F.regexp_replace(F.regexp_replace(strip(raw), _CLOCK, ""), ",", "")
-    shaped = strip(raw)
-    day = F.regexp_replace(shaped, _CLOCK, "")
-    chain = None
-    for shape, first, second in DATE_SHAPES:
-        parsed = F.try_to_timestamp(text, F.lit(first))
-        if second:
-            parsed = F.coalesce(parsed, F.try_to_timestamp(text, F.lit(second)))
-        test = F.rlike(day, F.lit(shape))
-        chain = F.when(test, parsed) if chain is None else chain.when(test, parsed)
-    date = F.to_date(chain)
-    return F.when(date.between(F.lit("1677-09-22").cast("date"), F.lit("2262-04-11").cast("date")), date)
+    def read(text: Column) -> Column:
+        chain = None
+        for shape, first, second in DATE_SHAPES:
+            bare = F.replace(text, F.lit(","), F.lit("")) if "," in shape else text
+            parsed = F.try_to_timestamp(bare, F.lit(first))
+            if second:
+                parsed = F.coalesce(parsed, F.try_to_timestamp(bare, F.lit(second)))
+            test = F.rlike(text, F.lit(shape))
+            chain = F.when(test, parsed) if chain is None else chain.when(test, parsed)
+        return F.to_date(chain)
+
+    date = let(F.regexp_replace(strip(raw), _CLOCK, ""), read)
+    earliest, latest = F.lit("1677-09-22").cast("date"), F.lit("2262-04-11").cast("date")
+    return let(date, lambda d: F.when(d.between(earliest, latest), d))
 
 
 def date_error(raw: Column, parsed: Column | None = None) -> Column:

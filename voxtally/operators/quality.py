@@ -29,30 +29,34 @@ def with_feedback_columns(df: DataFrame) -> DataFrame:
     return df.select(number.alias("_row_number"), *wanted)
 
 
-def check_rows(df: DataFrame) -> DataFrame:
-    """Row-local part of cleaning: trimmed values, parsed rating and date, messages.
+def _trimmed(df: DataFrame) -> DataFrame:
+    texts = [c for c in fixed.FEEDBACK_COLUMNS if c not in ("rating", "date")]
+    return with_feedback_columns(df).withColumns({c: trim_to_null(F.col(c)) for c in texts})
 
-    Stateless, so it runs on a stream as well.
-    """
-    raw = settle(with_feedback_columns(df), _day=parse_date(F.col("date")))
-    texts = [c for c in fixed.FEEDBACK_COLUMNS if c != "rating"]
-    checked = raw.withColumns(
+
+def _with_errors(trimmed: DataFrame) -> DataFrame:
+    checked = settle(trimmed, _day=parse_date(F.col("date")))
+    return checked.withColumns(
         {
+            "_id_error": F.when(F.col("feedback_id").isNull(), fixed.MSG_EMPTY_ID),
+            "_text_error": F.when(F.col("feedback_text").isNull(), fixed.MSG_EMPTY_TEXT),
             "_rating_error": rating_error(F.col("rating")),
             "_date_error": date_error(F.col("date"), F.col("_day")),
             "date_normalized": F.date_format("_day", "yyyy-MM-dd"),
             "rating": parse_rating(F.col("rating")),
-            **{c: trim_to_null(F.col(c)) for c in texts},
-        }
-    )
-    return checked.withColumns(
-        {
-            "_id_error": F.when(F.col("feedback_id").isNull(), fixed.MSG_EMPTY_ID),
-            "_text_error": F.when(F.col("feedback_text").isNull(), fixed.MSG_EMPTY_TEXT),
+            "date": trim_to_null(F.col("date")),
         }
     )
 
 
+def check_rows(df: DataFrame) -> DataFrame:
+    """Row-local part of cleaning: trimmed values, parsed rating and date, messages.
+
+    Stateless, so it runs on a stream as well.
+    """
+    return _with_errors(_trimmed(df))
+
+
 def _own_status() -> Column:
     bad = F.col("_id_error").isNotNull() | F.col("_text_error").isNotNull() | F.col("_rating_error").isNotNull()
     return F.when(bad, "error").when(F.col("_date_error").isNotNull(), "warning").otherwise("valid")
@@ -65,28 +69,37 @@ def row_status(df: DataFrame) -> DataFrame:
     return checked.withColumns({"row_status": _own_status(), "validation_errors": messages}).select(*CLEAN_COLUMNS)
 
 
-def flag_repeats(df: DataFrame, key: str, flag: str) -> DataFrame:
-    """Boolean ``flag``: the non-null key occurs on more than one row."""
-    repeated = key_counts(df, key).where("key_rows > 1")
+def flag_repeats(df: DataFrame, key: str, flag: str, counted: DataFrame | None = None) -> DataFrame:
+    """Boolean ``flag``: the non-null key occurs on more than one row.
+
+    ``counted`` is a cheaper DataFrame with the same rows to count the keys in.
+    """
+    repeated = key_counts(df if counted is None else counted, key).where("key_rows > 1")
     hit = repeated.select(key, F.lit(True).alias(flag))
     joined = lookup_join(df, hit, key, heavy_keys(repeated, key))
     return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
+def _text_key() -> Column:
+    """Digest of the trimmed lower-case text, so no long text is shuffled as a key."""
+    return F.sha2(F.lower(trim_to_null(F.col("feedback_text"))), 256)
+
+
 def flag_duplicate_ids(df: DataFrame) -> DataFrame:
     return flag_repeats(df, "feedback_id", "duplicate_id")
 
 
 def flag_duplicate_text(df: DataFrame) -> DataFrame:
-    """Equal trimmed lower-case text.  Compared by a 256-bit digest, so no long text is shuffled as a key."""
-    keyed = df.withColumn("_text_key", F.sha2(F.lower(trim_to_null(F.col("feedback_text"))), 256))
-    return flag_repeats(keyed, "_text_key", "duplicate_text").drop("_text_key")
+    """Equal trimmed lower-case text, compared by a 256-bit digest."""
+    return flag_repeats(df.withColumn("_text_key", _text_key()), "_text_key", "duplicate_text").drop("_text_key")
 
 
 def checked_rows(df: DataFrame) -> DataFrame:
     """Every row with its messages, both duplicate flags, status and joined messages."""
     own = _own_status()
-    rows = flag_duplicate_text(flag_duplicate_ids(check_rows(df)))
+    rows = _trimmed(df).withColumn("_text_key", _text_key())
+    with_ids = flag_repeats(rows, "feedback_id", "duplicate_id")
+    flagged = flag_repeats(with_ids, "_text_key", "duplicate_text", counted=rows).drop("_text_key")
     # Order of effects: repeated text only touches rows still valid, then a
     # repeated id turns every row that is not yet an error into one.
     text_hit = F.col("duplicate_text") & (own == "valid")
@@ -96,7 +109,7 @@ def checked_rows(df: DataFrame) -> DataFrame:
         F.col("_id_error"), F.col("_text_error"), F.col("_rating_error"), F.col("_date_error"),
         F.when(text_hit, fixed.MSG_DUP_TEXT), F.when(id_hit, fixed.MSG_DUP_ID),
     )
-    return rows.withColumns({"row_status": status, "validation_errors": F.array_join(messages, "; ")})
+    return _with_errors(flagged).withColumns({"row_status": status, "validation_errors": F.array_join(messages, "; ")})
 
 
 def clean_feedback(df: DataFrame) -> DataFrame:

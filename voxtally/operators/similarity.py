@@ -10,13 +10,14 @@ from dataclasses import dataclass
 from math import log
 from typing import Sequence
 
-from pyspark.ml.feature import IDF, CountVectorizerModel, ElementwiseProduct, Normalizer, VectorSlicer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorSlicer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxtally import fixed
 from voxtally.functions import topics
 from voxtally.functions.exprs import constant, let, normalize_text, settle, strings
+from voxtally.session import stage
 
 # Word characters as letters, digits, underscore, plus the Devanagari block inside a word.
 TOKEN = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_\u0900-\u097F]*[\p{L}\p{N}_])?"
@@ -70,7 +71,8 @@ def term_counts(texts: DataFrame, size: int = fixed.TFIDF_VOCABULARY) -> DataFra
     often as the ``size``-th word does, so pairs with a rarer word are dropped
     before they are shuffled.  The rule is exact.
     """
-    words = texts.select(F.explode(tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    counted_words = texts.select(F.explode(tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    words = stage(counted_words, "words")
     leading = words.orderBy(F.desc("n"), "term").limit(size)
     edge = leading.agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).first()
     pairs = texts.select(F.explode(bigrams(tokens(F.col("text")))).alias("term"))
@@ -92,10 +94,12 @@ def tfidf_fit(df: DataFrame, column: str = "masked_text", size: int = fixed.TFID
     vocabulary = tuple(sorted(row.term for row in term_counts(texts, size).collect()))
     if not vocabulary:
         return None
-    empty = TfidfModel(vocabulary, (0,) * len(vocabulary), 0)
-    counted = empty.counts(texts.select(terms(F.col("text")).alias("_terms")), "_terms", "_tf")
-    fitted = IDF(inputCol="_tf", outputCol="_unused").fit(counted)
-    return TfidfModel(vocabulary, tuple(int(n) for n in fitted.docFreq), int(fitted.numDocs))
+    # Document frequencies of the chosen terms only: at most ``size`` groups leave each task.
+    unweighted = TfidfModel(vocabulary, (0,) * len(vocabulary), 0)
+    counted = unweighted.counts(texts.select(terms(F.col("text")).alias("_terms")), "_terms", "_tf")
+    present = counted.select(F.explode(F.unwrap_udt("_tf")["indices"]).alias("i"))
+    found = {row.i: row.n for row in present.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return TfidfModel(vocabulary, tuple(found[i] for i in range(len(vocabulary))), texts.count())
 
 
 def with_vectors(df: DataFrame, model: TfidfModel, column: str = "masked_text", out: str = "tfidf") -> DataFrame:

@@ -119,7 +119,7 @@ def taxonomy(spark, sf):
 
 @register("row_numbering", "SELECT doc_id, doc_id + 2 AS row_number FROM documents")
 def row_numbering(spark, sf):
-    numbered = feedback_csv.number_rows(views.table(spark, sf, "documents").select("doc_id", "_metadata"))
+    numbered = feedback_csv.number_rows(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id"))
     return numbered.select("doc_id", F.col("_row_number").alias("row_number"))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from voxtally.sources.tables import read_table
+
 # Own sentences, picked by event number.  {u} user, {e} event, {p} eight digits, {c} four digits.
 SENTENCES = (
     "Payment failed and money was deducted twice for order {e}.",
@@ -57,7 +59,7 @@ CITIES = ("Mumbai", "Delhi", "Bengaluru", "Chennai")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _sentence() -> Column:
