@@ -37,13 +37,25 @@ def is_missing(text: Column) -> Column:
     return text.isNull() | (bare == "") | (F.lower(bare) == "nan")
 
 
-def _flags(flags: str) -> str:
-    return f"(?{flags}U)"
+# A word character is a letter, a digit or an underscore.  Java's own \b also
+# counts combining marks, so boundaries are spelled out.
+_WORD = r"[\p{L}\p{N}_]"
+_BEGIN, _END = f"(?<!{_WORD})", f"(?!{_WORD})"
+_EDGE = f"(?:{_BEGIN}(?={_WORD})|(?<={_WORD}){_END})"
+
+
+def _regex(flags: str, before: str, span: str, after: str) -> str:
+    """The pattern with the text before it as group 1 and the span as group 2."""
+    begins_in_word = not span.startswith("[a-zA-Z0-9._")
+    ends_in_word = not span.endswith("-]{6,}")
+    before = before.replace(r"\b", _BEGIN if begins_in_word else _EDGE)
+    after = after.replace(r"\b", _END if ends_in_word else _EDGE)
+    return f"(?{flags}U)({before})({span}){after}"
 
 
 def _spans(text: Column, entity: str, flags: str, before: str, span: str, after: str, priority: int, ambiguous: bool) -> Column:
-    regex = f"{_flags(flags)}({before})({span}){after}"
-    marked = F.regexp_replace(F.translate(text, OPEN + CLOSE, STAND_IN), F.lit(regex), F.lit(f"$1{OPEN}$2{CLOSE}"))
+    regex = F.lit(_regex(flags, before, span, after))
+    marked = F.regexp_replace(F.translate(text, OPEN + CLOSE, STAND_IN), regex, F.lit(f"$1{OPEN}$2{CLOSE}"))
     pieces = F.split(marked, f"[{OPEN}{CLOSE}]", -1)
 
     def located(lengths: Column) -> Column:
@@ -126,7 +138,7 @@ def unmasked_types(text: Column) -> Column:
     """Types of personal data still readable in an output text."""
     return keep(
         *[
-            F.when(_NEEDS[entity](text) & F.rlike(text, F.lit(f"{_flags(flags)}{before}{span}{after}")), F.lit(entity))
+            F.when(_NEEDS[entity](text) & F.rlike(text, F.lit(_regex(flags, before, span, after))), F.lit(entity))
             for entity, flags, before, span, after, _, _ in fixed.PII_PATTERNS
             if entity in fixed.GATE_TYPES
         ]
@@ -135,7 +147,7 @@ def unmasked_types(text: Column) -> Column:
 
 def any_unmasked(text: Column) -> Column:
     tests = [
-        _NEEDS[entity](text) & F.rlike(text, F.lit(f"{_flags(flags)}{before}{span}{after}"))
+        _NEEDS[entity](text) & F.rlike(text, F.lit(_regex(flags, before, span, after)))
         for entity, flags, before, span, after, _, _ in fixed.PII_PATTERNS
         if entity in fixed.GATE_TYPES
     ]
