@@ -71,8 +71,11 @@ def ranked_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 # === sources and ingestion ==================================================
 
-CSV_VIEW = """csv AS (SELECT CAST(doc_id AS VARCHAR) AS feedback_id,
-  CASE WHEN text NOT IN ('', 'NA', 'null', 'nan', 'None') THEN text END AS feedback_text, source, lang AS language FROM documents)"""
+# The reader takes a fixed list of texts (``NA``, ``null``, ``nan`` …) as missing; so does the SQL side.
+GIVEN = ", ".join(q(t) for t in feedback_csv.NULL_TEXTS)
+CSV_VIEW = f"""csv AS (SELECT CAST(doc_id AS VARCHAR) AS feedback_id,
+  CASE WHEN text NOT IN ({GIVEN}) THEN text END AS feedback_text, source, lang AS language FROM documents)"""
+CSV_RAW = f"csv_raw AS (SELECT * REPLACE (CASE WHEN feedback_text NOT IN ({GIVEN}) THEN feedback_text END AS feedback_text) FROM raw)"
 
 
 def _write_csv(df: DataFrame, label: str) -> str:
@@ -97,7 +100,7 @@ def map_columns(spark, sf):
     return mapped.withColumn("feedback_id", F.col("feedback_id").cast("string"))
 
 
-@register("load_and_validate", query(RAW, sp.clean_ctes(), select=sp.CLEANED_SELECT.replace("SELECT _row_number,", "SELECT")))
+@register("load_and_validate", query(RAW, CSV_RAW, sp.clean_ctes("csv_raw"), select=sp.CLEANED_SELECT.replace("SELECT _row_number,", "SELECT")))
 def load_and_validate(spark, sf):
     path = _write_csv(views.raw(spark, sf).drop("_row_number"), "raw")
     # Parts are files of their own, so the line number is not the row number of the view.
