@@ -75,7 +75,7 @@ def term_counts(texts: DataFrame, size: int = fixed.TFIDF_VOCABULARY) -> DataFra
     words = stage(counted_words, "words")
     leading = words.orderBy(F.desc("n"), "term").limit(size)
     edge = leading.agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).first()
-    pairs = texts.select(F.explode(bigrams(tokens(F.col("text")))).alias("term"))
+    pairs = texts.select(F.explode(let(tokens(F.col("text")), bigrams)).alias("term"))
     if edge.words == size and edge.least > 1:
         common = words.where(F.col("n") >= edge.least).select(F.col("term").alias("word"))
         parts = F.split("term", " ")
@@ -97,9 +97,10 @@ def tfidf_fit(df: DataFrame, column: str = "masked_text", size: int = fixed.TFID
     # Document frequencies of the chosen terms only: at most ``size`` groups leave each task.
     unweighted = TfidfModel(vocabulary, (0,) * len(vocabulary), 0)
     counted = unweighted.counts(texts.select(terms(F.col("text")).alias("_terms")), "_terms", "_tf")
-    present = counted.select(F.explode(F.unwrap_udt("_tf")["indices"]).alias("i"))
+    # Entry -1 stands for the document itself, so the same pass counts the documents.
+    present = counted.select(F.explode(F.array_append(F.unwrap_udt("_tf")["indices"], F.lit(-1))).alias("i"))
     found = {row.i: row.n for row in present.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return TfidfModel(vocabulary, tuple(found[i] for i in range(len(vocabulary))), texts.count())
+    return TfidfModel(vocabulary, tuple(found[i] for i in range(len(vocabulary))), found[-1])
 
 
 def with_vectors(df: DataFrame, model: TfidfModel, column: str = "masked_text", out: str = "tfidf") -> DataFrame:

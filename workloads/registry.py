@@ -993,10 +993,10 @@ def privacy_gate_masked(spark, sf):
     return sinks.privacy_findings(privacy.mask_pii(views.docs(spark, sf)).select("source", "masked_text"))
 
 
-@register("run_pipeline", query(*TIDY, sp.analysis_ctes("safe", fallback=True), sp.mention_ctes("safe"), sp.quote_ctes(), sp.insight_ctes(), select="""
+@register("ranked_insights", query(*TIDY, sp.analysis_ctes("safe", fallback=True), sp.mention_ctes("safe"), sp.quote_ctes(), sp.insight_ctes(), select="""
   SELECT theme_name, primary_count, secondary_count, mention_count, feedback_percentage, average_rating, confidence, start_date, end_date, quotes,
     evidence_strength, warnings, priority_score FROM ins"""))
-def run_pipeline(spark, sf):
+def ranked_insights(spark, sf):
     """Untidy rows in, ranked insights out."""
     ranked = pipeline.run_pipeline(tidy(spark, sf)).ranked
     flat = _flat_insights(ranked)
