@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core where the input has fewer splits than there are cores.
+    """Use every core where a table scan has fewer splits than there are cores.
 
     Only small inputs have so few splits, so the shuffle is small whenever it
     happens at all; a large table passes through untouched.

@@ -632,11 +632,11 @@ INS_COLUMNS = """theme_name, primary_count, secondary_count, mention_count, feed
   start_date, end_date, quotes, evidence_strength, warnings"""
 
 
-def _flat_insights(df: DataFrame) -> DataFrame:
+def _flat_insights(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(
         "theme_name", "primary_count", "secondary_count", "mention_count", "feedback_percentage", "average_rating", "confidence",
         F.col("date_range.start").alias("start_date"), F.col("date_range.end").alias("end_date"),
-        F.size("evidence_quotes").cast("long").alias("quotes"), "evidence_strength", joined("warnings").alias("warnings"),
+        F.size("evidence_quotes").cast("long").alias("quotes"), "evidence_strength", joined("warnings").alias("warnings"), *extra,
     )
 
 
@@ -998,9 +998,7 @@ def privacy_gate_masked(spark, sf):
     evidence_strength, warnings, priority_score FROM ins"""))
 def ranked_insights(spark, sf):
     """Untidy rows in, ranked insights out."""
-    ranked = pipeline.run_pipeline(tidy(spark, sf)).ranked
-    flat = _flat_insights(ranked)
-    return ranked.select("theme_name", "priority_score").join(flat, "theme_name")
+    return _flat_insights(pipeline.run_pipeline(tidy(spark, sf)).ranked, "priority_score")
 
 
 # === streaming ==============================================================
