@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtally.llm import langid, sharding
+from voxtally.llm import langid, sharding, toxicity
 from voxtally.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,5 +20,9 @@ def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_language_id, op7_feistel_shards)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_language_id, op7_feistel_shards, op8_toxicity)}
 ORACLES: dict[str, str] = {}

@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxtally.session import shared_dir
 
 
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it, unless they are told otherwise.
+
+    Enough for local runs and for folders that all machines mount; elsewhere the package is shipped with ``--py-files``.
+    """
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    return spark
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold(key: str, folds: int) -> Column:
@@ -21,6 +31,7 @@ def fold(key: str, folds: int) -> Column:
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write once under ``spark.checkpoint.dir`` and read back: the lineage ends there, and a lost executor costs a read."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"
+    reachable(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
