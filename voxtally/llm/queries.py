@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtally.llm import langid, quality, sharding, toxicity
+from voxtally.llm import jaccard, langid, quality, sharding, toxicity
 from voxtally.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,5 +28,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_language_id, op7_feistel_shards, op8_toxicity, op9_quality)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.group(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_language_id, op7_feistel_shards, op8_toxicity, op9_quality, op10_ngram_jaccard)}
 ORACLES: dict[str, str] = {}
