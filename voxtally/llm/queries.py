@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtally.llm import bpe, jaccard, langid, packing, quality, sharding, toxicity
+from voxtally.llm import bpe, jaccard, langid, near_vectors, packing, quality, sharding, toxicity
 from voxtally.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op7_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
@@ -41,5 +45,5 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.group(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op4_byte_bpe, op5_language_id, op7_feistel_shards, op8_toxicity, op9_quality, op10_ngram_jaccard)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op4_byte_bpe, op5_language_id, op6_embedding_near_dedup, op7_feistel_shards, op8_toxicity, op9_quality, op10_ngram_jaccard)}
 ORACLES: dict[str, str] = {}
