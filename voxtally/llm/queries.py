@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from voxtally.llm import bpe, jaccard, langid, near_vectors, packing, quality, sharding, topk, toxicity
+from voxtally.llm import bpe, jaccard, langid, near_vectors, packing, quality, secrets, sharding, topk, toxicity
 from voxtally.llm.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.train(docs))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(read(spark, sf_dir, "embeddings"))
     return topk.top_k(vectors.where("id % 20 = 0"), vectors, 20)
@@ -50,5 +55,5 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.group(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op3_exact_top_k, op4_byte_bpe, op5_language_id, op6_embedding_near_dedup, op7_feistel_shards, op8_toxicity, op9_quality, op10_ngram_jaccard)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_exact_top_k, op4_byte_bpe, op5_language_id, op6_embedding_near_dedup, op7_feistel_shards, op8_toxicity, op9_quality, op10_ngram_jaccard)}
 ORACLES: dict[str, str] = {}
