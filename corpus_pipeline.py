@@ -2,18 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from voxtally.llm import langid
+from voxtally.llm import jaccard, langid, packing, secrets, toxicity
 from voxtally.llm.tables import read, store
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told go on."""
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents taken for toxic go; learned from ``labels``."""
+    return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without text or letters, or in no language that can be told, go; learned from the documents' ``lang``."""
     return langid.keep_known(docs)
 
 
-STAGES = [("language_id", language)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id: five-word shingles, similarity 0.8 or more."""
+    return jaccard.keep_one(docs, words=5, percent=80)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are masked; ``n_chars`` follows the text."""
+    masked = secrets.mask(docs, secrets.train(docs))
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in the training sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unknown_language),
+    ("ngram_jaccard", drop_near_copies),
+    ("secret_scan", mask_secrets),
+    ("best_fit_packing", pack_sequences),
+]
 
 #: The trained models and the packing have no SQL form; the tests hold each stage against brute force.
 ORACLE_SQL = None

@@ -1,7 +1,7 @@
 """Near-duplicate texts: an exact Jaccard join over word shingles by T-occurrence search.
 
 1. Each text becomes the set of its hashed shingles; texts with equal sets are one node from here on.
-2. Shingles get one global order: rare ones first, as far as a list of bounded size tells, then by hash. Two sets of similarity t >= 0.9
+2. Shingles get one global order: rare ones first, as far as a list of bounded size tells, then by hash. Two similar sets
    differ in so few shingles that two neighbours in that order are common neighbours of both, near the front (``front``). Sets
    that share such a pair and may match by size are chained. So no match crosses the chains, and their components are the cells of the search.
 3. In each cell (large ones in pairs of blocks) an inverted index answers a T-occurrence query for each set: DivideSkip merges the short lists,
@@ -23,8 +23,8 @@ from voxtally.llm.components import components
 from voxtally.llm.flat import LOWER, mix, slices, span_hashes, text_bytes, word_spans
 from voxtally.llm.tables import partitions, store
 
-#: The bounds of the step 2 chains hold from this similarity (in percent) on.
-LEAST = 90
+#: Words of a shingle and similarity in percent that link two texts, where the caller names none.
+WORDS, PERCENT = 3, 90
 #: Frequent shingles that are told apart from the rest. More would only mean fewer sets in a cell, never other results.
 FREQUENT = 1 << 18
 #: Entries of a task that are combined at once.
@@ -37,7 +37,7 @@ RESIDUES = 1 << 22
 MU = 0.02
 
 
-def shingle_sets(batch: pa.RecordBatch, size: int = 3) -> tuple[list[np.ndarray], np.ndarray]:
+def shingle_sets(batch: pa.RecordBatch, size: int) -> tuple[list[np.ndarray], np.ndarray]:
     """(the sorted set of each text, the id of each set)."""
     data, offsets = text_bytes(batch.column("text"))
     starts, ends, first = word_spans(data, offsets)
@@ -67,37 +67,39 @@ def shingle_sets(batch: pa.RecordBatch, size: int = 3) -> tuple[list[np.ndarray]
     return out, ids
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray]]:
+def _texts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray]]:
     for whole in batches:
         for batch in slices(whole):
-            yield batch, *shingle_sets(batch)
-
-
-def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text, and one for each shingle that several sets of this task hold (kind 1: key is the shingle, n the sets)."""
-    held: list[np.ndarray] = []
-    seen: set[int] = set()
-
-    def repeated() -> pa.RecordBatch:
-        every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-        begin = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
-        count = np.diff(np.append(begin, len(every)))
-        ok = count > 1
-        keys, n = every[begin][ok].view(np.int64), count[ok]
-        held.clear()
-        nulls = pa.nulls(len(keys), pa.int64())
-        return pa.record_batch({"kind": pa.array(np.ones(len(keys), np.int8)), "row": nulls, "doc_id": nulls, "n": pa.array(n.astype(np.int32)), "key": pa.array(keys)})
-
-    for batch, sets, ids in _texts(batches):
-        n = np.array([len(s) for s in sets], np.int32)
-        yield pa.record_batch({"kind": pa.array(np.zeros(len(n), np.int8)), "row": batch.column("row"), "doc_id": batch.column("doc_id"), "n": pa.array(n), "key": pa.array(ids)})
-        for own, key in zip(sets, ids.tolist()):
-            if key not in seen and len(own):
-                seen.add(key)
-                held.append(own)
-        if sum(map(len, held)) > ENTRIES:
-            yield repeated()
-    yield repeated()
+            yield batch, *shingle_sets(batch, words)
+
+
+def _base(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, and one for each shingle that several sets of this task hold (kind 1: key is the shingle, n the sets)."""
+        held: list[np.ndarray] = []
+        seen: set[int] = set()
+        for batch, sets, ids in _texts(batches, words):
+            n = np.array([len(s) for s in sets], np.int32)
+            yield pa.record_batch({"kind": pa.array(np.zeros(len(n), np.int8)), "row": batch.column("row"), "doc_id": batch.column("doc_id"), "n": pa.array(n), "key": pa.array(ids)})
+            for own, key in zip(sets, ids.tolist()):
+                if key not in seen and len(own):
+                    seen.add(key)
+                    held.append(own)
+            if sum(map(len, held)) > ENTRIES:
+                yield _repeated(held)
+                held = []
+        yield _repeated(held)
+
+    return run
+
+
+def _repeated(held: list[np.ndarray]) -> pa.RecordBatch:
+    every = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+    begin = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+    count = np.diff(np.append(begin, len(every)))
+    keys, n = every[begin][count > 1].view(np.int64), count[count > 1]
+    nulls = pa.nulls(len(keys), pa.int64())
+    return pa.record_batch({"kind": pa.array(np.ones(len(keys), np.int8)), "row": nulls, "doc_id": nulls, "n": pa.array(n.astype(np.int32)), "key": pa.array(keys)})
 
 
 def _order(own: np.ndarray, listed: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -108,27 +110,34 @@ def _order(own: np.ndarray, listed: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return (kind << np.uint64(56)) | (own >> np.uint64(8))
 
 
-def front(n: int) -> int:
+def front(n: int, percent: int) -> int:
     """How many of a set's first shingles must be looked at for neighbours.
 
-    For similarity >= 0.9 two sets differ in D <= n / 9 shingles, counted on both sides together, and at most n / 10 of them are this set's.
-    Among the first D + 2 common shingles two follow each other with none of the D between, at place D + 2 + n / 10 at the latest.
+    Let a set of n share all but e of its shingles with another that has e2 more. Similarity t >= 1/2 means e <= (1 - t) n and
+    e2 <= (n - e) / t - n. Of the first e + e2 + 2 common shingles, two follow each other with none of the e + e2 others between them;
+    that is at place e + e2 + 2 of the common ones, and at 2 e + e2 + 2 of this set, at the latest. The sum grows with e.
     """
-    return min(n, n // 9 + n // 10 + 2)
+    e = n * (100 - percent) // 100
+    return min(n, 2 * e + (n - e) * 100 // percent - n + 2)
+
+
+def smallest(percent: int) -> int:
+    """Sets of fewer shingles match equal sets only."""
+    return -(-percent // (100 - percent)) if percent < 100 else 1 << 30
 
 
-def _chain(sig: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+def _chain(sig: np.ndarray, lo: np.ndarray, hi: np.ndarray, percent: int) -> np.ndarray:
     """Which rows, sorted by (sig, lo), begin a chain: another key, or sizes too far from all before."""
     if not len(sig):
         return np.zeros(0, bool)
     new = np.concatenate(([True], sig[1:] != sig[:-1]))
     group = np.cumsum(new)
     top = np.maximum.accumulate(group * (1 << 40) + hi) - group * (1 << 40)
-    new[1:] |= lo[1:] * 9 > top[:-1] * 10
+    new[1:] |= lo[1:] * percent > top[:-1] * 100
     return new
 
 
-def _signatures(frequent):
+def _signatures(frequent, words: int, percent: int):
     """For each set the pairs of neighbours near its front, combined in the task: a chain's first set stands for the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +152,7 @@ def _signatures(frequent):
             held.clear()
             order = np.lexsort((n, sig))
             sig, node, n = sig[order], node[order], n[order]
-            begin = np.flatnonzero(_chain(sig, n, n))
+            begin = np.flatnonzero(_chain(sig, n, n, percent))
             count = np.diff(np.append(begin, len(sig)))
             last = begin + count - 1
             yield _rows(sig[begin], node[begin], n[begin], n[last], None)
@@ -152,12 +161,12 @@ def _signatures(frequent):
             pairs = np.unique(np.column_stack([head[apart], node[apart]]), axis=0)
             yield _rows(pairs[:, 1], pairs[:, 0], np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64), pairs[:, 1])
 
-        for _, sets, ids in _texts(batches):
+        for _, sets, ids in _texts(batches, words):
             for own, key in zip(sets, ids.tolist()):
-                if len(own) < 9 or key in seen:  # smaller sets match equal ones only
+                if len(own) < smallest(percent) or key in seen:
                     continue
                 seen.add(key)
-                first = front(len(own))
+                first = front(len(own), percent)
                 keys = _order(own, listed, rank)
                 keys = np.sort(np.partition(keys, first - 1)[:first]) if first < len(keys) else np.sort(keys)
                 sig = mix(mix(keys[:-1]) ^ keys[1:]).view(np.int64)
@@ -175,39 +184,42 @@ def _rows(sig: np.ndarray, head: np.ndarray, lo: np.ndarray, hi: np.ndarray, mem
         "member": pa.nulls(len(sig), pa.int64()) if member is None else pa.array(member)})
 
 
-def _join_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tie the heads of each chain; rows come sorted by (sig, lo), and a chain goes on from batch to batch."""
-    carry = None
-    for batch in batches:
-        member = batch.column("member")
-        if member.null_count < len(member):
-            ready = batch.filter(member.is_valid())
-            yield pa.record_batch({"a": ready.column("head"), "b": ready.column("member")})
-            batch = batch.filter(member.is_null())
-        if not batch.num_rows:
-            continue
-        sig, head, lo, hi = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("sig", "head", "lo", "hi"))
-        if carry is not None:
-            sig, head, lo, hi = (np.concatenate(([c], x)) for c, x in zip(carry, (sig, head, lo, hi)))
-        begin = np.flatnonzero(_chain(sig, lo, hi))
-        count = np.diff(np.append(begin, len(sig)))
-        first = np.repeat(head[begin], count)
-        apart = first != head
-        if apart.any():
-            pairs = np.unique(np.column_stack([first[apart], head[apart]]), axis=0)
-            yield pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-        tail = begin[-1]
-        carry = (sig[-1], head[tail], lo[tail], hi[tail:].max())
-
-
-def _candidates(wanted):
+def _join_chains(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tie the heads of each chain; rows come sorted by (sig, lo), and a chain goes on from batch to batch."""
+        carry = None
+        for batch in batches:
+            member = batch.column("member")
+            if member.null_count < len(member):
+                ready = batch.filter(member.is_valid())
+                yield pa.record_batch({"a": ready.column("head"), "b": ready.column("member")})
+                batch = batch.filter(member.is_null())
+            if not batch.num_rows:
+                continue
+            sig, head, lo, hi = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("sig", "head", "lo", "hi"))
+            if carry is not None:
+                sig, head, lo, hi = (np.concatenate(([c], x)) for c, x in zip(carry, (sig, head, lo, hi)))
+            begin = np.flatnonzero(_chain(sig, lo, hi, percent))
+            count = np.diff(np.append(begin, len(sig)))
+            first = np.repeat(head[begin], count)
+            apart = first != head
+            if apart.any():
+                pairs = np.unique(np.column_stack([first[apart], head[apart]]), axis=0)
+                yield pa.record_batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+            tail = begin[-1]
+            carry = (sig[-1], head[tail], lo[tail], hi[tail:].max())
+
+    return run
+
+
+def _candidates(wanted, words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         seen: set[int] = set()
-        for _, sets, ids in _texts(batches):
+        for _, sets, ids in _texts(batches, words):
             picked = []
             for i, key in enumerate(ids.tolist()):
-                if len(sets[i]) >= 9 and bits[key % RESIDUES] and key not in seen:
+                if len(sets[i]) >= smallest(percent) and bits[key % RESIDUES] and key not in seen:
                     seen.add(key)
                     picked.append(i)
             if picked:
@@ -291,19 +303,19 @@ def _search(percent: int):
     return run
 
 
-def group(docs: DataFrame, percent: int = LEAST) -> DataFrame:
+def group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``row, doc_id, n_shingles, node, component_id`` for each document; ``row`` is its ``monotonically_increasing_id``.
 
-    Sets: distinct 3-word shingles of the words ``[^\\x20\\x09-\\x0D]+``, A-Z lowered; fewer words are one shingle. Two documents link when
+    Sets: distinct shingles of ``words`` words ``[^\\x20\\x09-\\x0D]+``, A-Z lowered; fewer words are one shingle. Two documents link when
     100 * intersection >= ``percent`` * union. ``component_id`` is the smallest doc_id of the linked documents (null only if all
     their ids are). Null texts and texts without words have an empty set and their own id. Repeated rows are linked like any equal texts.
     An empty table gives no rows; other columns are ignored. ``docs`` is read several times and must come from a table.
     """
-    if percent < LEAST:
-        raise ValueError(f"the search is exact from {LEAST} percent on")
+    if not 50 < percent <= 100:
+        raise ValueError("the search is exact for more than 50 percent")
     spark = docs.sparkSession
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = store(texts.mapInArrow(_base, "kind byte, row long, doc_id long, n int, key long"), "shingle-base")
+    base = store(texts.mapInArrow(_base(words), "kind byte, row long, doc_id long, n int, key long"), "shingle-base")
     rows = base.where("kind = 0").select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("node"))
 
     # Classes of the most frequent shingles; their number is bounded, so they can be broadcast.
@@ -319,10 +331,10 @@ def group(docs: DataFrame, percent: int = LEAST) -> DataFrame:
     order = np.argsort(listed)
     shared = spark.sparkContext.broadcast((listed[order], np.minimum(frequent.column("class").to_numpy(), 255)[order]))
 
-    words = docs.select("text")
-    signed = words.mapInArrow(_signatures(shared), "sig long, head long, lo int, hi int, member long")
+    plain = docs.select("text")
+    signed = plain.mapInArrow(_signatures(shared, words, percent), "sig long, head long, lo int, hi int, member long")
     sorted_rows = signed.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "lo")
-    cells = store(components(sorted_rows.mapInArrow(_join_chains, "a long, b long"), "a", "b"), "cells")
+    cells = store(components(sorted_rows.mapInArrow(_join_chains(percent), "a long, b long"), "a", "b"), "cells")
 
     sizes = rows.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("least"))
     sized = cells.join(sizes.select("node", "n"), "node")
@@ -342,7 +354,7 @@ def group(docs: DataFrame, percent: int = LEAST) -> DataFrame:
     residues = cells.select(F.pmod("node", F.lit(RESIDUES)).cast("int").alias("r")).distinct().toArrow().column("r").to_numpy()
     bits = np.zeros(RESIDUES, bool)
     bits[residues] = True
-    sets = words.mapInArrow(_candidates(spark.sparkContext.broadcast(bits)), "node long, shingles binary")
+    sets = plain.mapInArrow(_candidates(spark.sparkContext.broadcast(bits), words, percent), "node long, shingles binary")
     sets = sets.groupBy("node").agg(F.first("shingles").alias("shingles"))
     links = sets.join(placed, "node").groupBy("task").applyInArrow(_search(percent), "a long, b long")
     groups = store(components(links, "a", "b"), "groups")
@@ -354,11 +366,11 @@ def group(docs: DataFrame, percent: int = LEAST) -> DataFrame:
     return out.select("row", "doc_id", "n_shingles", "node", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "g")
 
 
-def keep_one(docs: DataFrame, percent: int = LEAST) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each group: the one with the smallest id (a null id last), then the first row. All columns stay as they are."""
-    grouped = store(group(docs, percent).where("n_shingles > 0").select("row", "doc_id", "g"), "text-groups")
+    grouped = store(group(docs, words, percent).where("n_shingles > 0").select("row", "doc_id", "g"), "text-groups")
     best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("best")
     several = grouped.groupBy("g").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1")
     dropped = grouped.join(several.select("g", F.col("best.row").alias("stays")), "g").where("row <> stays").select(F.col("row").alias("_row"))
-    columns = docs.columns
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(dropped, "_row", "left_anti").select(*columns)
+    numbered = docs.select(F.struct("*").alias("kept"), F.monotonically_increasing_id().alias("_row"))
+    return numbered.join(dropped, "_row", "left_anti").select("kept.*")

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from voxtally.llm.flat import slices, text_bytes
 from voxtally.llm.tables import fold
@@ -108,49 +109,44 @@ def train(docs: DataFrame, usable: Column) -> Model:
     return Model(langs, log_prob, np.log(prior / prior.sum()))
 
 
-def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to the columns ``keep``: the likeliest learned language of the whole text, and its posterior.
+def predict(docs: DataFrame, model: Model, kept: Column) -> DataFrame:
+    """``kept`` (a struct of any columns), ``lang_pred`` and ``score``: the likeliest learned language of the whole text, and its posterior.
 
     A null text, one without a letter, or a model without languages gives ``und`` with score 0. Ties go to the first language in
     alphabetical order. Only the text is looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*keep, F.col("text").alias("_text"))
-    schema = docs.select(*keep).schema.simpleString()[len("struct<"):-1]
+    given = docs.select(F.col("text").alias("text"), kept.alias("kept"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        names = np.array([*m.langs, UNKNOWN], object)
         for whole in batches:
-            named = whole.rename_columns([*whole.schema.names[:-1], "text"]) if "text" not in keep else pa.RecordBatch.from_arrays([whole.column(len(keep))], ["text"])
-            at = 0
-            for batch in slices(named):
+            for batch in slices(whole):
                 found, lettered = grams(batch)
+                if not m.langs:
+                    yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array([UNKNOWN] * batch.num_rows, pa.string()), pa.array(np.zeros(batch.num_rows))], ["kept", "lang_pred", "score"])
+                    continue
                 total = np.tile(m.prior, (batch.num_rows, 1))
                 for h, begins in found:
                     full = np.flatnonzero(begins[1:] > begins[:-1])
-                    if len(full) and m.langs:
+                    if len(full):
                         total[full] += np.add.reduceat(m.log_prob[h], begins[:-1][full], axis=0, dtype=np.float64)
-                known = lettered & bool(m.langs)
-                best = total.argmax(1) if m.langs else np.zeros(batch.num_rows, np.int64)
-                top = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1) if m.langs else np.zeros(batch.num_rows)
-                names = np.array([*m.langs, UNKNOWN], object)[np.where(known, best, len(m.langs))]
-                out = [whole.column(i).slice(at, batch.num_rows) for i in range(len(keep))]
-                at += batch.num_rows
-                yield pa.RecordBatch.from_arrays([*out, pa.array(names, pa.string()), pa.array(np.where(known, top, 0.0))], [*keep, "lang_pred", "score"])
+                top = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+                best = names[np.where(lettered, total.argmax(1), len(m.langs))]
+                yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(best, pa.string()), pa.array(np.where(lettered, top, 0.0))], ["kept", "lang_pred", "score"])
 
-    return kept.mapInArrow(score, f"{schema}, lang_pred string, score double".lstrip(", "))
+    schema = StructType([given.schema["kept"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return given.mapInArrow(score, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every document; what is held out takes no part in the learning."""
-    marked = docs.select("doc_id", "text", "lang").withColumn("held_out", fold("doc_id", 3) == 1)
-    model = train(marked, ~F.col("held_out"))
-    return predict(marked, model, "doc_id", "held_out")
+    held_out = fold("doc_id", 3) == 1
+    return predict(docs, train(docs, ~held_out), F.struct("doc_id", held_out.alias("held_out"))).select("kept.*", "lang_pred", "score")
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The documents whose language is one of the learned ones; all columns stay as they are."""
-    columns = docs.columns
-    model = train(docs.select("doc_id", "text", "lang"), fold("doc_id", 3) != 1)
-    marked = predict(docs.select(*columns), model, *columns)
-    return marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*columns)
+    marked = predict(docs, train(docs, fold("doc_id", 3) != 1), F.struct("*"))
+    return marked.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).select("kept.*")

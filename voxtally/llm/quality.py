@@ -12,7 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from voxtally.llm.flat import LOWER, expand, mix, slices, span_hashes, text_bytes, word_spans
 from voxtally.llm.tables import fold
@@ -127,10 +128,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """``keep`` (any names), ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on). A null or empty text has the bias alone."""
+def score(docs: DataFrame, model: Model, kept: Column) -> DataFrame:
+    """``kept`` (a struct of any columns), ``score`` (0 to 1), ``predicted`` (1 from 0.5 on). A null or empty text has the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.struct(*keep).alias("kept"))
+    given = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), kept.alias("kept"))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -145,12 +146,11 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
                 p = 1 / (1 + np.exp(-np.clip(dot + m.bias, -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(p)], ["kept", "score"])
 
-    kind = given.schema["kept"].dataType.simpleString()
-    rated = given.mapInArrow(rate, f"kept {kind}, score double").select("kept.*", "score")
+    rated = given.mapInArrow(rate, StructType([given.schema["kept"], StructField("score", DoubleType())]))
     return rated.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document; labels of held-out ids take no part in the learning."""
     model = train(docs, labels.where(fold("doc_id", 3) != 1))
-    return score(docs.select("doc_id", "text", (fold("doc_id", 3) == 1).alias("held_out")), model, "doc_id", "held_out")
+    return score(docs, model, F.struct("doc_id", (fold("doc_id", 3) == 1).alias("held_out"))).select("kept.*", "score", "predicted")

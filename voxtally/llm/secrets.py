@@ -202,11 +202,11 @@ def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
 def mask(docs: DataFrame, scanner: Scanner) -> DataFrame:
     """The same rows and columns, with MASK in place of each secret in ``text``. Each row is worked on by itself."""
     found, around = candidates(F.col("text"))
-    split = settle(docs, _found=found, _around=around)
+    split = settle(docs.select(F.struct("*").alias("kept"), "text"), _found=found, _around=around)
 
     def judged(c: Column, i: Column) -> Column:
         before, after = F.right(F.get("_around", i), F.lit(AROUND)), F.left(F.get("_around", i + 1), F.lit(AROUND))
         return F.concat(F.get("_around", i), F.when(scanner.score(c, before, after) > 0.5, F.lit(MASK)).otherwise(c))
 
     whole = F.concat(F.array_join(F.transform("_found", judged), ""), F.get("_around", F.size("_found")))
-    return settle(split, _masked=F.when(F.size("_found") > 0, whole).otherwise(F.col("text"))).select(*[F.col("_masked").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return split.withColumn("kept", F.col("kept").withField("text", F.when(F.size("_found") > 0, whole).otherwise(F.col("text")))).select("kept.*")

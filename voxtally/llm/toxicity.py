@@ -17,7 +17,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from voxtally.llm.flat import expand, slices, span_hashes, text_bytes
 from voxtally.llm.tables import fold, store
@@ -268,7 +269,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         if turn in (0, 1):  # the clean units taken for toxic ones are learned from next
             hard = _ranked(clean, model).orderBy(F.desc("margin"), "unit").limit(NEGATIVES // 4).collect()
             negatives = list(dict.fromkeys([*negatives, *[r["unit"] for r in hard]]))
-    held = margins(sample.select("bag", "toxic", "text"), model, "toxic").select("toxic", "margin").toArrow()
+    held = margins(sample, model, F.struct("toxic")).select("kept.toxic", "margin").toArrow()
     model.slope, model.offset = _platt(held.column("margin").to_numpy(), held.column("toxic").to_numpy())
     return model
 
@@ -299,35 +300,34 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def margins(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns ``keep`` (any names) and ``margin``, the largest margin of the whole text's units."""
+def margins(docs: DataFrame, model: Model, kept: Column) -> DataFrame:
+    """``kept`` (a struct of any columns) and ``margin``, the largest margin of the whole text's units."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.struct(*keep).alias("kept"))
+    given = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), kept.alias("kept"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(_margins(shared.value, batch))], ["kept", "margin"])
 
-    kind = given.schema["kept"].dataType.simpleString()
-    return given.mapInArrow(score, f"kept {kind}, margin double").select("kept.*", "margin")
+    schema = StructType([given.schema["kept"], StructField("margin", DoubleType())])
+    return given.mapInArrow(score, schema)
 
 
-def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """``keep``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on). Null and empty texts score as a text without units."""
+def score(docs: DataFrame, model: Model, kept: Column) -> DataFrame:
+    """``kept``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on). Null and empty texts score as a text without units."""
     z = F.col("margin") * model.slope + model.offset
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-    return margins(docs, model, *keep).withColumn("score", p).drop("margin").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    p = (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias("score")
+    return margins(docs, model, kept).select("kept", p).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document; labels of held-out ids take no part in the learning."""
     model = train(docs, labels.where(fold("doc_id", 5) != 0))
-    return score(docs.select("doc_id", "text", (fold("doc_id", 5) == 0).alias("held_out")), model, "doc_id", "held_out")
+    return score(docs, model, F.struct("doc_id", (fold("doc_id", 5) == 0).alias("held_out"))).select("kept.*", "score", "predicted")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents not taken for toxic; all columns stay as they are."""
-    columns = docs.columns
     model = train(docs, labels.where(fold("doc_id", 5) != 0))
-    return score(docs, model, *columns).where("predicted = 0").select(*columns)
+    return score(docs, model, F.struct("*")).where("predicted = 0").select("kept.*")
