@@ -113,8 +113,8 @@ def _order(own: np.ndarray, listed: np.ndarray, rank: np.ndarray) -> np.ndarray:
 def front(n: int, percent: int) -> int:
     """How many of a set's first shingles must be looked at for neighbours.
 
-    Let a set of n share all but e of its shingles with another that has e2 more. Similarity t >= 1/2 means e <= (1 - t) n and
-    e2 <= (n - e) / t - n. Of the first e + e2 + 2 common shingles, two follow each other with none of the e + e2 others between them;
+    Let a set of n share all but e of its shingles with another that has e2 more. Similarity t means e <= (1 - t) n and
+    e2 <= (n - e) / t - n; from t = 3/4 on, sets that differ at all have e + e2 + 2 shingles in common. Of the first e + e2 + 2 common shingles, two follow each other with none of the e + e2 others between them;
     that is at place e + e2 + 2 of the common ones, and at 2 e + e2 + 2 of this set, at the latest. The sum grows with e.
     """
     e = n * (100 - percent) // 100
@@ -311,8 +311,8 @@ def group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
     their ids are). Null texts and texts without words have an empty set and their own id. Repeated rows are linked like any equal texts.
     An empty table gives no rows; other columns are ignored. ``docs`` is read several times and must come from a table.
     """
-    if not 50 < percent <= 100:
-        raise ValueError("the search is exact for more than 50 percent")
+    if not 75 <= percent <= 100:
+        raise ValueError("the search is exact from 75 percent on")
     spark = docs.sparkSession
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = store(texts.mapInArrow(_base(words), "kind byte, row long, doc_id long, n int, key long"), "shingle-base")
