@@ -7,6 +7,8 @@ that are not full, and so do the emptiest bins of the others, until the whole co
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,60 +24,100 @@ CAPACITY = 4096
 END = 1
 #: Pieces of a partition; rounds of exchange; dual feasible functions u_k with k up to STEPS.
 PARTITION, ROUNDS, STEPS = 16_384, 12, 24
-#: Words whose ids a worker keeps.
-CACHE = 300_000
+#: Words whose ids a worker keeps, in each of two generations.
+CACHE = 400_000
 # Stands between words that are tokenised together; a word that holds it is tokenised by itself.
 _BETWEEN = "␞"
+# One run of these letters is one pre-token, so the last token of each word tells where the next begins.
+_PLAIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
+_TAIL = ".,;:!?%&$#*|)"
 
-_tokenizers: dict[str, object] = {}
+_tokenizers: dict[str, tuple] = {}
 _known: dict[str, bytes] = {}
+_older: dict[str, bytes] = {}
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> tuple:
+    """(the tokenizer, which ids end a word)."""
     if path not in _tokenizers:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-        _tokenizers[path].encode_special_tokens = True
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        vocabulary = tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        _tokenizers[path] = tokenizer, ends
     return _tokenizers[path]
 
 
-def _word_ids(path: str, words: list[str]) -> list[bytes]:
-    """The ids of each word (no white space inside) as bytes.
+def _encode_together(tokenizer, words: list[str], mark: str) -> np.ndarray:
+    texts = [mark.join(words[k: k + 1_000]) + mark for k in range(0, len(words), 1_000)]
+    return np.concatenate([np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
 
-    Words never share a token, so many are tokenised as one text with a mark between them.
-    """
-    if len(_known) > CACHE:
-        _known.clear()
-    new = [w for w in words if w not in _known]
-    tokenizer = _tokenizer(path)
-    mark = np.array(tokenizer.encode(_BETWEEN, add_special_tokens=False).ids, np.uint32)
-    found: dict[str, bytes] = {}
-    for w in [w for w in new if _BETWEEN in w]:
-        found[w] = np.array(tokenizer.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
-    plain = [w for w in new if _BETWEEN not in w]
-    for i in range(0, len(plain), 20_000):
-        part = plain[i: i + 20_000]
-        texts = [f" {_BETWEEN} ".join(part[k: k + 1_000]) + f" {_BETWEEN}" for k in range(0, len(part), 1_000)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+def _encode_plain(path: str, words: list[str]) -> dict[str, bytes]:
+    """Words of letters only: each is one pre-token and ends with its only end token."""
+    tokenizer, ends = _tokenizer(path)
+    ids = _encode_together(tokenizer, words, " ")
+    stops = (4 * (np.flatnonzero(ends[ids]) + 1)).tolist()
+    raw = ids.tobytes()
+    return {w: raw[a:b] for w, a, b in zip(words, [0, *stops], stops, strict=False)} if len(stops) == len(words) else _encode_others(path, words)
+
+
+def _encode_others(path: str, words: list[str]) -> dict[str, bytes]:
+    """Any words, told apart by a mark."""
+    tokenizer, _ = _tokenizer(path)
+    alone = [w for w in words if _BETWEEN in w]
+    found = {w: np.array(tokenizer.encode(w, add_special_tokens=False).ids, np.uint32).tobytes() for w in alone}
+    words = [w for w in words if _BETWEEN not in w]
+    if words:
+        mark = np.array(tokenizer.encode(_BETWEEN, add_special_tokens=False).ids, np.uint32)
+        ids = _encode_together(tokenizer, words, f" {_BETWEEN} ")
         hit = np.ones(len(ids) - len(mark) + 1, bool)
         for k, m in enumerate(mark):
             hit &= ids[k: k + len(hit)] == m
         ends = np.flatnonzero(hit)
-        starts = np.concatenate(([0], ends[:-1] + len(mark)))
-        raw = ids.tobytes()
-        found.update((w, raw[4 * a: 4 * b]) for w, a, b in zip(part, starts.tolist(), ends.tolist()))
-    out = [found[w] if w in found else _known[w] for w in words]
-    _known.update(found)
-    return out
+        starts, raw = [0, *(ends[:-1] + len(mark)).tolist()], ids.tobytes()
+        found.update((w, raw[4 * a: 4 * b]) for w, a, b in zip(words, starts, ends.tolist()))
+    return found
+
+
+def _word_ids(path: str, words: list[str]) -> list[bytes]:
+    """The ids of each word (no white space inside) as bytes.
+
+    Words never share a token, so many are tokenised as one text. A letter and a sentence mark never do either, so a word is looked
+    up without the marks at its end.
+    """
+    global _known, _older
+    heads, tails = [], []
+    for w in words:
+        head = w.rstrip(_TAIL)
+        if len(head) == len(w) or not head or not head[-1].isalpha():
+            head = w
+        heads.append(head)
+        tails.append(w[len(head):])
+    if len(_known) > CACHE:
+        _known, _older = {}, _known
+    new = []
+    for w in dict.fromkeys([*heads, *tails]):
+        if w not in _known:
+            if w in _older:
+                _known[w] = _older[w]
+            elif w:
+                new.append(w)
+    _known[""] = b""
+    plain = [w for w in new if _PLAIN.fullmatch(w)]
+    for i in range(0, len(plain), 50_000):
+        _known.update(_encode_plain(path, plain[i: i + 50_000]))
+    _known.update(_encode_others(path, [w for w in new if not _PLAIN.fullmatch(w)]))
+    return [_known[a] + _known[b] if b else _known[a] for a, b in zip(heads, tails)]
 
 
 def token_ids(batch: pa.RecordBatch, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, each followed by END; where each text's begin, and the end)."""
-    lists = pc.ascii_split_whitespace(pc.fill_null(batch.column("text"), ""))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))  # the tokenizer lowers case anyway
     words = lists.flatten().dictionary_encode()
     ids = _word_ids(path, words.dictionary.to_pylist())
     ids.append(np.array([END], np.uint32).tobytes())
