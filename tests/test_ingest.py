@@ -10,7 +10,6 @@ from voxtally.operators import insights, privacy, quality
 from voxtally.plans import pipeline
 from voxtally.sources import feedback_csv as csv
 from voxtally.sources import mapping, sinks
-from voxtally.sources.tables import spread
 from voxtally.streaming import stream
 
 HEADER = "Ticket ID,Comment,channel,created-at,stars,notes\n"
@@ -93,7 +92,7 @@ def test_mapping_rules(spark):
         with pytest.raises(error):
             mapping.map_columns(df, wrong)
     twice = spark.createDataFrame([("1", "2")], ["a b", "a-b"])
-    with pytest.raises(mapping.MappingError, match="ambiguous after normalization"):
+    with pytest.raises(mapping.MappingError, match="become equal"):
         mapping.normalize_columns(twice)
     both, message = mapping.try_infer_mapping(spark.createDataFrame([("1", "2")], ["id", "ticket_id"]))
     assert both is None and "feedback_id" in message
@@ -128,7 +127,7 @@ def test_outputs(spark, run, tmp_path):
     sinks.export_insights_csv(run.ranked, str(tmp_path / "insights"), decisions)
     assert len(spark.read.csv(str(tmp_path / "insights"), header=True).columns) == 16
     ids = insights.theme_feedback_ids(run.aggregation.mentions)
-    sinks.export_insights_json(run.ranked, ids, str(tmp_path / "json"), decisions, "now")
+    sinks.export_insights_json(run.ranked, run.aggregation.distributions, ids, str(tmp_path / "json"), decisions, "now")
     documents = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "json" / "insights")).collect()]
     assert documents[0]["priority_components"]["priority_method"] == fixed.PRIORITY_METHOD and "severity_distribution" in documents[0]
     assert spark.read.json(str(tmp_path / "json" / "meta")).first().total_themes == 3
@@ -139,7 +138,7 @@ def test_outputs(spark, run, tmp_path):
     assert lines[0].startswith("# Voice-of-Customer") and "### Payment Failure" in lines and "- **Reviewer Note:** call them" in lines
     assert lines.index("## Dataset Summary") < lines.index("## Detailed Theme Breakdown") < lines.index("## Privacy Statement")
     assert not any("a@b.co" in line for line in lines) and any("[EMAIL_REDACTED]" in line for line in lines)
-    with pytest.raises(Exception, match="Export rejected"):
+    with pytest.raises(Exception, match="personal data of type PHONE|personal data of type EMAIL"):
         bad = spark.createDataFrame([("fees", "approved", "call 9876543210"), ("refund_delay", "approved", "mail x@y.org")], decisions.schema)
         sinks.export_insights_csv(run.ranked, str(tmp_path / "bad"), bad)
 
@@ -157,7 +156,38 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.exceptAll(batch).count() == 0 and got.count() == batch.count() == 15
 
 
-def test_spread_leaves_wide_inputs_alone(spark):
-    narrow, wide = spark.range(10).coalesce(1), spark.range(0, 100, 1, 64)
-    assert spread(narrow).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(wide) is wide
+def test_short_rows_are_kept_and_surplus_fields_are_not(spark, tmp_path):
+    short = 'id,text,rating\n1,hello,4\n2,world\n3,"one, two",\n4\n'
+    got = csv.load_and_validate(spark, write(tmp_path, "short.csv", short))
+    rows = {r["_row_number"]: r for r in got.all_rows.collect()}
+    assert [(rows[n].feedback_id, rows[n].feedback_text, rows[n].rating) for n in range(2, 6)] == [("1", "hello", 4.0), ("2", "world", None), ("3", "one, two", None), ("4", None, None)]
+    assert [rows[n].row_status for n in range(2, 6)] == ["valid", "valid", "valid", "error"]
+    for name, text in (("wide.csv", 'id,text\n1,"a,b"\n2,a,b\n'), ("lines.csv", 'id,text\n1,"a\nb"\n2,"a\nb",c\n')):
+        with pytest.raises(csv.MalformedCsvError, match="Row 3"):
+            csv.load_and_validate(spark, write(tmp_path, name, text))
+
+
+def test_files_are_split_unless_a_field_has_a_line_break(spark, tmp_path):
+    plain = write(tmp_path, "plain.csv", "id,text\n" + "".join(f'{i},"text, ""{i}"" {"x" * 30}"\n' for i in range(3000)))
+    broken = write(tmp_path, "broken.csv", "id,text\n" + "".join(f'{i},"text\n{i} {"x" * 30}"\n' for i in range(3000)))
+    assert csv.line_facts(spark, plain).open_quotes == 0 and csv.line_facts(spark, broken).open_quotes == 6000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        for path in (plain, broken):
+            rows = csv.read_feedback_csv(spark, path).rows.select("id", "_row_number").collect()
+            assert sorted((int(r.id), r["_row_number"]) for r in rows) == [(i, i + 2) for i in range(3000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_few_scans_of_the_file(spark, tmp_path):
+    got = csv.load_and_validate(spark, write(tmp_path, "feedback.csv", HEADER + BODY))
+    for table in (got.all_rows, got.report, got.issues, got.messages):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan csv" not in plan and plan.count("FileScan parquet") == 1
+
+
+def test_parquet_rows_are_numbered_in_one_pass(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = csv.number_parquet_rows(spark.read.parquet(str(tmp_path / "t")).select("id", "_metadata"))
+    assert all(r["_row_number"] == r.id + 2 for r in rows.collect())

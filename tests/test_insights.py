@@ -10,6 +10,7 @@ from voxtally.operators import decisions as dec
 from voxtally.operators import explore, insights, mentions, present, quotes
 from voxtally.functions import skew
 from voxtally.functions.topics import THEME_TYPE
+from voxtally.sources import sinks
 
 AN = f"""_row_number long, feedback_id string, sentiment string, primary_theme string, primary_confidence double, secondary_themes {THEME_TYPE},
   severity string, confidence double, intent string, product_area string, requires_human_review boolean, analysis_method string, cluster_id int"""
@@ -43,8 +44,11 @@ def test_counts_distributions_trend(spark):
     fees, refund = rows["fees"], rows["refund_delay"]
     assert (fees.primary_count, fees.secondary_count, fees.mention_count, fees.feedback_percentage) == (1, 1, 2, 50.0)
     assert (refund.primary_count, refund.secondary_count, refund.average_rating) == (2, 0, 4.0)  # last row of d counts
-    assert fees.severity_distribution == {"medium": 1, "high": 1} and fees.source_distribution == {"email": 1, "unknown": 1}
-    assert fees.segment_distribution == {"retail": 1, "unknown": 1} and fees.trend_data == {"2025-01-01": 1, "2025-01-02": 1}
+    counts = {(r.kind, r.value): r.records for r in agg.distributions.where("theme_name = 'fees'").collect()}
+    assert fees.severity_distribution == {"medium": 1, "high": 1} and {k: v for k, v in counts.items() if k[0] == "severity"} == {("severity", "medium"): 1, ("severity", "high"): 1}
+    assert {k[1]: v for k, v in counts.items() if k[0] == "source"} == {"email": 1, "unknown": 1}
+    assert {k[1]: v for k, v in counts.items() if k[0] == "segment"} == {"retail": 1, "unknown": 1}
+    assert {k[1]: v for k, v in counts.items() if k[0] == "day"} == {"2025-01-01": 1, "2025-01-02": 1}
     assert refund.sentiment_distribution == {"negative": 1, "mixed": 1} and refund.date_range == ("2025-01-01", "2025-01-01")
     assert fees.confidence == 0.5 and fees.evidence_strength == "weak" and fixed.MSG_FEW_RECORDS in fees.warnings
     assert refund.possible_root_causes[0] == "Observed evidence: 2 feedback record(s) mention refund delay."
@@ -52,17 +56,20 @@ def test_counts_distributions_trend(spark):
     assert {r.feedback_id for r in insights.theme_feedback_ids(agg.mentions).where("theme_name = 'refund_delay'").collect()} == {"a", "d"}
     assert {r.feedback_id for r in mentions.exclude_orphans(an, fb).collect()} == {"a", "b", "c", "d"}
     no_user = insights.aggregate_themes(an, fb.drop("user_type", "rating", "date", "source"))
-    assert no_user.insights.first().segment_distribution == {} and no_user.insights.first().average_rating is None
+    assert no_user.distributions.where("kind = 'segment'").isEmpty() and no_user.insights.first().average_rating is None
     with pytest.raises(KeyError, match="masked_text"):
         mentions.feedback_facts(fb.drop("masked_text"))
 
 
-def test_open_maps_beyond_the_limit_become_null(spark, monkeypatch):
-    monkeypatch.setattr(insights, "MAP_VALUES", 2)
-    an, fb = frames(spark, [an_row(i, str(i)) for i in range(4)], [fb_row(i, str(i), f"t{i}", f"s{i}") for i in range(4)])
-    row = insights.aggregate_themes(an, fb, materialize=False).insights.first()
-    assert row.source_distribution is None and row.segment_distribution == {"retail": 4}
-    assert insights.distribution(mentions.mention_table(an, fb), "source").count() == 4
+def test_every_source_is_counted_however_many(spark, tmp_path):
+    n = 10_200
+    an, fb = frames(spark, [an_row(i, str(i)) for i in range(n)], [fb_row(i, str(i), f"text {i}", f"s{i}") for i in range(n)])
+    agg = insights.aggregate_themes(an, fb)
+    sources = agg.distributions.where("kind = 'source'")
+    assert sources.count() == n and sources.where("records <> 1").isEmpty()
+    sinks.export_insights_json(insights.prioritize(agg.insights, agg.total), agg.distributions, insights.theme_feedback_ids(agg.mentions), str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/distributions").where("kind = 'source'").count() == n
+    assert present.format_distribution(agg.distributions, "source").first().text.count(",") == n - 1
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -123,14 +130,25 @@ def test_priority(spark):
     assert all(r.priority_score == 0 for r in insights.prioritize(df, 0).collect())
 
 
-def test_lookup_join_matches_plain_join(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HEAVY_KEYS", 2)
-    rng = random.Random(1)
-    left = [(i, rng.choice(["hot", "hot", "warm", "absent", None, f"k{i % 20}"])) for i in range(300)]
-    right = [("hot", 1), ("warm", 2), *[(f"k{i}", 10 + i) for i in range(15)]]
-    a, b = spark.createDataFrame(left, "n int, key string"), spark.createDataFrame(right, "key string, v int")
-    got = sorted((r.n, r.v) for r in skew.lookup_join(a, b, "key", skew.heavy_keys(skew.key_counts(a, "key"), "key")).collect())
-    assert got == sorted((n, dict(right).get(k)) for n, k in left)
+def test_rows_of_one_key_are_split(spark):
+    """20 000 rows of one key, and as many without a key, do not stay in one task."""
+    names = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        right = spark.range(200).select(F.concat(F.lit("k"), F.col("id")).alias("key"), F.col("id").alias("v"))
+        for hot in (F.lit("k7"), F.lit(None).cast("string")):
+            text = F.sha2(F.col("id").cast("string"), 256).alias("text")
+            left = spark.range(0, 20_000, 1, 8).select(hot.alias("key"), text).union(spark.range(200).select(F.concat(F.lit("k"), F.col("id")), text))
+            joined = skew.lookup_join(left, right, "key").withColumn("task", F.spark_partition_id())
+            rows = joined.groupBy("task").agg(F.count(F.lit(1)).alias("count"), F.max("text")).collect()  # the texts give the rows their size
+            assert sum(r["count"] for r in rows) == 20_200 and max(r["count"] for r in rows) < 12_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_explorer(spark):
@@ -156,11 +174,12 @@ def test_presentation(spark):
     row = insights.prioritize(agg.insights, agg.total).select(
         present.impact_level().alias("impact"), present.urgency().alias("urgency"), present.theme_label(F.col("theme_name")).alias("label"),
         present.evidence_label(F.col("evidence_strength")).alias("ev"), present.insight_warnings().alias("w"),
-        present.format_distribution(F.col("source_distribution")).alias("dist"), present.short_explanation(F.col("theme_name")).alias("why"),
-        present.format_distribution(F.create_map().cast("map<string,bigint>")).alias("none"), present.status_label(F.lit("needs_more_evidence")).alias("st"),
+        present.short_explanation(F.col("theme_name")).alias("why"), present.status_label(F.lit("needs_more_evidence")).alias("st"),
     ).first()
     assert (row.impact, row.urgency, row.label, row.ev) == ("Medium", "P1 High", "Refund Delay", "Weak")
-    assert row.w == [fixed.WARN_WEAK, fixed.WARN_LOW_CONFIDENCE] and row.dist == "s0: 3, s1: 2" and row.none == "—"
+    assert row.w == [fixed.WARN_WEAK, fixed.WARN_LOW_CONFIDENCE]
+    assert present.format_distribution(agg.distributions, "source").first().text == "s0: 3, s1: 2"
+    assert present.format_distribution(agg.distributions.where("false"), "source", agg.insights).first().text == "—"
     assert row.why.startswith("Observed evidence") and row.st == "Needs more evidence"
     assert present.overview_stats(agg.insights, agg.total).first() == (5, 1, 0, 0)
     assert present.theme_detail_metrics(agg.mentions).first() == ("refund_delay", 5, 0, "s0")

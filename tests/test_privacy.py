@@ -85,15 +85,22 @@ def test_gate_rejects_nested_values_and_raw_columns(spark):
     bad = spark.createDataFrame([(1, [("x", {"k": "call 9876543210"})])], "n int, a array<struct<t:string,m:map<string,string>>>")
     with pytest.raises(sinks.ExportPrivacyError, match="PHONE"):
         sinks.privacy_gate(bad)
-    with pytest.raises(sinks.ExportPrivacyError, match="Forbidden column"):
+    with pytest.raises(sinks.ExportPrivacyError, match="raw-text column"):
         sinks.privacy_gate(spark.createDataFrame([("x",)], "original_text string"))
+    keyed = spark.createDataFrame([({"original_text": "x"},)], "m map<string,string>")
+    with pytest.raises(sinks.ExportPrivacyError, match="as a key"):
+        sinks.privacy_gate(keyed)
+    with pytest.raises(Exception, match="as a key"):
+        sinks.guarded(keyed).collect()
+    with pytest.raises(sinks.ExportPrivacyError, match="EMAIL"):
+        sinks.privacy_gate(spark.createDataFrame([({"a@b.co": [1]},)], "m map<string,array<int>>"))
     good = spark.createDataFrame([("[PHONE_REDACTED] ok", 9876543210)], "t string, n long")
     assert sinks.privacy_gate(good).count() == 1
 
 
 def test_guarded_write_commits_nothing(spark, tmp_path):
     df = spark.createDataFrame([("fine",), ("mail a@b.co",)], "t string")
-    with pytest.raises(Exception, match="Export rejected"):
+    with pytest.raises(Exception, match="personal data of type EMAIL"):
         sinks.write_csv(df, str(tmp_path / "out"))
     assert not (tmp_path / "out" / "_SUCCESS").exists()
 
@@ -102,3 +109,15 @@ def test_masking_is_stable_on_its_output(spark):
     df = spark.createDataFrame([(t,) for t in CASES], "feedback_text string")
     once = privacy.mask_pii(df).selectExpr("masked_text AS feedback_text")
     assert all(row.rows == 0 for row in sinks.privacy_findings(once.withColumnRenamed("feedback_text", "t")).collect())
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Offsets, resolution and masking stay in proportion to the text."""
+    import time
+
+    text = " ".join(f"mail user{i}@example.com or 98{i:08}" for i in range(6_000))
+    df = spark.createDataFrame([(text,)], "feedback_text string")
+    start = time.time()
+    row = privacy.detect_pii(df).first()
+    assert time.time() - start < 60 and len(row.entities) == 12_000
+    assert row.masked_text == " ".join("mail [EMAIL_REDACTED] or [PHONE_REDACTED]" for _ in range(6_000))

@@ -35,7 +35,6 @@ REVIEW_STATUS_LABELS = {
 }
 ANALYSIS_METHODS = ("local_rule_based", "keyword_rule", "tfidf_fallback", "exploratory_cluster", "unknown")
 EVIDENCE_STRENGTHS = ("weak", "moderate", "strong")
-QUOTE_STATUSES = ("valid", "invalid", "missing_source", "missing_feedback_id", "requires_review")
 SEVERITY_SCORES = {"low": 1, "medium": 2, "high": 4, "critical": 5, "unknown": 1}
 UNCOUNTED_THEMES = ("unknown", "other")
 
@@ -110,6 +109,11 @@ MSG_QUOTE_EMPTY = "Quote text is empty."
 MSG_QUOTE_NOT_EXCERPT = "Quote is not an exact masked_text match or contiguous excerpt."
 MSG_QUOTE_NOT_SUPPORTING = "Quote does not support the associated theme."
 MSG_QUOTE_VALID = "Quote validated against masked_text."
+OBSERVED, INTERPRETED, SUGGESTED = "Observed evidence: ", "Possible interpretation: ", "Suggested action: "
+MENTIONED = " feedback record(s) mention "
+QUOTES_TO_REVIEW = " quote(s) require review before use as evidence."
+GENERIC_EXPLANATION = "Customers are repeatedly reporting issues related to "
+ORPHAN_BEFORE, ORPHAN_AFTER = "Analysis result for feedback_id '", "' excluded: ID not found in masked feedback DataFrame."
 GENERIC_ROOT_CAUSE = "Repeated masked feedback patterns suggest a recurring customer-facing issue."
 ROOT_CAUSE_CAVEAT = "This is a suggested interpretation and requires PM validation."
 GENERIC_ACTION = "Review supporting masked feedback and validate the next product investigation step."
@@ -123,3 +127,37 @@ DISCLAIMER = (
     "Results describe patterns in the uploaded dataset only. Suggested actions are prototype outputs "
     "and require product-manager validation."
 )
+
+# --- the Markdown report: headings and labels that readers of the file rely on ---
+REPORT = {
+    "title": "# Voice-of-Customer Executive Report",
+    "generated": "**Report generated:**",
+    "summary": "## Dataset Summary",
+    "records": "- **Total feedback records (uploaded):**",
+    "analyzed": "- **Valid records analyzed:**",
+    "themes": "- **Total theme insights:**",
+    "overview": "## Theme Insights Overview",
+    "overview_columns": "| Theme | Priority | Mentions | Primary | Secondary | % Feedback | Evidence Strength | Status |",
+    "overview_rule": "|---|---|---|---|---|---|---|---|",
+    "details": "## Detailed Theme Breakdown",
+    "score": "- **Priority Score:**",
+    "components": "  - Components: Frequency=%s, Severity=%s, Confidence=%s",
+    "mentions": "- **Mention Count:** %d (Primary: %d, Secondary: %d)",
+    "percentage": "- **Feedback Percentage:**",
+    "strength": "- **Evidence Strength:** %s (Confidence: %s)",
+    "status": "- **Review Status:**",
+    "note": "- **Reviewer Note:**",
+    "ids": "- **Supporting Feedback IDs:**",
+    "no_ids": "None",
+    "quotes": "- **Validated Masked Quotes:**",
+    "causes": "- **Possible Root Causes (PM Validation Required):**",
+    "actions": "- **Suggested Product Actions (Suggestions Only):**",
+    "methods": "## Methodology & Limitations",
+    "method_notes": (
+        "- Themes come from keyword rules, with TF-IDF similarity where no rule is sure enough.",
+        "- All figures describe the records of this run and nothing else.",
+        "- The priority score multiplies how often, how severe and how certain.",
+    ),
+    "privacy": "## Privacy Statement",
+    "privacy_note": "Only masked texts are exported; the write stops at the first readable personal detail.",
+}

@@ -34,6 +34,23 @@ def settle(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
 
+def running_totals(values: Column, block: int = 256) -> Column:
+    """For each long of an array the sum of those before it.
+
+    A fold copies its growing array at each step, which is quadratic in the length of the array; blocks keep that small.
+    """
+    def run(part: Column, first: Column) -> Column:
+        start = F.struct(F.array().cast("array<long>").alias("sums"), first.alias("total"))
+        step = lambda s, x: F.struct(F.array_append(s["sums"], s["total"]).alias("sums"), (s["total"] + x).alias("total"))
+        return F.reduce(part, start, step)["sums"]
+
+    zero = F.lit(0).cast("long")
+    last = F.greatest(F.lit(0), F.floor((F.size(values) - 1) / block)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * block + 1, F.lit(block)))
+    whole = lambda p: F.transform(p, lambda x: F.reduce(x, zero, lambda s, v: s + v))
+    return let(parts, lambda p: F.flatten(F.zip_with(p, run(whole(p), zero), run)))
+
+
 def strip(column: Column) -> Column:
     return F.btrim(column, F.lit(EDGE_SPACE))
 

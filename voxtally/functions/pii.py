@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from voxtally import fixed
-from voxtally.functions.exprs import keep, let, strip
+from voxtally.functions.exprs import let, running_totals, strip
 
 OPEN, CLOSE = "\ufdd0", "\ufdd1"
 STAND_IN = "\ufffd\ufffd"
@@ -59,17 +59,17 @@ def _spans(text: Column, entity: str, flags: str, before: str, span: str, after:
     pieces = F.split(marked, f"[{OPEN}{CLOSE}]", -1)
 
     def located(lengths: Column) -> Column:
-        def at(i: Column) -> Column:
-            start = F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda total, n: total + n)
-            size = F.get(lengths, i)
+        """Pieces alternate between text and span."""
+        def at(start: Column, size: Column) -> Column:
             return F.struct(
-                F.lit(priority).alias("priority"), start.alias("start"), (-size).alias("neg_length"),
-                (start + size).alias("stop"), F.lit(entity).alias("entity_type"), F.lit(ambiguous).alias("ambiguous"),
+                F.lit(priority).alias("priority"), start.cast("int").alias("start"), (-size).cast("int").alias("neg_length"),
+                (start + size).cast("int").alias("stop"), F.lit(entity).alias("entity_type"), F.lit(ambiguous).alias("ambiguous"),
             )
 
-        return F.when(F.size(lengths) > 1, F.transform(F.sequence(F.lit(1), F.size(lengths) - 1, F.lit(2)), at))
+        spans = F.zip_with(running_totals(lengths), lengths, at)
+        return F.when(F.size(lengths) > 1, F.filter(spans, lambda s, i: i % 2 == 1))
 
-    found = let(F.transform(pieces, F.length), located)
+    found = let(F.transform(pieces, lambda p: F.length(p).cast("long")), located)
     return F.coalesce(F.when(_NEEDS[entity](text), found), F.array()).cast(SPAN_TYPE)
 
 
@@ -79,16 +79,35 @@ def pii_candidates(text: Column, patterns=fixed.PII_PATTERNS) -> Column:
 
 
 def pii_resolve(candidates: Column) -> Column:
-    """Non-overlapping spans: lowest priority number, then start, then longest; sorted by start."""
+    """Non-overlapping spans: lowest priority number, then start, then longest; sorted by start.
 
+    Only spans that hang together by overlaps can stand in each other's way, so the choice is made in each such run by itself.
+    """
     def take(kept: Column, span: Column) -> Column:
         clash = F.exists(kept, lambda k: (span["start"] < k["stop"]) & (k["start"] < span["stop"]))
         return F.when(clash, kept).otherwise(F.array_append(kept, span))
 
+    def by_start(spans: Column) -> Column:
+        keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s.alias("span")))
+        return F.transform(F.array_sort(keyed), lambda s: s["span"])
+
+    def choose(run: Column) -> Column:
+        chosen = F.aggregate(F.array_sort(run), F.array().cast(SPAN_TYPE), take)
+        return F.when(F.size(run) < 2, run).otherwise(by_start(chosen))
+
+    def gather(state: Column, span: Column) -> Column:
+        goes_on = span["start"] < state["stop"]
+        return F.struct(
+            F.when(goes_on, state["runs"]).otherwise(F.array_append(state["runs"], state["run"])).alias("runs"),
+            F.when(goes_on, F.array_append(state["run"], span)).otherwise(F.array(span)).alias("run"),
+            F.greatest(state["stop"], span["stop"]).alias("stop"),
+        )
+
     def pick(spans: Column) -> Column:
-        chosen = F.aggregate(F.array_sort(spans), F.array().cast(SPAN_TYPE), take)
-        by_start = F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), s["priority"].alias("priority"), s.alias("span")))
-        return F.transform(F.array_sort(by_start), lambda s: s["span"])
+        nothing = F.array().cast(SPAN_TYPE)
+        start = F.struct(F.array().cast(f"array<{SPAN_TYPE}>").alias("runs"), nothing.alias("run"), F.lit(0).alias("stop"))
+        runs = F.reduce(by_start(spans), start, gather, lambda s: F.array_append(s["runs"], s["run"]))
+        return F.flatten(F.transform(runs, choose))
 
     return let(candidates, lambda spans: F.when(F.size(spans) < 2, spans).otherwise(pick(spans)))
 
@@ -99,18 +118,13 @@ def token(entity_type: Column) -> Column:
 
 def pii_mask(text: Column, spans: Column) -> Column:
     """Replace each resolved span by its token."""
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+    def masked(found: Column) -> Column:
+        begins = F.concat(F.array(F.lit(0)), F.transform(found, lambda s: s["stop"]))
+        gaps = F.zip_with(found, F.slice(begins, F.lit(1), F.size(found)), lambda s, at: F.concat(F.substring(text, at + 1, s["start"] - at), token(s["entity_type"])))
+        return F.concat(F.array_join(gaps, ""), F.substring(text, F.element_at(begins, -1) + 1, F.length(text)))
 
-    def step(state: Column, span: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        return F.struct(F.concat(state["done"], gap, token(span["entity_type"])).alias("done"), span["stop"].alias("at"))
-
-    def finish(state: Column) -> Column:
-        return F.concat(state["done"], F.substring(text, state["at"] + 1, F.length(text)))
-
-    return F.when(F.coalesce(F.size(spans), F.lit(0)) <= 0, F.when(is_missing(text), "").otherwise(text)).otherwise(
-        F.aggregate(spans, start, step, finish)
-    )
+    none = F.coalesce(F.size(spans), F.lit(0)) <= 0
+    return F.when(none, F.when(is_missing(text), "").otherwise(text)).otherwise(let(spans, masked))
 
 
 def pii_entity_types(spans: Column) -> Column:
@@ -134,21 +148,15 @@ def pii_entities(spans: Column) -> Column:
     )
 
 
-def unmasked_types(text: Column) -> Column:
-    """Types of personal data still readable in an output text."""
-    return keep(
-        *[
-            F.when(_NEEDS[entity](text) & F.rlike(text, F.lit(_regex(flags, before, span, after))), F.lit(entity))
-            for entity, flags, before, span, after, _, _ in fixed.PII_PATTERNS
-            if entity in fixed.GATE_TYPES
-        ]
-    )
-
-
-def any_unmasked(text: Column) -> Column:
+def unmasked(text: Column, entity_type: str) -> Column:
+    """Whether one type of personal data is still readable in an output text."""
     tests = [
         _NEEDS[entity](text) & F.rlike(text, F.lit(_regex(flags, before, span, after)))
         for entity, flags, before, span, after, _, _ in fixed.PII_PATTERNS
-        if entity in fixed.GATE_TYPES
+        if entity == entity_type
     ]
     return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
+
+
+def any_unmasked(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, [unmasked(text, t) for t in fixed.GATE_TYPES])

@@ -1,51 +1,27 @@
-"""Joins and counts that stay balanced when one key holds a large share of the rows."""
+"""Joins and aggregates that stay balanced when one key holds a large share of the rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# No key outside the 1000 most frequent can hold more than 0.1 % of the rows,
-# so this many keys is all that ever needs special treatment; the set is small
-# enough to broadcast whatever the data size.
-HEAVY_KEYS = 1000
-
-
 def key_counts(df: DataFrame, key: str, count: str = "key_rows") -> DataFrame:
     """Rows per non-null key (partial aggregation runs before the shuffle)."""
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(count))
 
 
-def heavy_keys(counts: DataFrame, key: str, count: str = "key_rows") -> DataFrame:
-    """The at most ``HEAVY_KEYS`` most frequent keys among those that repeat."""
-    return counts.where(F.col(count) > 1).orderBy(F.desc(count), key).limit(HEAVY_KEYS).select(key)
-
-
 def hashable(df: DataFrame) -> list[Column]:
     """All columns in a form that can be hashed (maps cannot be)."""
     return [F.to_json(F.col(f"`{n}`")) if "map<" in t else F.col(f"`{n}`") for n, t in df.dtypes]
 
 
-def lookup_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
-    """Left join to a side with one row per key, without a hot partition.
+def lookup_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join to a side with one row per key.
 
-    Heavy keys are answered by a broadcast of their (at most ``HEAVY_KEYS``)
-    right rows.  For the shuffle join their left rows, and rows without a key,
-    carry a scattered key that matches nothing.  The scattered key is a hash of
-    the row, so a recomputed task places it identically.
+    A small right side is broadcast by Spark after it has seen its size.  Otherwise both sides are shuffled, and where
+    a key, or the rows without one, fill a partition far beyond the others, adaptive execution splits the left side of that
+    partition over several tasks; that needs no count of the keys beforehand and no second pass over either side.
     """
-    payload = [c for c in right.columns if c != key]
-    listed = F.broadcast(heavy.withColumn("_listed", F.lit(True)))
-    marked = right.select(key, F.struct(*payload).alias("_value")).join(listed, key, "left")
-    hot_values = marked.where("_listed").select(key, F.col("_value").alias("_hot_value"))
-    hot = heavy.withColumn("_listed", F.lit(True)).join(F.broadcast(hot_values), key, "left")
-    cold = marked.where("_listed is null").select(F.col(key).cast("string").alias("_cold_key"), F.col("_value").alias("_cold_value"))
-    tagged = left.join(F.broadcast(hot), key, "left")
-    scattered = F.col("_listed").isNotNull() | F.col(key).isNull()
-    spread = F.concat(F.lit("\ufdd2"), F.xxhash64(*hashable(left)).cast("string"))
-    tagged = tagged.withColumn("_join_key", F.when(scattered, spread).otherwise(F.col(key).cast("string")))
-    joined = tagged.join(cold, F.col("_join_key") == F.col("_cold_key"), "left")
-    value = F.coalesce("_hot_value", "_cold_value")
-    return joined.select(*left.columns, *[value[c].alias(c) for c in payload])
+    return left.join(right, key, "left").select(*left.columns, *[c for c in right.columns if c != key])
 
 
 def newest(df: DataFrame, key: str, order: Column, *columns: str, first: bool = False) -> DataFrame:

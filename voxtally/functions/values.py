@@ -19,6 +19,9 @@ DATE_SHAPES = (
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy", "d/M/yyyy"),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy", "d-M-yyyy"),
     (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "M.d.yyyy", "d.M.yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy", "d/M/yy"),
+    (r"^\d{1,2}-\d{1,2}-\d{2}$", "M-d-yy", "d-M-yy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{2}$", "M.d.yy", "d.M.yy"),
     (r"^\d{8}$", "yyyyMMdd", None),
     (r"^\d{4}-\d{2}$", "yyyy-MM", None),
     (r"^\d{4}$", "yyyy", None),
@@ -27,8 +30,18 @@ DATE_SHAPES = (
     (r"^[A-Za-z]{3} \d{1,2},? \d{4}$", "MMM d yyyy", None),
     (r"^[A-Za-z]{4,} \d{1,2},? \d{4}$", "MMMM d yyyy", "MMM d yyyy"),
     (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy", None),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{2}$", "d-MMM-yy", None),
+    (r"^\d{1,2} [A-Za-z]{3} \d{2}$", "d MMM yy", None),
+    (r"^\d{1,2} [A-Za-z]{4,} \d{2}$", "d MMMM yy", "d MMM yy"),
+    (r"^\d{4} [A-Za-z]{3} \d{1,2}$", "yyyy MMM d", None),
 )
-_CLOCK = r"[T ]\d{1,2}:\d{2}(:\d{2}([.,]\d{1,9})?)?\s*(Z|UTC|[+-]\d{2}:?\d{2})?$"
+# What is taken off before the shape is looked at: a time of day, a day of the week, the ending of an ordinal number.
+_CLOCK = r"(?i)(?:[T ,]\s*)(?:at\s+)?(?:\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?\s*(?:[ap]\.?m\.?)?|\d{1,2}\s*[ap]\.?m\.?)\s*(?:Z|UTC|GMT|[+-]\d{2}:?\d{2})?$"
+_COMPACT_CLOCK = r"^(\d{8})(?:T?\d{6}|T\d{4})Z?$"
+_WEEKDAY = r"(?i)^(?:mon|tues?|wed(?:nes)?|thu(?:rs?)?|fri|sat(?:ur)?|sun)(?:day)?\.?,?\s+"
+_ORDINAL = r"(?i)\b(\d{1,2})(?:st|nd|rd|th)\b(?:\s+of)?"
+# Two-digit years from here on are of the last century.
+_CENTURY = 2069
 
 
 def is_number(column: Column) -> Column:
@@ -61,15 +74,19 @@ def parse_date(raw: Column) -> Column:
     def read(text: Column) -> Column:
         chain = None
         for shape, first, second in DATE_SHAPES:
-            bare = F.replace(text, F.lit(","), F.lit("")) if "," in shape else text
+            bare = F.regexp_replace(text, ",\\s*", " ") if "," in shape else text
             parsed = F.try_to_timestamp(bare, F.lit(first))
             if second:
                 parsed = F.coalesce(parsed, F.try_to_timestamp(bare, F.lit(second)))
+            if "yyyy" not in first:
+                parsed = let(parsed, lambda d: F.when(F.year(d) >= _CENTURY, F.add_months(d, -1200).cast("timestamp")).otherwise(d))
             test = F.rlike(text, F.lit(shape))
             chain = F.when(test, parsed) if chain is None else chain.when(test, parsed)
         return F.to_date(chain)
 
-    date = let(F.regexp_replace(strip(raw), _CLOCK, ""), read)
+    bare = F.regexp_replace(F.regexp_replace(strip(raw), _WEEKDAY, ""), _CLOCK, "")
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, _COMPACT_CLOCK, "$1"), _ORDINAL, "$1"), r"(?<=[A-Za-z]),?\s+(?=\d{4}$)", " ")
+    date = let(bare, read)
     earliest, latest = F.lit("1677-09-22").cast("date"), F.lit("2262-04-11").cast("date")
     return let(date, lambda d: F.when(d.between(earliest, latest), d))
 

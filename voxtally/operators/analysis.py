@@ -23,11 +23,11 @@ ANALYSIS_COLUMNS = (
 
 def check_input(df: DataFrame, column: str = "masked_text") -> None:
     if "feedback_id" not in df.columns:
-        raise KeyError("Analysis requires a 'feedback_id' column.")
+        raise KeyError("There is no feedback_id to analyse by.")
     if column not in df.columns:
         if column == "masked_text" and "feedback_text" in df.columns:
             raise KeyError(fixed.MSG_NEEDS_MASKED_ANALYSIS)
-        raise KeyError(f"Analysis requires a '{column}' column.")
+        raise KeyError(f"There is no column '{column}' to analyse.")
 
 
 def with_hits(df: DataFrame, rules: Sequence[dict], column: str = "masked_text") -> DataFrame:

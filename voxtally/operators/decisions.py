@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxtally import fixed
-from voxtally.functions.skew import heavy_keys, key_counts, lookup_join
+from voxtally.functions.skew import lookup_join
 
 LOG_SCHEMA = "theme_name string, action string, status string, reviewer_note string, event_time timestamp, event_id string"
 
@@ -39,7 +39,7 @@ class DecisionStore:
         """Append a decision and return the theme's state."""
         theme = _theme(theme_name)
         if status not in fixed.REVIEW_STATUSES:
-            raise ValueError(f"Invalid review status: '{status}'. Allowed statuses: {fixed.REVIEW_STATUSES}")
+            raise ValueError(f"'{status}' is none of {fixed.REVIEW_STATUSES}.")
         self._append([(theme, "save", status, str(reviewer_note) if reviewer_note is not None else "")])
         return self.get_decision(theme)
 
@@ -69,6 +69,18 @@ class DecisionStore:
             )
         return count
 
+    def compact(self) -> int:
+        """Rewrite the log in few files, sorted by theme, and return the number of events.
+
+        Saves come one file each; reading very many of them is slow.  The new log is written beside the old one, which stays until
+        the caller has switched ``path``; nothing is lost if the rewrite fails.
+        """
+        events = self.log()
+        compacted = f"{self.path.rstrip('/')}-{uuid.uuid4().hex}"
+        events.repartitionByRange("theme_name", "event_time").write.parquet(compacted)
+        self.path = compacted
+        return self.log().count()
+
     def _append(self, events: list[tuple]) -> None:
         rows = [(*e, _now(), uuid.uuid4().hex) for e in events]
         self._write(self.spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1))
@@ -83,7 +95,7 @@ def _now() -> datetime:
 
 def _theme(theme_name: str) -> str:
     if not isinstance(theme_name, str) or not theme_name.strip():
-        raise ValueError("Theme name must be a non-empty string.")
+        raise ValueError("A decision needs the name of a theme.")
     return theme_name.strip()
 
 
@@ -107,18 +119,15 @@ def decision_state(log: DataFrame) -> DataFrame:
 def apply_decisions(df: DataFrame, decisions: DataFrame | None, theme: str = "theme_name") -> DataFrame:
     """Adds ``review_status`` and ``reviewer_note`` by theme, with ``pending`` and "" as defaults.
 
-    Insights hold one row per theme and are joined plainly.  For records
-    (``theme`` names their theme column) a few themes usually hold most rows,
-    so frequent themes are treated apart instead of being shuffled to one task.
+    For records (``theme`` names their theme column) a few themes usually hold most
+    rows.  Decisions are one row per theme, so Spark broadcasts them after it has seen
+    their size; beyond that a theme's records are split by adaptive execution.
     """
     default = F.col("human_review_status") if "human_review_status" in df.columns else F.lit("pending")
     if decisions is None:
         return df.withColumns({"review_status": default, "reviewer_note": F.lit("")})
     own = decisions.select(F.col("theme_name").alias(theme), F.col("status").alias("_status"), F.col("reviewer_note").alias("_note"))
-    if theme == "theme_name":
-        joined = df.join(own, theme, "left")
-    else:
-        joined = lookup_join(df, own, theme, heavy_keys(key_counts(df, theme), theme))
+    joined = lookup_join(df, own, theme)
     return joined.withColumns(
         {"review_status": F.coalesce("_status", default), "reviewer_note": F.coalesce("_note", F.lit(""))}
     ).drop("_status", "_note")

@@ -7,7 +7,7 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from voxtally.functions.skew import heavy_keys, key_counts, lookup_join, newest
+from voxtally.functions.skew import lookup_join, newest
 from voxtally.operators.mentions import row_order
 
 EXPLORER_COLUMNS = (
@@ -34,8 +34,7 @@ def join_first_feedback(analysis: DataFrame, fb: DataFrame, columns: Sequence[st
     ).where("feedback_id is not null")
     names = [f"fb_{c}" for c in present]
     first = newest(own, "feedback_id", F.struct("_order", *names), *names, first=True).withColumn("_found", F.lit(True))
-    heavy = heavy_keys(key_counts(analysis, "feedback_id"), "feedback_id")
-    return lookup_join(analysis, first, "feedback_id", heavy).withColumns(absent)
+    return lookup_join(analysis, first, "feedback_id").withColumns(absent)
 
 
 def explorer_table(analysis: DataFrame, fb: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -15,6 +16,10 @@ from voxtally.operators.similarity import TfidfModel, tfidf_fit, with_vectors
 from voxtally.session import stage
 
 
+# Columns by which members are found again; no text is among them.
+KEPT = ("feedback_id", "_row_number")
+
+
 @dataclass
 class Clusters:
     """``members``: one row per record with ``cluster_id`` (null without text) and its vector."""
@@ -41,8 +46,8 @@ def cluster_feedback(
 ) -> Clusters:
     """K-Means with several seeded starts, the cheapest kept.
 
-    The vectors are staged once, so every start reads columns instead of
-    tokenising the texts again.
+    Key columns and vectors are written once; the vectors to learn from are kept in executor memory, spilling to
+    disk, while all starts read them.  The texts are not copied.
     """
     usable = normalize_text(F.col(column)).isNotNull()
     no_id = F.lit(None).cast("int")
@@ -57,18 +62,20 @@ def cluster_feedback(
         return Clusters(df.withColumn("cluster_id", no_id), None, 0, [fixed.MSG_CLUSTER_NO_TERMS])
     size = choose_k(records, k)
     warnings = [fixed.MSG_CLUSTER_REDUCED] if k and size < k and records < k else []
-    vectors = stage(with_vectors(df, model, column), "vectors")
+    vectors = stage(with_vectors(df, model, column).select(*[c for c in df.columns if c in KEPT], "tfidf", usable.alias("_usable")), "vectors")
+    usable = F.col("_usable")
     if size == 1:
-        return Clusters(vectors.withColumn("cluster_id", F.when(usable, F.lit(0))), model, 1, warnings)
-    training = vectors.where(usable).select("tfidf")
+        return Clusters(vectors.withColumn("cluster_id", F.when(usable, F.lit(0))).drop("_usable"), model, 1, warnings)
+    training = vectors.where(usable).select("tfidf").persist(StorageLevel.MEMORY_AND_DISK)
     best = None
     for start in range(restarts):
         fitted = KMeans(k=size, seed=fixed.CLUSTER_SEED + start, featuresCol="tfidf", predictionCol="cluster_id").fit(training)
         cost = fitted.summary.trainingCost
         if best is None or cost < best[0]:
             best = (cost, fitted)
+    training.unpersist()
     labelled = best[1].transform(vectors)
-    return Clusters(labelled.withColumn("cluster_id", F.when(usable, F.col("cluster_id"))), model, size, warnings)
+    return Clusters(labelled.withColumn("cluster_id", F.when(usable, F.col("cluster_id"))).drop("_usable"), model, size, warnings)
 
 
 def cluster_terms(clusters: Clusters, top: int = fixed.CLUSTER_TERMS) -> DataFrame:

@@ -14,18 +14,17 @@ from voxtally.operators.quotes import QUOTE_TYPE, representative_quotes
 from voxtally.session import stage
 from voxtally.sources.taxonomy import DEFAULT_PRESET, lexicon, load_rules
 
-# A free-text field may take any number of values.  Up to this many become a
-# map on the insight row; beyond it the map is null and ``distribution`` (one
-# row per value) remains the complete answer.  Days are bounded by the calendar.
-MAP_VALUES = 10_000
-
-
 @dataclass
 class Aggregation:
-    """``insights`` is one row per theme; the other tables are the complete long forms."""
+    """``insights`` is one row per theme; the other tables are the complete long forms.
+
+    ``distributions`` holds all counts per theme, kind (sentiment, severity, source, segment, day) and value.  Sources and
+    segments are free texts of any number, so they are rows at every size and never a value of the insight row.
+    """
 
     insights: DataFrame
     mentions: DataFrame
+    distributions: DataFrame
     orphans: DataFrame
     total: int
     warnings: DataFrame
@@ -118,9 +117,9 @@ def theme_warnings(mentions: Column, quotes: Column) -> Column:
 def root_causes(theme: Column, mentions: Column) -> Column:
     template = F.coalesce(F.try_element_at(string_map(lexicon()["root_causes"]), theme), F.lit(fixed.GENERIC_ROOT_CAUSE))
     return F.array(
-        F.concat(F.lit("Observed evidence: "), mentions.cast("string"), F.lit(" feedback record(s) mention "),
+        F.concat(F.lit(fixed.OBSERVED), mentions.cast("string"), F.lit(fixed.MENTIONED),
                  F.replace(theme, F.lit("_"), F.lit(" ")), F.lit(".")),
-        F.concat(F.lit("Possible interpretation: "), template),
+        F.concat(F.lit(fixed.INTERPRETED), template),
         F.lit(fixed.ROOT_CAUSE_CAVEAT),
     )
 
@@ -129,7 +128,7 @@ def suggested_actions(theme: Column, preset: str = DEFAULT_PRESET) -> Column:
     """Action texts come from the default preset unless another one is asked for."""
     actions = {r["theme"]: r["action"] for r in load_rules(preset) if r["action"]}
     template = F.coalesce(F.try_element_at(string_map(actions), theme), F.lit(fixed.GENERIC_ACTION))
-    return F.array(F.concat(F.lit("Suggested action: "), template), F.lit(fixed.ACTION_CAVEAT))
+    return F.array(F.concat(F.lit(fixed.SUGGESTED), template), F.lit(fixed.ACTION_CAVEAT))
 
 
 def insight_pii_flag(insights: DataFrame) -> Column:
@@ -152,28 +151,22 @@ def _closed_map(column: str, labels) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda p: p["n"] > 0))
 
 
-def _open_maps(mentions: DataFrame, has_segments: bool) -> DataFrame:
-    """Per theme: maps of sources, segments and days.  One pass over the mention table."""
-    kinds = [("source", F.coalesce("source", F.lit("unknown"))), ("day", _day(F.col("day")))]
-    if has_segments:
-        kinds.append(("segment", F.coalesce("user_type", F.lit("unknown"))))
-    values = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in kinds])).alias("v")
-    counted = (
+def distributions(mentions: DataFrame, has_segments: bool = True) -> DataFrame:
+    """``theme_name, kind, value, records`` for every kind of count.  One pass over the mention table, partially aggregated."""
+    unknown = F.lit("unknown")
+    kinds = {
+        "sentiment": F.coalesce("sentiment", unknown), "severity": F.coalesce("severity", unknown),
+        "source": F.coalesce("source", unknown), "day": _day(F.col("day")),
+        **({"segment": F.coalesce("user_type", unknown)} if has_segments else {}),
+    }
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in kinds.items()])).alias("v")
+    return (
         mentions.select("theme_name", values).where("v.value is not null")
-        .groupBy("theme_name", "v.kind", "v.value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    small = (
-        counted.groupBy("theme_name", "kind").agg(F.count(F.lit(1)).alias("values"))
-        .where((F.col("kind") == "day") | (F.col("values") <= MAP_VALUES)).drop("values")
+        .groupBy("theme_name", "v.kind", "v.value").agg(F.count(F.lit(1)).alias("records"))
     )
-    maps = counted.join(F.broadcast(small), ["theme_name", "kind"]).groupBy("theme_name", "kind").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("m")
-    )
-    pick = [F.first(F.when(F.col("kind") == k, F.col("m")), ignorenulls=True).alias(k) for k in ("source", "day", "segment")]
-    return maps.groupBy("theme_name").agg(*pick)
 
 
-def build_insights(mentions: DataFrame, total: int, has_segments: bool = True, preset: str = DEFAULT_PRESET) -> DataFrame:
+def build_insights(mentions: DataFrame, total: int, preset: str = DEFAULT_PRESET) -> DataFrame:
     """One row per theme from the mention table, most mentioned first."""
     count, first = F.count(F.lit(1)), F.count_if("is_primary")
     low, high = F.min("source"), F.max("source")
@@ -190,10 +183,7 @@ def build_insights(mentions: DataFrame, total: int, has_segments: bool = True, p
         F.struct(_day(F.min("day")).alias("start"), _day(F.max("day")).alias("end")).alias("date_range"),
         known.alias("_known_sources"),
     )
-    no_map = F.create_map().cast("map<string,bigint>")
-    joined = core.join(_open_maps(mentions, has_segments), "theme_name", "left").join(
-        representative_quotes(mentions), "theme_name", "left"
-    )
+    joined = core.join(representative_quotes(mentions), "theme_name", "left")
     quotes = F.coalesce("evidence_quotes", F.array().cast(f"array<{QUOTE_TYPE}>"))
     with_quotes = joined.withColumns(
         {"evidence_quotes": quotes, "representative_quotes": F.transform(quotes, lambda q: q["quote"])}
@@ -206,10 +196,7 @@ def build_insights(mentions: DataFrame, total: int, has_segments: bool = True, p
     return warned.select(
         "theme_name", "primary_count", "secondary_count", "mention_count", "feedback_percentage", "average_rating",
         "sentiment_distribution", "severity_distribution",
-        F.col("source").alias("source_distribution"),
-        (F.col("segment") if has_segments else no_map).alias("segment_distribution"),
         "date_range",
-        F.coalesce(F.col("day"), no_map).alias("trend_data"),
         "representative_quotes", "evidence_quotes",
         root_causes(F.col("theme_name"), F.col("mention_count")).alias("possible_root_causes"),
         suggested_actions(F.col("theme_name"), preset).alias("suggested_product_actions"),
@@ -236,8 +223,8 @@ def aggregate_themes(
     warnings = orphans.select("message")
     if total == 0 and fb.isEmpty():
         warnings = warnings.sparkSession.createDataFrame([(fixed.MSG_AGGREGATE_EMPTY,)], "message string")
-    insights = build_insights(mentions, total, "user_type" in fb.columns, action_preset)
-    return Aggregation(insights, mentions, orphans, total, warnings.orderBy("message"))
+    counts = distributions(mentions, "user_type" in fb.columns)
+    return Aggregation(build_insights(mentions, total, action_preset), mentions, counts, orphans, total, warnings.orderBy("message"))
 
 
 # --- ranking ----------------------------------------------------------------

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtally import fixed
 from voxtally.functions.exprs import normalize_text, trim_to_null
-from voxtally.functions.skew import hashable, heavy_keys, key_counts, lookup_join, newest
+from voxtally.functions.skew import hashable, key_counts, newest
 from voxtally.functions.values import parse_date
 
 
 def check_feedback(fb: DataFrame) -> None:
     if "feedback_id" not in fb.columns:
-        raise KeyError("Feedback DataFrame requires a 'feedback_id' column.")
+        raise KeyError("The feedback table has no feedback_id.")
     if "masked_text" not in fb.columns:
         raise KeyError(fixed.MSG_NEEDS_MASKED_THEMES)
 
@@ -100,15 +100,12 @@ def _known_ids(fb: DataFrame) -> DataFrame:
 
 def exclude_orphans(analysis: DataFrame, fb: DataFrame) -> DataFrame:
     """Analysis rows whose id is in the feedback table."""
-    known = _known_ids(fb).withColumn("_known", F.lit(True))
-    joined = lookup_join(analysis, known, "feedback_id", heavy_keys(key_counts(analysis, "feedback_id"), "feedback_id"))
-    return joined.where("_known").drop("_known")
+    return analysis.join(_known_ids(fb), "feedback_id", "left_semi").select(*analysis.columns)
 
 
 def orphan_ids(analysis: DataFrame, fb: DataFrame) -> DataFrame:
     """Ids analysed but not in the feedback table, with their row counts and the warning text."""
     counts = key_counts(analysis, "feedback_id", "analysis_rows")
     missing = counts.join(_known_ids(fb), "feedback_id", "left_anti")
-    message = F.concat(F.lit("Analysis result for feedback_id '"), F.col("feedback_id"),
-                       F.lit("' excluded: ID not found in masked feedback DataFrame."))
+    message = F.concat(F.lit(fixed.ORPHAN_BEFORE), F.col("feedback_id"), F.lit(fixed.ORPHAN_AFTER))
     return missing.withColumn("message", message)

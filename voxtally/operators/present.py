@@ -47,15 +47,22 @@ def evidence_label(strength: Column) -> Column:
     return F.initcap(strength)
 
 
-def format_distribution(distribution: Column) -> Column:
-    """``k: v, k: v`` by key, or a dash."""
-    pairs = F.array_sort(F.map_entries(distribution))
-    text = F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string"))), ", ")
-    return F.when(F.coalesce(F.size(distribution), F.lit(0)) <= 0, "—").otherwise(text)
+def format_distribution(counts: DataFrame, kind: str, themes: DataFrame | None = None) -> DataFrame:
+    """``theme_name, text``: ``k: v, k: v`` by key from the distribution table; a dash for a theme of ``themes`` without any.
+
+    The text has an entry for each distinct value of a theme, not for each record.
+    """
+    pair = F.struct("value", F.concat("value", F.lit(": "), F.col("records").cast("string")).alias("said"))
+    listed = F.array_sort(F.collect_list(pair))
+    text = F.array_join(F.transform(listed, lambda p: p["said"]), ", ")
+    shown = counts.where(F.col("kind") == kind).groupBy("theme_name").agg(text.alias("text"))
+    if themes is None:
+        return shown
+    return themes.select("theme_name").join(shown, "theme_name", "left").select("theme_name", F.coalesce("text", F.lit("—")).alias("text"))
 
 
 def short_explanation(theme: Column) -> Column:
-    generic = F.concat(F.lit("Customers are repeatedly reporting issues related to "), F.lower(theme_label(theme)), F.lit("."))
+    generic = F.concat(F.lit(fixed.GENERIC_EXPLANATION), F.lower(theme_label(theme)), F.lit("."))
     return F.coalesce(F.get("possible_root_causes", F.lit(0)), generic)
 
 
@@ -66,7 +73,7 @@ def insight_warnings() -> Column:
         F.when(F.col("evidence_strength") == "weak", fixed.WARN_WEAK),
         F.when(F.col("confidence") < fixed.REVIEW_BELOW_CONFIDENCE, fixed.WARN_LOW_CONFIDENCE),
         F.when(F.col("mention_count") < fixed.MODERATE_MIN_MENTIONS, fixed.WARN_FEW),
-        F.when(review > 0, F.concat(review.cast("string"), F.lit(" quote(s) require review before use as evidence."))),
+        F.when(review > 0, F.concat(review.cast("string"), F.lit(fixed.QUOTES_TO_REVIEW))),
     )
     return F.concat("warnings", extra)
 

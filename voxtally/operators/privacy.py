@@ -12,7 +12,7 @@ from voxtally.functions.exprs import settle
 def detect_pii(df: DataFrame, column: str = "feedback_text") -> DataFrame:
     """Adds the full detection result as columns."""
     if column not in df.columns:
-        raise KeyError(f"Text column '{column}' was not found in the DataFrame.")
+        raise KeyError(f"There is no column '{column}' to look for personal data in.")
     text = F.col(column).cast("string")
     spans = settle(df, _spans=pii.pii_resolve(pii.pii_candidates(text)))
     missing = pii.is_missing(text)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from voxtally import fixed
 from voxtally.functions.exprs import keep, settle, strings, trim_to_null
-from voxtally.functions.skew import heavy_keys, key_counts, lookup_join
+from voxtally.functions.skew import key_counts, lookup_join
 from voxtally.functions.values import date_error, parse_date, parse_rating, rating_error
 
 CLEAN_COLUMNS = ("_row_number", "row_status", "validation_errors", "date_normalized", *fixed.FEEDBACK_COLUMNS)
@@ -76,7 +76,7 @@ def flag_repeats(df: DataFrame, key: str, flag: str, counted: DataFrame | None =
     """
     repeated = key_counts(df if counted is None else counted, key).where("key_rows > 1")
     hit = repeated.select(key, F.lit(True).alias(flag))
-    joined = lookup_join(df, hit, key, heavy_keys(repeated, key))
+    joined = lookup_join(df, hit, key)
     return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 

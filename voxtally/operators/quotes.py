@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from voxtally import fixed
 from voxtally.functions.exprs import normalize_text, strip, trim_to_null
-from voxtally.functions.skew import heavy_keys, key_counts, lookup_join, newest
+from voxtally.functions.skew import lookup_join, newest
 from voxtally.operators.mentions import row_order
 
 QUOTE_TYPE = (
@@ -65,10 +65,6 @@ def quote_rows(quotes: DataFrame) -> DataFrame:
     )
 
 
-def _lookup(left: DataFrame, right: DataFrame, key: str = "_id") -> DataFrame:
-    return lookup_join(left, right, key, heavy_keys(key_counts(left, key), key))
-
-
 def validate_quotes(
     quotes: DataFrame, fb: DataFrame, analysis: DataFrame | None = None, few: bool = False
 ) -> DataFrame:
@@ -76,7 +72,7 @@ def validate_quotes(
 
     The last feedback row and the last analysis of an id count.  ``few`` says
     that the quotes are those of an insight table, a handful per theme: then
-    only the rows they name are looked at, and no text is shuffled.
+    only the rows they name are looked at, and few texts are shuffled.
     """
     def optional(name: str, kind: str = "string") -> Column:
         column = F.col(name).cast("string") if name in fb.columns else F.lit(None).cast("string")
@@ -90,20 +86,19 @@ def validate_quotes(
     ).where("_id is not null")
     own = ["theme_name", "feedback_id", "quote"]
     asked = quotes.withColumns({"_id": trim_to_null(F.col("feedback_id")), "_quote": strip(F.coalesce("quote", F.lit("")))})
-    named_ids = F.broadcast(asked.select("_id").distinct()) if few else None
+    named_ids = asked.select("_id").distinct() if few else None  # broadcast by Spark if small
     if few:
         facts = facts.join(named_ids, "_id", "left_semi")
     latest = newest(facts, "_id", F.struct("_order", F.xxhash64("_text", "_source", "_date").alias("t")),
                     "_text", "_source", "_date", "_rating").withColumn("_found", F.lit(True))
-    attach = (lambda left, right: left.join(right, "_id", "left")) if few else _lookup
-    joined = attach(asked, latest)
+    joined = lookup_join(asked, latest, "_id")
     supports = F.lit(True)
     if analysis is not None:
         named = F.concat(F.array("primary_theme"), F.transform("secondary_themes", lambda s: s["theme"]))
         claims = analysis.select(F.col("feedback_id").alias("_id"), named.alias("_named"), row_order(analysis).alias("_order"))
         if few:
             claims = claims.join(named_ids, "_id", "left_semi")
-        joined = attach(joined, newest(claims, "_id", F.struct("_order", "_named"), "_named"))
+        joined = lookup_join(joined, newest(claims, "_id", F.struct("_order", "_named"), "_named"), "_id")
         no_theme = F.coalesce(F.col("theme_name"), F.lit("")) == ""
         supports = no_theme | F.coalesce(F.array_contains("_named", F.col("theme_name")), F.lit(False))
     exact = F.col("_quote") == F.col("_text")

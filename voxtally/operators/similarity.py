@@ -64,39 +64,30 @@ class TfidfModel:
         return spark.createDataFrame(rows, "term_index int, term string, doc_freq long, idf double")
 
 
-def term_counts(texts: DataFrame, size: int = fixed.TFIDF_VOCABULARY) -> DataFrame:
-    """The ``size`` most frequent words and word pairs, with their counts; ties by term.
+def term_counts(tokenised: DataFrame, size: int = fixed.TFIDF_VOCABULARY) -> DataFrame:
+    """The ``size`` most frequent words and word pairs of ``words`` arrays, with their counts; ties by term.
 
-    A word pair can only be among them if both of its words occur at least as
-    often as the ``size``-th word does, so pairs with a rarer word are dropped
-    before they are shuffled.  The rule is exact.
+    A pair is never more frequent than its first word, and among equals it sorts after it, so a pair can only be among the ``size`` if its first
+    word is.  Those words, at most ``size``, are broadcast; what is left is counted in the task before it is shuffled.
     """
-    counted_words = texts.select(F.explode(tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    words = stage(counted_words, "words")
-    leading = words.orderBy(F.desc("n"), "term").limit(size)
-    edge = leading.agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).first()
-    pairs = texts.select(F.explode(let(tokens(F.col("text")), bigrams)).alias("term"))
-    if edge.words == size and edge.least > 1:
-        common = words.where(F.col("n") >= edge.least).select(F.col("term").alias("word"))
-        parts = F.split("term", " ")
-        pairs = (
-            pairs.withColumns({"a": parts[0], "b": parts[1]})
-            .join(common.withColumnRenamed("word", "a"), "a", "left_semi")
-            .join(common.withColumnRenamed("word", "b"), "b", "left_semi")
-        )
-    counted = pairs.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    words = tokenised.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    leading = stage(words.orderBy(F.desc("n"), "term").limit(size), "leading-words")
+    first = F.broadcast(leading.select(F.col("term").alias("first")))
+    pairs = tokenised.select(F.explode(bigrams(F.col("words"))).alias("term")).withColumn("first", F.substring_index("term", " ", 1))
+    counted = pairs.join(first, "first", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     return leading.unionByName(counted).orderBy(F.desc("n"), "term").limit(size)
 
 
 def tfidf_fit(df: DataFrame, column: str = "masked_text", size: int = fixed.TFIDF_VOCABULARY) -> TfidfModel | None:
     """Fit on all non-missing texts; null when there is no term.  At most ``size`` terms reach the driver."""
     texts = df.select(normalize_text(F.col(column)).alias("text")).where("text is not null")
-    vocabulary = tuple(sorted(row.term for row in term_counts(texts, size).collect()))
+    tokenised = stage(texts.select(tokens(F.col("text")).alias("words")), "words")  # tokenised once, read three times
+    vocabulary = tuple(sorted(row.term for row in term_counts(tokenised, size).collect()))
     if not vocabulary:
         return None
     # Document frequencies of the chosen terms only: at most ``size`` groups leave each task.
     unweighted = TfidfModel(vocabulary, (0,) * len(vocabulary), 0)
-    counted = unweighted.counts(texts.select(terms(F.col("text")).alias("_terms")), "_terms", "_tf")
+    counted = unweighted.counts(tokenised.select(F.concat("words", bigrams(F.col("words"))).alias("_terms")), "_terms", "_tf")
     # Entry -1 stands for the document itself, so the same pass counts the documents.
     present = counted.select(F.explode(F.array_append(F.unwrap_udt("_tf")["indices"], F.lit(-1))).alias("i"))
     found = {row.i: row.n for row in present.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -7,9 +7,12 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
+from voxtally import fixed
+from voxtally.functions.skew import lookup_join, newest
 from voxtally.operators import analysis as an
 from voxtally.operators import explore, insights, privacy
 from voxtally.operators.groups import Clusters, cluster_feedback
+from voxtally.operators.mentions import row_order
 from voxtally.operators.similarity import TfidfModel, tfidf_fit
 from voxtally.session import stage
 from voxtally.sources.taxonomy import DEFAULT_PRESET
@@ -37,7 +40,7 @@ class Pipeline:
 def mask(valid: DataFrame, materialize: bool = True) -> DataFrame:
     """Mask validated rows and drop the raw text, so nothing later can see it."""
     if "feedback_text" not in valid.columns:
-        raise KeyError("Validated rows must include 'feedback_text' for PII masking.")
+        raise KeyError("There is no feedback_text to mask.")
     masked = privacy.safe_columns(privacy.mask_feedback(valid))
     return stage(masked, "masked") if materialize else masked
 
@@ -49,7 +52,7 @@ def run_pipeline(masked: DataFrame, preset: str = DEFAULT_PRESET, materialize: b
     written once to the shared folder (``materialize=False`` keeps it lazy).
     """
     if "masked_text" not in masked.columns:
-        raise KeyError("Analysis requires masked_text. Run PII masking before analysis.")
+        raise KeyError(fixed.MSG_NEEDS_MASKED_ANALYSIS)
     safe = privacy.safe_columns(masked)
     model = tfidf_fit(safe)
     analysed = an.analyze_feedback(safe, preset, model=model)
@@ -62,14 +65,8 @@ def run_pipeline(masked: DataFrame, preset: str = DEFAULT_PRESET, materialize: b
 
 def with_clusters(analysed: DataFrame, clusters: Clusters) -> DataFrame:
     """The analysis with each record's cluster id (the last one where an id repeats)."""
-    from voxtally.functions.skew import heavy_keys, key_counts, lookup_join, newest
-    from voxtally.operators.mentions import row_order
-
     members = clusters.members.select(
         F.col("feedback_id").cast("string").alias("feedback_id"), F.col("cluster_id"), row_order(clusters.members.drop("tfidf")).alias("_order")
     ).where("feedback_id is not null")
     ids = newest(members.where("cluster_id is not null"), "feedback_id", F.struct("_order", "cluster_id"), "cluster_id")
-    base = analysed.drop("cluster_id")
-    heavy = heavy_keys(key_counts(base, "feedback_id"), "feedback_id")
-    order = [c for c in analysed.columns]
-    return lookup_join(base, ids, "feedback_id", heavy).select(*order)
+    return lookup_join(analysed.drop("cluster_id"), ids, "feedback_id").select(*analysed.columns)

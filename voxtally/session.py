@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,8 +33,8 @@ def build_session(app_name: str = "voxtally", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting falls back to a temporary
-    folder; on a cluster such a folder would be lost with its executor.
+    A session without that setting can only go on in local mode, where a single machine
+    sees all files: it then gets a folder of its own.  On a cluster it is an error.
     """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -41,14 +42,15 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if context.getCheckpointDir():
         return context.getCheckpointDir()
-    if not context.master.startswith("local"):
+    if not re.match(r"local($|\[)", context.master):
         raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="voxtally-"))
     return context.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/voxtally/{label}-{uuid.uuid4().hex}"
+    """A new place for a result; all places of an application are in one folder, which can go when the application has ended."""
+    return f"{shared_dir(spark).rstrip('/')}/voxtally/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

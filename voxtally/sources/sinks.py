@@ -9,11 +9,12 @@ from typing import Callable, Iterator
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from voxtally import fixed
-from voxtally.functions.pii import any_unmasked, unmasked_types
+from voxtally.functions.pii import any_unmasked, unmasked
 from voxtally.functions.exprs import round_half_even
 from voxtally.operators.decisions import apply_decisions
 from voxtally.operators.explore import join_first_feedback, secondary_names
 from voxtally.operators.present import theme_label, valid_quote_count
+from voxtally.session import stage
 
 
 class ExportPrivacyError(ValueError):
@@ -31,32 +32,42 @@ def _field_names(kind: T.DataType) -> Iterator[str]:
     elif isinstance(kind, T.ArrayType):
         yield from _field_names(kind.elementType)
     elif isinstance(kind, T.MapType):
+        yield from _field_names(kind.keyType)
         yield from _field_names(kind.valueType)
 
 
-def _leaf_tests(column: Column, kind: T.DataType, test: Callable[[Column], Column]) -> Iterator[Column]:
-    """One boolean column per string leaf below ``column``, map keys included."""
+def _any(column: Column, kind: T.DataType, strings: Callable[[Column], Column], maps: Callable[[Column], Column]) -> Column | None:
+    """Whether a test holds anywhere below ``column``: ``strings`` for a string, ``maps`` for a map with string keys; null if nothing is tested."""
+    found = []
     if isinstance(kind, T.StringType):
-        yield F.coalesce(test(column), F.lit(False))
+        found.append(strings(column))
     elif isinstance(kind, T.StructType):
-        for f in kind.fields:
-            yield from _leaf_tests(column[f.name], f.dataType, test)
+        found += [_any(column[f.name], f.dataType, strings, maps) for f in kind.fields]
     elif isinstance(kind, T.ArrayType):
-        if list(_leaf_tests(F.lit(None), kind.elementType, lambda c: F.lit(True))):
-            yield F.coalesce(F.exists(column, lambda x: _any(x, kind.elementType, test)), F.lit(False))
+        if _any(F.lit(None), kind.elementType, strings, maps) is not None:
+            found.append(F.exists(column, lambda x: _any(x, kind.elementType, strings, maps)))
     elif isinstance(kind, T.MapType):
-        entries = T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)]))
-        yield from _leaf_tests(F.map_entries(column), entries, test)
+        if isinstance(kind.keyType, T.StringType):
+            found.append(maps(column))
+        found += [_any(part(column), T.ArrayType(of), strings, maps) for part, of in ((F.map_keys, kind.keyType), (F.map_values, kind.valueType))]
+    tests = [F.coalesce(t, F.lit(False)) for t in found if t is not None]
+    return reduce(lambda a, b: a | b, tests) if tests else None
+
+
+def _row_test(df: DataFrame, strings: Callable[[Column], Column], maps: Callable[[Column], Column] = lambda m: F.lit(False)) -> Column:
+    tests = [_any(F.col(f"`{f.name}`"), f.dataType, strings, maps) for f in df.schema.fields]
+    return reduce(lambda a, b: a | b, [t for t in tests if t is not None], F.lit(False))
 
 
-def _any(column: Column, kind: T.DataType, test: Callable[[Column], Column]) -> Column:
-    return reduce(lambda a, b: a | b, _leaf_tests(column, kind, test), F.lit(False))
+def row_reveals(df: DataFrame, entity_type: str | None = None) -> Column:
+    """True where any string of the row, nested or not, map keys included, holds readable personal data (of one type)."""
+    return _row_test(df, any_unmasked if entity_type is None else lambda c: unmasked(c, entity_type))
 
 
-def row_reveals(df: DataFrame, test: Callable[[Column], Column] = any_unmasked) -> Column:
-    """True where any string of the row, nested or not, holds readable personal data."""
-    tests = [t for f in df.schema.fields for t in _leaf_tests(F.col(f"`{f.name}`"), f.dataType, test)]
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
+def row_has_raw_key(df: DataFrame) -> Column:
+    """True where a map of the row has the name of a raw-text column as a key."""
+    named = lambda m: F.arrays_overlap(F.map_keys(m), F.array(*[F.lit(n) for n in fixed.FORBIDDEN_EXPORT_COLUMNS]))
+    return _row_test(df, lambda c: F.lit(False), named)
 
 
 def forbidden_columns(df: DataFrame) -> list[str]:
@@ -64,37 +75,42 @@ def forbidden_columns(df: DataFrame) -> list[str]:
 
 
 def privacy_findings(df: DataFrame) -> DataFrame:
-    """Rows holding readable personal data, per type; one aggregate over all string leaves."""
-    counts = [
-        F.count_if(row_reveals(df, lambda c, t=t: F.array_contains(unmasked_types(c), t))).alias(t) for t in fixed.GATE_TYPES
-    ]
+    """Rows holding readable personal data, per type; one aggregate over all string leaves, one pattern for each type."""
+    counts = [F.count_if(row_reveals(df, t)).alias(t) for t in fixed.GATE_TYPES]
     pairs = F.array(*[F.struct(F.lit(t).alias("entity_type"), F.col(t).alias("rows")) for t in fixed.GATE_TYPES])
     return df.agg(*counts).select(F.explode(pairs).alias("p")).select("p.entity_type", "p.rows")
 
 
 def privacy_gate(df: DataFrame) -> DataFrame:
-    """Raise if the table has a raw-text column or any readable personal data; else return it."""
+    """Raise if the table has a raw-text column or key, or any readable personal data; else return it."""
     _reject_columns(df)
+    if not df.where(row_has_raw_key(df)).isEmpty():
+        raise ExportPrivacyError("Nothing was written: a map has the name of a raw-text column as a key.")
     for row in privacy_findings(df).where("rows > 0").orderBy("entity_type").collect():
-        raise ExportPrivacyError(f"Export rejected: Detected unmasked {row.entity_type} in export text.")
+        raise ExportPrivacyError(f"Nothing was written: {row.rows} row(s) hold readable personal data of type {row.entity_type}.")
     return df
 
 
 def _reject_columns(df: DataFrame) -> None:
     for name in forbidden_columns(df):
-        raise ExportPrivacyError(f"Export rejected: Forbidden column '{name}' present in export DataFrame.")
+        raise ExportPrivacyError(f"Nothing was written: '{name}' is a raw-text column.")
 
 
 def guarded(df: DataFrame) -> DataFrame:
-    """The gate as part of the write itself: the job fails, and commits nothing, at the first bad row.
+    """The gate as part of the write itself: the job fails, and commits nothing, at the first bad row, and names the type.
 
     Saves the extra pass ``privacy_gate`` needs; meant for large outputs.
     """
     _reject_columns(df)
-    stop = F.raise_error(F.lit("Export rejected: Detected unmasked personal data in export text."))
     first = df.columns[0]
-    bad = row_reveals(df)
-    return df.withColumn(first, F.when(bad, stop.cast(df.schema[first].dataType)).otherwise(F.col(f"`{first}`")))
+    kind = df.schema[first].dataType
+    refused = F
+    for t in fixed.GATE_TYPES:
+        refused = refused.when(row_reveals(df, t), F.lit(f"Nothing was written: a row holds readable personal data of type {t}."))
+    refused = refused.when(row_has_raw_key(df), F.lit("Nothing was written: a map has the name of a raw-text column as a key."))
+    # One cheap test for all types decides whether the types are told apart.
+    bad = row_reveals(df) | row_has_raw_key(df)
+    return df.withColumn(first, F.when(bad, F.raise_error(refused).cast(kind)).otherwise(F.col(f"`{first}`")))
 
 
 # --- records and insights ---------------------------------------------------
@@ -182,24 +198,25 @@ def insight_documents(ranked: DataFrame, decisions: DataFrame | None = None) ->
         "theme_name", "priority_score", "mention_count", "primary_count", "secondary_count", "feedback_percentage",
         "average_rating", "evidence_strength", "confidence", "review_status", "reviewer_note",
         components.alias("priority_components"), quotes.alias("evidence_quotes"),
-        "sentiment_distribution", "severity_distribution", "source_distribution", "segment_distribution",
+        "sentiment_distribution", "severity_distribution",
         "possible_root_causes", "suggested_product_actions",
     ).orderBy(F.desc("priority_score"), F.desc("mention_count"), "theme_name")
 
 
 def export_insights_json(
-    ranked: DataFrame, feedback_ids: DataFrame, path: str, decisions: DataFrame | None = None, exported_at: str | None = None
+    ranked: DataFrame, distributions: DataFrame, feedback_ids: DataFrame, path: str,
+    decisions: DataFrame | None = None, exported_at: str | None = None
 ) -> None:
-    """JSON lines under ``path``: ``meta``, ``insights`` and ``source_feedback_ids`` (one line per theme and id)."""
-    documents = insight_documents(ranked, decisions)
+    """JSON lines under ``path``: ``meta``, ``insights``, ``distributions`` (one line per theme, kind and value) and
+    ``source_feedback_ids`` (one line per theme and id).  The insights, a row per theme, are computed once."""
+    ranked = stage(ranked, "ranked")
     meta = ranked.agg(
         F.lit(exported_at or _now()).alias("exported_at"), F.count(F.lit(1)).alias("total_themes"),
         F.lit(fixed.DISCLAIMER).alias("disclaimer"),
     )
-    options = {"ignoreNullFields": False}
-    guarded(documents).write.options(**options).json(f"{path}/insights")
-    guarded(feedback_ids).write.options(**options).json(f"{path}/source_feedback_ids")
-    guarded(meta).write.options(**options).json(f"{path}/meta")
+    tables = {"insights": insight_documents(ranked, decisions), "distributions": distributions, "source_feedback_ids": feedback_ids, "meta": meta}
+    for name, table in tables.items():
+        guarded(table).write.options(ignoreNullFields=False).json(f"{path}/{name}")
 
 
 # --- Markdown report --------------------------------------------------------
@@ -230,29 +247,25 @@ def report_lines(
     """The report as ordered lines.
 
     Supporting ids take one line each, so a theme with a billion records needs
-    neither a huge row nor a single task; the sort is a range partitioning.
+    neither a huge row nor a single task; the sort is a range partitioning.  The
+    insights, a row per theme with its decision, are computed once for all parts.
     """
-    decided = apply_decisions(ranked, decisions)
-    n = ranked.count()
+    decided = stage(apply_decisions(ranked, decisions), "decided")
+    n = decided.count()
     order = F.array_sort(F.collect_list(F.struct(
         (-F.col("priority_score")).alias("a"), (-F.col("mention_count")).alias("b"), F.col("theme_name"))))
     # One entry per theme of the rule table: a bounded list.
     places = decided.agg(order.alias("o")).select(F.posexplode("o").alias("theme_rank", "o")).select("theme_rank", "o.theme_name")
     themes = decided.join(F.broadcast(places), "theme_name")
-    part, quote = F.col("priority_components"), F.col("evidence_quotes")
-
-    head = ["# Voice-of-Customer Executive Report", "", f"**Report generated:** {generated_at or _now()}", "",
-            "## Dataset Summary", f"- **Total feedback records (uploaded):** {total_records}",
-            f"- **Valid records analyzed:** {analyzed_records}", f"- **Total theme insights:** {n}", "",
-            "## Theme Insights Overview",
-            "| Theme | Priority | Mentions | Primary | Secondary | % Feedback | Evidence Strength | Status |",
-            "|---|---|---|---|---|---|---|---|"]
-    tail = ["## Methodology & Limitations",
-            "- All analysis uses local rule-based models and TF-IDF batch processing.",
-            "- Uploaded data and review decisions describe only the current dataset.",
-            "- Heuristic priority scores combine frequency, severity, and confidence.", "", "## Privacy Statement",
-            "Exports contain masked text only. Raw customer feedback text and unmasked PII are never included in export outputs.",
-            "", f"> {fixed.DISCLAIMER}", ""]
+    part, title = F.col("priority_components"), fixed.REPORT
+
+    head = [title["title"], "", f"{title['generated']} {generated_at or _now()}", "", title["summary"],
+            f"{title['records']} {total_records}", f"{title['analyzed']} {analyzed_records}", f"{title['themes']} {n}", "",
+            title["overview"], title["overview_columns"], title["overview_rule"]]
+    tail = [title["methods"], *title["method_notes"], "", title["privacy"], title["privacy_note"], "", f"> {fixed.DISCLAIMER}", ""]
+
+    def said(label: str, *parts: Column | str) -> Column:
+        return F.concat(F.lit(title[label] + " "), *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])
 
     cells = ["theme_name", _f(F.col("priority_score"), 4), "mention_count", "primary_count", "secondary_count",
              F.concat(_f(F.col("feedback_percentage"), 1), F.lit("%")), "evidence_strength", "review_status"]
@@ -260,26 +273,24 @@ def report_lines(
         F.lit(1).alias("block"), "theme_rank", F.lit(0).alias("part"), F.lit(0).alias("item"), F.lit("").alias("sort_id"),
         F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c).cast("string") if isinstance(c, str) else c for c in cells]), F.lit(" |")).alias("line"),
     )
-    title = F.concat(F.lit("### "), theme_label(F.col("theme_name")))
     facts = [
-        title,
-        F.concat(F.lit("- **Priority Score:** "), _f(F.col("priority_score"), 4)),
-        F.concat(F.lit("  - Components: Frequency="), _f(part["frequency_score"], 4), F.lit(", Severity="),
-                 _f(part["severity_score"], 4), F.lit(", Confidence="), _f(part["confidence_score"], 4)),
-        F.format_string("- **Mention Count:** %d (Primary: %d, Secondary: %d)", "mention_count", "primary_count", "secondary_count"),
-        F.concat(F.lit("- **Feedback Percentage:** "), _f(F.col("feedback_percentage"), 1), F.lit("%")),
-        F.concat(F.lit("- **Evidence Strength:** "), F.col("evidence_strength"), F.lit(" (Confidence: "), _f(F.col("confidence"), 3), F.lit(")")),
-        F.concat(F.lit("- **Review Status:** "), F.col("review_status")),
-        F.when(F.col("reviewer_note") != "", F.concat(F.lit("- **Reviewer Note:** "), F.col("reviewer_note"))),
-        F.lit("- **Supporting Feedback IDs:**"),
+        F.concat(F.lit("### "), theme_label(F.col("theme_name"))),
+        said("score", _f(F.col("priority_score"), 4)),
+        F.format_string(title["components"], *[_f(part[f"{c}_score"], 4) for c in ("frequency", "severity", "confidence")]),
+        F.format_string(title["mentions"], "mention_count", "primary_count", "secondary_count"),
+        said("percentage", _f(F.col("feedback_percentage"), 1), F.lit("%")),
+        F.format_string(title["strength"], "evidence_strength", _f(F.col("confidence"), 3)),
+        said("status", "review_status"),
+        F.when(F.col("reviewer_note") != "", said("note", "reviewer_note")),
+        F.lit(title["ids"]),
     ]
+    item = lambda text: F.concat(F.lit("  - "), text)
+    quote = F.filter("evidence_quotes", lambda q: q["validation_status"] == "valid")
     quoted = F.concat(
-        F.when(F.size(quote) > 0, F.array(F.lit("- **Validated Masked Quotes:**"))).otherwise(F.array().cast("array<string>")),
-        F.transform(quote, lambda q: F.concat(F.lit("  - `"), q["feedback_id"], F.lit('`: "'), q["quote"], F.lit('"'))),
-        F.array(F.lit("- **Possible Root Causes (PM Validation Required):**")),
-        F.transform("possible_root_causes", lambda t: F.concat(F.lit("  - "), t)),
-        F.array(F.lit("- **Suggested Product Actions (Suggestions Only):**")),
-        F.transform("suggested_product_actions", lambda t: F.concat(F.lit("  - "), t)),
+        F.when(F.size(quote) > 0, F.array(F.lit(title["quotes"]))).otherwise(F.array().cast("array<string>")),
+        F.transform(quote, lambda q: item(F.concat(F.lit("`"), q["feedback_id"], F.lit('`: "'), q["quote"], F.lit('"')))),
+        F.array(F.lit(title["causes"])), F.transform("possible_root_causes", item),
+        F.array(F.lit(title["actions"])), F.transform("suggested_product_actions", item),
         F.array(F.lit("")),
     )
 
@@ -289,12 +300,13 @@ def report_lines(
             F.posexplode(F.array_compact(lines)).alias("item", "line"),
         ).select("block", "theme_rank", "part", "item", F.lit("").alias("sort_id"), "line")
 
-    ids = feedback_ids.join(F.broadcast(places), "theme_name").select(
+    listed = F.broadcast(places).join(feedback_ids, "theme_name", "left")  # a theme without ids keeps one line
+    ids = listed.select(
         F.lit(3).alias("block"), "theme_rank", F.lit(1).alias("part"), F.lit(0).alias("item"),
-        F.col("feedback_id").alias("sort_id"), F.concat(F.lit("  - "), F.col("feedback_id")).alias("line"),
+        F.coalesce("feedback_id", F.lit("")).alias("sort_id"), F.concat(F.lit("  - "), F.coalesce("feedback_id", F.lit(title["no_ids"]))).alias("line"),
     )
     pieces = [
-        _text_lines(ranked, 0, head), overview, _text_lines(ranked, 2, ["", "## Detailed Theme Breakdown"]),
+        _text_lines(ranked, 0, head), overview, _text_lines(ranked, 2, ["", title["details"]]),
         section(0, F.array(*facts)), ids, section(2, quoted), _text_lines(ranked, 4, tail),
     ]
     return reduce(DataFrame.unionByName, pieces).orderBy("block", "theme_rank", "part", "item", "sort_id")

@@ -5,15 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core where a table scan has fewer splits than there are cores.
-
-    Only small inputs have so few splits, so the shuffle is small whenever it
-    happens at all; a large table passes through untouched.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spread(spark.read.parquet(path))
+    """The table as it is stored.  How finely it is read is set by ``spark.sql.files.maxPartitionBytes``."""
+    return spark.read.parquet(path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from voxtally import fixed
 from voxtally.functions import pii, topics
@@ -43,15 +43,15 @@ def joined(column: Column | str) -> Column:
 
 
 RAW, MASKED = views.raw_sql(), views.masked_sql()
-AN = (MASKED, sp.analysis_ctes("masked"))
+AN = (MASKED, sp.analysis_ctes("masked", fallback=True))
 MENTIONS = (*AN, sp.mention_ctes())
 INSIGHTS = (*MENTIONS, sp.quote_ctes(), sp.insight_ctes())
 
 
 def analysed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(analysis by keyword rules, feedback) over the event feedback."""
+    """(whole analysis with the similarity fallback, feedback) over the event feedback."""
     fb = views.masked(spark, sf)
-    return an.analyze_rows(fb), fb
+    return an.analyze_feedback(fb), fb
 
 
 def mention_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
@@ -100,11 +100,43 @@ def map_columns(spark, sf):
     return mapped.withColumn("feedback_id", F.col("feedback_id").cast("string"))
 
 
-@register("load_and_validate", query(RAW, CSV_RAW, sp.clean_ctes("csv_raw"), select=sp.CLEANED_SELECT.replace("SELECT _row_number,", "SELECT")))
+CSV_CLEAN = (RAW, CSV_RAW, sp.clean_ctes("csv_raw"))
+
+
+def _ingested(spark, sf) -> feedback_csv.Ingest:
+    """The raw feedback as one CSV file in the order of its numbers, and back through the whole ingest."""
+    rows = views.raw(spark, sf).coalesce(1).sortWithinPartitions("_row_number").drop("_row_number")
+    return feedback_csv.load_and_validate(spark, _write_csv(rows, "raw"))
+
+
+@register("load_and_validate", query(*CSV_CLEAN, select=sp.CLEANED_SELECT))
 def load_and_validate(spark, sf):
-    path = _write_csv(views.raw(spark, sf).drop("_row_number"), "raw")
-    # Parts are files of their own, so the line number is not the row number of the view.
-    return feedback_csv.load_and_validate(spark, path).all_rows.drop("_row_number")
+    return _ingested(spark, sf).all_rows
+
+
+@register("ingest_issues", query(*CSV_CLEAN, select="SELECT * FROM issues"))
+def ingest_issues(spark, sf):
+    return _ingested(spark, sf).issues
+
+
+@register("ingest_messages", query(*CSV_CLEAN, select="SELECT severity, message, count(*) AS rows FROM issues GROUP BY ALL"))
+def ingest_messages(spark, sf):
+    return _ingested(spark, sf).messages
+
+
+@register("ingest_report", query(*CSV_CLEAN, select="""SELECT count(*) AS total_rows, count(*) FILTER (row_status <> 'error') AS valid_rows,
+  count(*) FILTER (row_status = 'error') AS invalid_rows, count(*) FILTER (e_text IS NOT NULL) AS empty_feedback_rows,
+  count(*) FILTER (dup_id) AS duplicate_id_rows, count(*) FILTER (dup_text) AS duplicate_text_rows,
+  count(*) FILTER (e_rating IS NOT NULL) AS invalid_rating_rows, count(*) FILTER (e_date IS NOT NULL) AS invalid_date_rows,
+  '' AS missing_required_columns, 'product_area' AS missing_optional_columns, 'utf-8' AS detected_encoding,
+  count(*) > 0 AS size_known, 'feedback_id|feedback_text|source|date|rating|user_type|region|language' AS detected_columns,
+  'date>date|feedback_id>feedback_id|feedback_text>feedback_text|language>language|rating>rating|region>region|source>source|user_type>user_type' AS mapped_columns FROM cleaned"""))
+def ingest_report(spark, sf):
+    report = _ingested(spark, sf).report
+    pairs = F.array_sort(F.transform(F.map_entries("mapped_columns"), lambda e: F.concat(e["key"], F.lit(">"), e["value"])))
+    return report.select(*report.columns[:8], joined("missing_required_columns").alias("missing_required_columns"),
+                         joined("missing_optional_columns").alias("missing_optional_columns"), "detected_encoding",
+                         (F.col("file_size_bytes") > 0).alias("size_known"), joined("detected_columns").alias("detected_columns"), joined(pairs).alias("mapped_columns"))
 
 
 @register("load_taxonomy", query(MASKED, sp.keyword_ctes("masked", preset="saas"), select="""
@@ -122,8 +154,23 @@ def taxonomy(spark, sf):
 
 @register("row_numbering", "SELECT doc_id, doc_id + 2 AS row_number FROM documents")
 def row_numbering(spark, sf):
-    numbered = feedback_csv.number_rows(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id"))
-    return numbered.select("doc_id", F.col("_row_number").alias("row_number"))
+    """One text file of the ids in order, read in splits of 4 KB: each split's first row needs the counts of those before it."""
+    path = new_folder(spark, "lines")
+    views.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("value")).coalesce(1).sortWithinPartitions(F.col("value").cast("long")).write.text(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = feedback_csv.tag_rows(spark.read.text(path))
+        numbered = stage(feedback_csv.number_rows(stage(lines, "tagged")), "numbered")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return numbered.select(F.col("value").cast("long").alias("doc_id"), F.col("_row_number").alias("row_number"))
+
+
+@register("row_numbering_parquet", "SELECT doc_id, doc_id + 2 AS row_number FROM documents")
+def row_numbering_parquet(spark, sf):
+    scan = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "_metadata")
+    return feedback_csv.number_parquet_rows(scan).select("doc_id", F.col("_row_number").alias("row_number"))
 
 
 @register("trim_to_null", query(RAW, select=f"""SELECT _row_number, {sp.to_null('feedback_id')} AS feedback_id,
@@ -207,13 +254,56 @@ def conformance_report(spark, sf):
     return quality.conformance_report(rows, "feedback")
 
 
-@register("conformance_analysis", query(*AN, select="""
-  SELECT unnest(['feedback_id_filled', 'sentiment_known', 'severity_known', 'intent_known', 'analysis_method_known', 'sentiment_score_0_1',
-    'primary_confidence_0_1', 'confidence_0_1', 'severity_score_1_5']) AS constraint_name, count(*) AS rows_checked, 0 AS violations FROM an"""))
+def _violations(rows: str, tests: dict[str, str]) -> str:
+    """SQL for a conformance report: each test says when a row conforms."""
+    return " UNION ALL ".join(f"SELECT {q(n)} AS constraint_name, count(*) AS rows_checked, count(*) FILTER (NOT coalesce({t}, false)) AS violations FROM {rows}" for n, t in tests.items())
+
+
+def _known(column: str, allowed) -> str:
+    return f"lower({sp.to_null(column)}) IN ({', '.join(q(a) for a in allowed)})"
+
+
+@register("conformance_analysis", query(*AN, select=_violations("an", {
+    "feedback_id_filled": f"{sp.to_null('feedback_id')} IS NOT NULL", "sentiment_known": _known("sentiment", fixed.SENTIMENTS),
+    "severity_known": _known("severity", (*fixed.SEVERITIES, "unknown")), "intent_known": _known("intent", fixed.INTENTS),
+    "analysis_method_known": _known("analysis_method", fixed.ANALYSIS_METHODS), "sentiment_score_0_1": "sentiment_score BETWEEN 0 AND 1",
+    "primary_confidence_0_1": "primary_confidence BETWEEN 0 AND 1", "confidence_0_1": "confidence BETWEEN 0 AND 1",
+    "severity_score_1_5": "severity_score BETWEEN 1 AND 5"})))
 def conformance_analysis(spark, sf):
     return quality.conformance_report(analysed(spark, sf)[0], "analysis")
 
 
+# Labelled rows made of the events, some of them spoilt.
+LABELLED_SQL = f"""lab AS (SELECT feedback_id, feedback_text, CASE WHEN _row_number % 7 = 1 THEN ' ' ELSE 'fees' END AS expected_theme,
+  CASE WHEN _row_number % 11 = 2 THEN NULL ELSE 'billing' END AS expected_product_area,
+  ({views.sql_list(('negative', ' Mixed ', 'angry', 'neutral', ''))})[CAST(_row_number % 5 AS INT) + 1] AS expected_sentiment,
+  ({views.sql_list(('low', 'HIGH', 'unknown', 'critical'))})[CAST(_row_number % 4 AS INT) + 1] AS expected_severity FROM raw)"""
+
+
+@register("conformance_evaluation", query(RAW, LABELLED_SQL, select=_violations("lab", {
+    **{f"{c}_filled": f"{sp.to_null(c)} IS NOT NULL" for c in ("feedback_id", "feedback_text", "expected_theme", "expected_product_area")},
+    "expected_sentiment_known": _known("expected_sentiment", fixed.SENTIMENTS), "expected_severity_known": _known("expected_severity", fixed.SEVERITIES)})))
+def conformance_evaluation(spark, sf):
+    n = F.col("_row_number")
+    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), (n % len(values)).cast("int"))
+    rows = views.raw(spark, sf).select(
+        "feedback_id", "feedback_text", F.when(n % 7 == 1, " ").otherwise("fees").alias("expected_theme"),
+        F.when(n % 11 != 2, "billing").alias("expected_product_area"), pick(("negative", " Mixed ", "angry", "neutral", "")).alias("expected_sentiment"),
+        pick(("low", "HIGH", "unknown", "critical")).alias("expected_severity"))
+    return quality.conformance_report(rows, "evaluation")
+
+
+@register("conformance_decision", query(f"""dec AS (SELECT CASE WHEN event_id % 6 = 5 THEN '  ' ELSE 'fees' END AS theme_name,
+  ({views.sql_list((*fixed.REVIEW_STATUSES, 'maybe'))})[CAST(event_id % 5 AS INT) + 1] AS status FROM events)""", select=_violations("dec", {
+    "theme_name_filled": f"{sp.to_null('theme_name')} IS NOT NULL", "status_known": _known("status", fixed.REVIEW_STATUSES)})))
+def conformance_decision(spark, sf):
+    e = F.col("event_id")
+    rows = views.table(spark, sf, "events").select(
+        F.when(e % 6 == 5, "  ").otherwise("fees").alias("theme_name"),
+        F.get(F.array(*[F.lit(v) for v in (*fixed.REVIEW_STATUSES, "maybe")]), (e % 5).cast("int")).alias("status"))
+    return quality.conformance_report(rows, "decision")
+
+
 # === personal data ==========================================================
 
 PII_DOCS = (DOCS_SQL, sp.pii_ctes("docs", "feedback_text"))
@@ -260,6 +350,20 @@ def pii_entities(spark, sf):
                        F.col("e.original_length").cast("long").alias("original_length"), "e.masked_value")
 
 
+# Some spans are spoilt: an end moved, a length off, a token lost.
+@register("conformance_pii", query(RAW, sp.pii_ctes("raw", "feedback_text"), """bad AS (SELECT _row_number, start, CASE WHEN _row_number % 3 = 0 THEN start - 1 ELSE stop END AS stop,
+  stop - start AS original_length, CASE WHEN _row_number % 5 = 0 THEN '' ELSE 'x' END AS masked_value FROM p_span),
+per AS (SELECT _row_number, coalesce(bool_and(stop >= start), true) AS a, coalesce(bool_and(stop - start = original_length), true) AS b,
+  coalesce(bool_and(length(masked_value) > 0), true) AS c FROM raw LEFT JOIN bad USING (_row_number) GROUP BY ALL)""",
+  select=_violations("per", {"span_order": "a", "span_length": "b", "masked_value_filled": "c"})))
+def conformance_pii(spark, sf):
+    n = F.col("_row_number")
+    spoil = lambda e: F.struct(e["start"].alias("start"), F.when(n % 3 == 0, e["start"] - 1).otherwise(e["end"]).alias("end"),
+                               e["original_length"].alias("original_length"), F.when(n % 5 == 0, "").otherwise(e["masked_value"]).alias("masked_value"))
+    rows = _resolved(views.raw(spark, sf)).select("_row_number", pii.pii_entities(F.col("spans")).alias("entities"))
+    return quality.conformance_report(rows.withColumn("entities", F.transform("entities", spoil)), "pii")
+
+
 @register("detect_pii", query(*PII_EVENTS, sp.pii_masked_cte("raw", "feedback_text"), select=f"""SELECT _row_number, masked_text, pii_detected,
   pii_entity_types, pii_review_required, CASE WHEN missing THEN {q(fixed.MSG_PII_MISSING)} END AS pii_warning FROM pm"""))
 def detect_pii(spark, sf):
@@ -348,10 +452,10 @@ def theme_scores(spark, sf):
 
 
 @register("subtheme", query(MASKED, sp.keyword_ctes("masked"), select="""SELECT feedback_id, theme, coalesce(name, 'general') AS subtheme
-  FROM a_text CROSS JOIN rule LEFT JOIN a_sub USING (_row_number, rule_ord)"""))
+  FROM a_score JOIN a_text USING (_row_number) JOIN rule USING (rule_ord) LEFT JOIN a_sub USING (_row_number, rule_ord)"""))
 def subtheme(spark, sf):
-    themes = F.explode(F.array(*[F.lit(r["theme"]) for r in FINTECH])).alias("theme")
-    rows = _hits(spark, sf).select("feedback_id", "_hits", themes)
+    scored = F.explode(F.transform(topics.theme_scores(F.col("_hits"), FINTECH), lambda s: s["theme"])).alias("theme")
+    rows = _hits(spark, sf).select("feedback_id", "_hits", scored)
     return rows.select("feedback_id", "theme", topics.subtheme(F.col("theme"), F.col("_hits"), FINTECH).alias("subtheme"))
 
 
@@ -366,11 +470,11 @@ def severity_score(spark, sf):
     return analysed(spark, sf)[0].select("feedback_id", "severity", topics.severity_score(F.col("severity")).alias("severity_score"))
 
 
-@register("intent", query(MASKED, sp.keyword_ctes("masked"), select=f"""SELECT feedback_id, {sp.intent_case("'complaint'")} AS intent
-  FROM a_text WHERE txt IS NOT NULL"""))
+@register("intent", query(MASKED, sp.keyword_ctes("masked"), select=f"""SELECT feedback_id, CASE WHEN txt IS NULL THEN 'unknown' ELSE {sp.intent_case("'complaint'")} END AS intent
+  FROM a_text"""))
 def intent(spark, sf):
-    rows = _hits(spark, sf).where("_text is not null")
-    return rows.select("feedback_id", topics.intent(F.lower("_text"), F.col("_hits"), F.lit("complaint")).alias("intent"))
+    named = topics.intent(F.lower("_text"), F.col("_hits"), F.lit("complaint"))
+    return _hits(spark, sf).select("feedback_id", F.when(F.col("_text").isNull(), "unknown").otherwise(named).alias("intent"))
 
 
 @register("rank_themes", query(MASKED, sp.keyword_ctes("masked"), select="""SELECT feedback_id, CAST(k - 1 AS INT) AS position, theme, conf AS confidence,
@@ -465,20 +569,39 @@ def tfidf_fallback(spark, sf):
     )
 
 
-@register("cluster_feedback")
-def cluster_feedback(spark, sf):
-    return groups.cluster_feedback(views.docs(spark, sf), column="feedback_text").members.select("feedback_id", "cluster_id")
+# Which record is in which cluster is up to the iterative fit; what must hold of any fit can be said in SQL.
+DOC_TEXTS = query(DOCS_SQL, f"d AS (SELECT count(*) AS records, count({sp.norm('feedback_text')}) AS texts, least(count({sp.norm('feedback_text')}), {fixed.CLUSTER_DEFAULT_K}) AS k FROM docs)",
+                  select="SELECT records, texts AS labelled, k, k AS labels, CAST(0 AS INT) AS lowest, CAST(k - 1 AS INT) AS highest FROM d")
 
 
-@register("cluster_terms")
-def cluster_terms(spark, sf):
-    return groups.cluster_terms(groups.cluster_feedback(views.masked(spark, sf)))
+@register("cluster_feedback", DOC_TEXTS)
+def cluster_feedback(spark, sf):
+    found = groups.cluster_feedback(views.docs(spark, sf), column="feedback_text")
+    c = F.col("cluster_id")
+    return found.members.agg(F.count(F.lit(1)).alias("records"), F.count(c).alias("labelled"), F.lit(found.k).cast("long").alias("k"),
+                             F.count_distinct(c).alias("labels"), F.min(c).alias("lowest"), F.max(c).alias("highest"))
 
 
-@register("cluster_summary")
+@register("cluster_terms", query(MASKED, f"d AS (SELECT least(count({sp.norm('masked_text')}), {fixed.CLUSTER_DEFAULT_K}) AS k FROM masked)", f"c AS (SELECT unnest(range(k)) AS cluster_id FROM d)", select=f"""
+  SELECT CAST(cluster_id AS INT) AS cluster_id, CAST({fixed.CLUSTER_TERMS} AS BIGINT) AS terms, true AS ranked, true AS weights_fall, true AS in_vocabulary FROM c"""))
+def cluster_terms(spark, sf):
+    """Five terms a cluster, numbered, weights falling, all from the vocabulary."""
+    found = groups.cluster_feedback(views.masked(spark, sf))
+    rows = groups.cluster_terms(found)
+    before = F.lag("mean_weight").over(Window.partitionBy("cluster_id").orderBy("term_rank"))
+    known = found.model.term_table(spark).select("term").withColumn("known", F.lit(True))
+    rows = rows.withColumn("falls", F.coalesce(before >= F.col("mean_weight"), F.lit(True))).join(F.broadcast(known), "term", "left")
+    return rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("terms"), (F.max("term_rank") == F.count(F.lit(1))).alias("ranked"),
+                                          F.min("falls").alias("weights_fall"), (F.count("known") == F.count(F.lit(1))).alias("in_vocabulary"))
+
+
+@register("cluster_summary", query(MASKED, f"d AS (SELECT count({sp.norm('masked_text')}) AS texts FROM masked)", select=f"""
+  SELECT least(texts, {fixed.CLUSTER_DEFAULT_K}) AS clusters, texts AS members, least(texts, {fixed.CLUSTER_DEFAULT_K}) AS with_terms, {q(fixed.MSG_CLUSTER)} AS warning FROM d"""))
 def cluster_summary(spark, sf):
+    """Sizes add up to the records with a text."""
     summary = groups.cluster_summary(groups.cluster_feedback(views.masked(spark, sf)))
-    return summary.withColumn("representative_terms", joined("representative_terms"))
+    return summary.agg(F.count(F.lit(1)).alias("clusters"), F.sum("cluster_size").alias("members"),
+                       F.count_if(F.size("representative_terms") > 0).alias("with_terms"), F.max("warning").alias("warning"))
 
 
 # === record analysis ========================================================
@@ -515,9 +638,10 @@ def _flat_analysis(df: DataFrame, digits: int | None = None) -> DataFrame:
     )
 
 
-@register("analyze_rows", query(*AN, select=f"SELECT {AN_COLUMNS.format(conf='primary_confidence')} FROM an"))
+@register("analyze_rows", query(MASKED, sp.analysis_ctes("masked"), select=f"SELECT {AN_COLUMNS.format(conf='primary_confidence')} FROM an"))
 def analyze_rows(spark, sf):
-    return _flat_analysis(analysed(spark, sf)[0])
+    """The keyword rules alone, as a stream runs them."""
+    return _flat_analysis(an.analyze_rows(views.masked(spark, sf)))
 
 
 @register("analyze_feedback", query(MASKED, sp.analysis_ctes("masked", fallback=True),
@@ -542,7 +666,7 @@ def theme_mentions(spark, sf):
 
 
 def _some_feedback(fb: DataFrame) -> DataFrame:
-    """The feedback without its phone-channel rows: leaves orphan analyses behind."""
+    """The feedback without the rows of one source: leaves orphan analyses behind."""
     return fb.where("source <> 'click'")
 
 
@@ -640,6 +764,33 @@ def _flat_insights(df: DataFrame, *extra: str) -> DataFrame:
     )
 
 
+@register("conformance_insight", query(*INSIGHTS, select=_violations("ins", {
+    "theme_name_filled": f"{sp.to_null('theme_name')} IS NOT NULL", "mention_count_not_negative": "mention_count >= 0",
+    "mentions_add_up": "mention_count = primary_count + secondary_count", "feedback_percentage_0_100": "feedback_percentage BETWEEN 0 AND 100",
+    "confidence_0_1": "confidence BETWEEN 0 AND 1", "evidence_strength_known": _known("evidence_strength", fixed.EVIDENCE_STRENGTHS),
+    "human_review_status_known": "true"})))
+def conformance_insight(spark, sf):
+    return quality.conformance_report(insight_rows(spark, sf)[0], "insight")
+
+
+@register("theme_distributions", query(*MENTIONS, select=" UNION ALL ".join(
+    f"SELECT theme_name, {q(kind)} AS kind, {value} AS value, count(*) AS records FROM mt {where} GROUP BY ALL" for kind, value, where in (
+        ("sentiment", "coalesce(sentiment, 'unknown')", ""), ("severity", "coalesce(severity, 'unknown')", ""), ("source", "coalesce(source, 'unknown')", ""),
+        ("segment", "coalesce(user_type, 'unknown')", ""), ("day", "strftime(day, '%Y-%m-%d')", "WHERE day IS NOT NULL")))))
+def theme_distributions(spark, sf):
+    return insights.aggregate_themes(*analysed(spark, sf)).distributions
+
+
+@register("insight_texts", query(*INSIGHTS, f"cause(theme_name, text) AS ({CAUSES})", f"act(theme_name, atext) AS ({ACTIONS})", select=f"""SELECT theme_name,
+  concat_ws('|', 'Observed evidence: ' || mention_count || ' feedback record(s) mention ' || replace(theme_name, '_', ' ') || '.',
+    'Possible interpretation: ' || text, {q(fixed.ROOT_CAUSE_CAVEAT)}, 'Suggested action: ' || atext, {q(fixed.ACTION_CAVEAT)}) AS texts,
+  (SELECT total FROM tot) AS total, 0 AS excluded, warnings FROM ins JOIN cause USING (theme_name) JOIN act USING (theme_name)"""))
+def insight_texts(spark, sf):
+    done = insights.aggregate_themes(*analysed(spark, sf))
+    texts = joined(F.concat("possible_root_causes", "suggested_product_actions")).alias("texts")
+    return done.insights.select("theme_name", texts, F.lit(done.total).cast("long").alias("total"), F.lit(done.excluded).cast("int").alias("excluded"), joined("warnings").alias("warnings"))
+
+
 @register("aggregate_themes", query(*INSIGHTS, select=f"SELECT {INS_COLUMNS} FROM ins"))
 def aggregate_themes(spark, sf):
     return _flat_insights(insights.aggregate_themes(*analysed(spark, sf)).insights)
@@ -724,14 +875,16 @@ def theme_priority(spark, sf):
 
 @register("prioritize", query(*INSIGHTS, select=f"""SELECT {PRIORITY_COLUMNS}, row_number() OVER (ORDER BY priority_score DESC, mention_count DESC, theme_name) - 1 AS place FROM ins"""))
 def prioritize(spark, sf):
-    # Themes are as many as there are rules: a small table, numbered after the sort.
-    return _flat_priority(ranked_rows(spark, sf)).coalesce(1).withColumn("place", F.monotonically_increasing_id())
+    # Themes are as many as there are rules: the window over all of them is small.
+    order = Window.orderBy(F.desc("priority_score"), F.desc("mention_count"), "theme_name")
+    return _flat_priority(ranked_rows(spark, sf)).withColumn("place", (F.row_number().over(order) - 1).cast("long"))
 
 
 # === explorer ===============================================================
 
 EXPLORER_SELECT = """SELECT feedback_id, source, date, rating, sentiment, primary_theme, secondary_themes, severity, intent, product_area, confidence,
   requires_human_review, analysis_method, CAST(NULL AS INT) AS cluster_id, pii_detected, masked_text FROM an JOIN masked USING (feedback_id)"""
+CLUSTERED = f"{sp.norm('masked_text')} IS NOT NULL"
 EXPLORER = (*AN, f"ex AS ({EXPLORER_SELECT})")
 
 
@@ -740,9 +893,28 @@ def _explorer(spark, sf) -> DataFrame:
     return explore.explorer_table(stage(analysis, "analysis"), fb)
 
 
-@register("explorer_table", query(*EXPLORER, select="SELECT * FROM ex"))
+@register("explorer_table", query(*EXPLORER, select=f"SELECT * EXCLUDE (cluster_id), {CLUSTERED} AS clustered FROM ex"))
 def explorer_table(spark, sf):
-    return _explorer(spark, sf)
+    """With clusters; which number a cluster has is up to the fit, so only whether a record is in one is compared."""
+    done = pipeline.run_pipeline(views.masked(spark, sf))
+    table = explore.explorer_table(pipeline.with_clusters(done.analysis, done.clusters), done.masked)
+    return table.withColumn("clustered", F.col("cluster_id").isNotNull()).drop("cluster_id")
+
+
+@register("with_clusters", query(*AN, select=f"SELECT feedback_id, primary_theme, confidence, {CLUSTERED} AS clustered FROM an JOIN masked USING (feedback_id)"))
+def with_clusters(spark, sf):
+    """Every record with a text has a cluster, and nothing else changes."""
+    done = pipeline.run_pipeline(views.masked(spark, sf))
+    return pipeline.with_clusters(done.analysis, done.clusters).select("feedback_id", "primary_theme", "confidence", F.col("cluster_id").isNotNull().alias("clustered"))
+
+
+@register("analysis_warnings", query(MASKED, """twice AS (SELECT *, CASE WHEN _row_number % 9 = 0 THEN 'same' ELSE feedback_id END AS fid FROM masked)""", select=f"""
+  SELECT CASE WHEN (SELECT count(*) FROM masked) = 0 THEN {q(fixed.MSG_ANALYSIS_EMPTY)}
+    WHEN count(*) > 0 THEN {q(fixed.MSG_ANALYSIS_DUPLICATES)} ELSE '' END AS warnings FROM (SELECT fid FROM twice GROUP BY ALL HAVING count(*) > 1)"""))
+def analysis_warnings(spark, sf):
+    repeated = views.masked(spark, sf).withColumn("feedback_id", F.when(F.col("_row_number") % 9 == 0, "same").otherwise(F.col("feedback_id")))
+    found = an.analysis_warnings(an.analyze_feedback(repeated))
+    return spark.createDataFrame([("|".join(found),)], "warnings string")
 
 
 @register("filter_explorer", query(*EXPLORER, select="""SELECT * FROM ex WHERE sentiment IN ('negative', 'mixed') AND severity IN ('high', 'critical')
@@ -781,15 +953,6 @@ def urgency(spark, sf):
 TITLE = "array_to_string(list_transform(string_split(theme_name, '_'), lambda w: upper(w[1]) || substr(w, 2)), ' ')"
 
 
-@register("labels", query(*INSIGHTS, select=f"""SELECT theme_name, {TITLE} AS theme_label, upper(evidence_strength[1]) || substr(evidence_strength, 2) AS evidence_label,
-  'Pending' AS status_label FROM ins"""))
-def labels(spark, sf):
-    return insight_rows(spark, sf)[0].select(
-        "theme_name", present.theme_label(F.col("theme_name")).alias("theme_label"), present.evidence_label(F.col("evidence_strength")).alias("evidence_label"),
-        present.status_label(F.col("human_review_status")).alias("status_label"),
-    )
-
-
 # Decisions made of the events: a theme is decided at every event, removed at some.
 DECISION_SQL = f"""
 dlog AS (SELECT ({views.sql_list([r['theme'] for r in FINTECH])})[CAST(user_id % 9 AS INT) + 1] AS theme_name,
@@ -819,6 +982,16 @@ def decision_state(spark, sf) -> DataFrame:
     return dec.decision_state(decision_log(spark, sf))
 
 
+@register("labels", query(*INSIGHTS, DECISION_SQL, select=f"""SELECT theme_name, {TITLE} AS theme_label, upper(evidence_strength[1]) || substr(evidence_strength, 2) AS evidence_label,
+  CASE coalesce(status, 'pending') WHEN 'pending' THEN 'Pending' WHEN 'approved' THEN 'Approved' WHEN 'rejected' THEN 'Rejected'
+    ELSE 'Needs more evidence' END AS status_label FROM ins LEFT JOIN dstate USING (theme_name)"""))
+def labels(spark, sf):
+    return dec.apply_decisions(insight_rows(spark, sf)[0], decision_state(spark, sf)).select(
+        "theme_name", present.theme_label(F.col("theme_name")).alias("theme_label"), present.evidence_label(F.col("evidence_strength")).alias("evidence_label"),
+        present.status_label(F.col("review_status")).alias("status_label"),
+    )
+
+
 @register("insights_table", query(*INSIGHTS, DECISION_SQL, select=f"""SELECT theme_name, {TITLE} AS theme_label, round_even(priority_score, 4) AS priority_score, mention_count,
   primary_count, secondary_count, round_even(feedback_percentage, 1) AS feedback_percentage, average_rating, evidence_strength, confidence,
   coalesce(status, 'pending') AS human_review_status, quotes AS valid_quotes, mention_count AS supporting_ids, warnings_count
@@ -844,7 +1017,8 @@ def evidence_warning_count(spark, sf):
 @register("format_distribution", query(*MENTIONS, select="""SELECT theme_name, string_agg(value || ': ' || n, ', ' ORDER BY value) AS sources FROM (
   SELECT theme_name, coalesce(source, 'unknown') AS value, count(*) AS n FROM mt GROUP BY ALL) GROUP BY ALL"""))
 def format_distribution(spark, sf):
-    return insight_rows(spark, sf)[0].select("theme_name", present.format_distribution(F.col("source_distribution")).alias("sources"))
+    aggregation = insights.aggregate_themes(*analysed(spark, sf))
+    return present.format_distribution(aggregation.distributions, "source").withColumnRenamed("text", "sources")
 
 
 @register("overview_stats", query(*INSIGHTS, select="""SELECT any_value(total) AS customer_responses, count(*) AS issues_identified,
@@ -870,11 +1044,22 @@ def short_explanation(spark, sf):
 # === decisions and sinks ====================================================
 
 
-@register("save_decision", query(DECISION_SQL, select="SELECT theme_name, status, reviewer_note, created_at, updated_at FROM dstate"))
-def save_decision(spark, sf):
+@register("decision_state", query(DECISION_SQL, select="SELECT theme_name, status, reviewer_note, created_at, updated_at FROM dstate"))
+def all_decision_states(spark, sf):
     return decision_state(spark, sf)
 
 
+@register("save_decision", query(DECISION_SQL, select="""SELECT theme_name, CASE WHEN theme_name = 'fees' THEN 'approved' ELSE status END AS status,
+  CASE WHEN theme_name = 'fees' THEN 'checked' ELSE reviewer_note END AS reviewer_note, created_at FROM dstate"""))
+def save_decision(spark, sf):
+    """The events as a written log, then one more save through the store; the log is compacted after it."""
+    store = dec.DecisionStore(spark, new_folder(spark, "decisions"))
+    decision_log(spark, sf).write.parquet(store.path)
+    store.save_decision(" fees ", "approved", "checked")
+    store.compact()
+    return store.all_decisions().select("theme_name", "status", "reviewer_note", "created_at")
+
+
 @register("get_decision", query(DECISION_SQL, select="SELECT theme_name, status, reviewer_note FROM dstate WHERE theme_name = 'fees'"))
 def get_decision(spark, sf):
     one = decision_log(spark, sf).where("theme_name = 'fees'")
@@ -907,7 +1092,7 @@ def apply_decisions(spark, sf):
 # Exports run on really masked rows: clean, mask, analyse.
 TIDY = (RAW, sp.clean_ctes(), f"valid AS ({sp.CLEANED_SELECT} WHERE row_status <> 'error')", sp.pii_ctes("valid", "feedback_text"),
         sp.pii_masked_cte("valid", "feedback_text", "safe", "s.* EXCLUDE (feedback_text)"))
-TIDY_AN = (*TIDY, sp.analysis_ctes("safe"))
+TIDY_AN = (*TIDY, sp.analysis_ctes("safe", fallback=True))
 TIDY_INS = (*TIDY_AN, sp.mention_ctes("safe"), sp.quote_ctes(), sp.insight_ctes())
 
 
@@ -917,24 +1102,23 @@ def tidy(spark, sf) -> DataFrame:
 
 
 def tidy_ranked(spark, sf) -> tuple[DataFrame, insights.Aggregation, DataFrame, DataFrame]:
-    safe = tidy(spark, sf)
-    analysis = stage(an.analyze_rows(safe), "analysis")
-    aggregation = insights.aggregate_themes(analysis, safe)
-    return insights.prioritize(aggregation.insights, aggregation.total), aggregation, analysis, safe
+    done = pipeline.run_pipeline(tidy(spark, sf))
+    return done.ranked, done.aggregation, done.analysis, done.masked
 
 
 @register("export_records", query(*TIDY_AN, DECISION_SQL, select="""SELECT feedback_id, nullif(masked_text, '') AS masked_text, source, date, CAST(rating AS VARCHAR) AS rating, sentiment, primary_theme,
   nullif(secondary_themes, '') AS secondary_themes, severity, intent, product_area, CAST(confidence AS VARCHAR) AS confidence,
-  CAST(requires_human_review AS VARCHAR) AS requires_human_review, analysis_method, CAST(NULL AS VARCHAR) AS cluster_id,
+  CAST(requires_human_review AS VARCHAR) AS requires_human_review, analysis_method, (masked_text <> '' AND lower(trim(masked_text)) <> 'nan') AS clustered,
   CAST(pii_detected AS VARCHAR) AS pii_detected, nullif(replace(pii_entity_types, '|', ', '), '') AS pii_entity_types,
   coalesce(status, 'pending') AS review_status, reviewer_note
   FROM an JOIN (SELECT * EXCLUDE (product_area) FROM safe) USING (feedback_id) LEFT JOIN dstate ON dstate.theme_name = an.primary_theme"""))
 def export_records(spark, sf):
     """Written as CSV and read back as text."""
-    safe = tidy(spark, sf)
+    done = pipeline.run_pipeline(tidy(spark, sf))
     path = new_folder(spark, "records")
-    sinks.export_records_csv(stage(an.analyze_rows(safe), "analysis"), safe, path, decision_state(spark, sf))
-    return spark.read.options(header=True, multiLine=True, escape='"').csv(path)
+    sinks.export_records_csv(pipeline.with_clusters(done.analysis, done.clusters), done.masked, path, decision_state(spark, sf))
+    rows = spark.read.options(header=True, multiLine=True, escape='"').csv(path)
+    return rows.withColumn("clustered", F.col("cluster_id").isNotNull()).drop("cluster_id")
 
 
 @register("export_insights_csv", query(*TIDY_INS, DECISION_SQL, select="""SELECT theme_name, priority_score, mention_count, primary_count, secondary_count,
@@ -958,7 +1142,7 @@ def export_insights_json(spark, sf):
     """Written as JSON lines and read back."""
     ranked, aggregation, _, _ = tidy_ranked(spark, sf)
     path = new_folder(spark, "json")
-    sinks.export_insights_json(ranked, insights.theme_feedback_ids(aggregation.mentions), path)
+    sinks.export_insights_json(ranked, aggregation.distributions, insights.theme_feedback_ids(aggregation.mentions), path)
     documents = spark.read.json(f"{path}/insights")
     ids = spark.read.json(f"{path}/source_feedback_ids").groupBy("theme_name").agg(F.count(F.lit(1)).alias("ids"))
     texts = F.transform("evidence_quotes", lambda x: F.concat(x["feedback_id"], F.lit(" "), x["quote"]))
@@ -987,10 +1171,15 @@ def privacy_gate(spark, sf):
     return sinks.privacy_findings(views.docs(spark, sf))
 
 
+def _any_leaf(columns: tuple[str, ...], pattern: str) -> str:
+    return "(" + " OR ".join(f"coalesce(regexp_matches({c}, {q(pattern)}), false)" for c in columns) + ")"
+
+
 @register("privacy_gate_masked", query(*PII_DOCS, sp.pii_masked_cte("docs", "feedback_text"), select=" UNION ALL ".join(
-    f"SELECT {q(t)} AS entity_type, count(*) FILTER (regexp_matches(masked_text, {q(p)})) AS rows FROM pm" for t, p in GATE.items())))
+    f"SELECT {q(t)} AS entity_type, count(*) FILTER ({_any_leaf(('feedback_id', 'source', 'language', 'masked_text'), p)}) AS rows FROM pm" for t, p in GATE.items())))
 def privacy_gate_masked(spark, sf):
-    return sinks.privacy_findings(privacy.mask_pii(views.docs(spark, sf)).select("source", "masked_text"))
+    """All string columns, ids included: a digit run in an id can look like a phone number."""
+    return sinks.privacy_findings(privacy.safe_columns(privacy.mask_feedback(views.docs(spark, sf))))
 
 
 @register("ranked_insights", query(*TIDY, sp.analysis_ctes("safe", fallback=True), sp.mention_ctes("safe"), sp.quote_ctes(), sp.insight_ctes(), select="""
@@ -1007,7 +1196,7 @@ def ranked_insights(spark, sf):
 def _event_stream(spark, sf) -> DataFrame:
     """The events file as a stream of event feedback."""
     schema = views.table(spark, sf, "events").schema
-    return stream.read_feedback_stream(spark, sf, schema, "events.parquet")
+    return stream.read_feedback_stream(spark, sf, schema, "events.parquet", tasks=min(16, spark.sparkContext.defaultParallelism))
 
 
 def _finish(df: DataFrame, label: str) -> DataFrame:
@@ -1027,13 +1216,14 @@ def stream_analyze(spark, sf):
 
 
 @register("stream_trend", query(MASKED, "m2 AS (SELECT m.* FROM masked m)", sp.analysis_ctes("m2"), sp.mention_ctes("m2"), select="""
-  SELECT theme_name, strftime(ts, '%Y-%m-%d') AS day, count(*) AS records FROM m_one JOIN events ON event_id = CAST(feedback_id AS BIGINT)
-  WHERE CAST(ts AS DATE) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events) GROUP BY ALL"""))
+  SELECT theme_name, strftime(ts, '%Y-%m-%d') AS day, count(*) AS records FROM m_one JOIN events ON event_id = CAST(feedback_id AS BIGINT) GROUP BY ALL"""))
 def stream_trend(spark, sf):
-    """Days that the watermark has closed when the input ends."""
+    """Every day of the input, as a batch run counts it."""
     events = _event_stream(spark, sf)
     rows = views.raw_from(events.withColumn("_ts", F.col("ts")), extra=("_ts",))
     rows = rows.select((F.col("_row_number") - 2).cast("string").alias("feedback_id"), F.col("feedback_text").alias("masked_text"),
                        F.col("_ts").cast("timestamp").alias("_row_number"))
     analysis = an.analyze_rows(rows).withColumnRenamed("_row_number", "event_time")
-    return _finish(stream.stream_trend(analysis, "event_time"), "trend")
+    out = new_folder(spark, "trend")
+    stream.write_updates(stream.stream_trend(analysis, "event_time"), out, new_folder(spark, "trend-state")).awaitTermination()
+    return stream.latest_updates(spark, out, "theme_name", "day")
