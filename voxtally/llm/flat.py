@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that are worked on at once; one longer text is worked on alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 # Word bytes are everything but space and the controls 9 to 13.
 _WORD = np.ones(256, np.uint8)
@@ -49,6 +49,13 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
         at = end
 
 
+def with_text(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with a column ``text``; if it has none, that of the rows in ``kept``, without a copy."""
+    if "text" in batch.schema.names:
+        return batch
+    return pa.RecordBatch.from_arrays([*batch.columns, pc.struct_field(batch.column("kept"), "text")], [*batch.schema.names, "text"])
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes of all texts, offsets); a null text has none."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())

@@ -11,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from voxtally.llm.flat import slices, text_bytes
-from voxtally.llm.tables import fold
+from voxtally.llm.flat import slices, text_bytes, with_text
+from voxtally.llm.tables import fold, with_kept
 
 #: Labelled rows that the counts are taken from, for each language at most (expected number of a hash sample).
 SAMPLE_PER_LANG = 6_000
@@ -116,13 +116,13 @@ def predict(docs: DataFrame, model: Model, kept: Column) -> DataFrame:
     alphabetical order. Only the text is looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.select(F.col("text").alias("text"), kept.alias("kept"))
+    given = with_kept(docs, kept)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.langs, UNKNOWN], object)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(with_text(whole)):
                 found, lettered = grams(batch)
                 if not m.langs:
                     yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array([UNKNOWN] * batch.num_rows, pa.string()), pa.array(np.zeros(batch.num_rows))], ["kept", "lang_pred", "score"])

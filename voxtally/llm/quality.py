@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from voxtally.llm.flat import LOWER, expand, mix, slices, span_hashes, text_bytes, word_spans
-from voxtally.llm.tables import fold
+from voxtally.llm.flat import LOWER, expand, mix, slices, span_hashes, text_bytes, with_text, word_spans
+from voxtally.llm.tables import fold, with_kept
 
 #: Labelled documents that are learned from, for each label value (expected number of a hash sample).
 SAMPLE = 6_000
@@ -131,12 +131,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 def score(docs: DataFrame, model: Model, kept: Column) -> DataFrame:
     """``kept`` (a struct of any columns), ``score`` (0 to 1), ``predicted`` (1 from 0.5 on). A null or empty text has the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), kept.alias("kept"))
+    given = with_kept(docs, kept)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(with_text(whole)):
                 found, begins = features(batch)
                 n = np.diff(begins)
                 dot = np.zeros(batch.num_rows)

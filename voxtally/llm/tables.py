@@ -28,6 +28,12 @@ def fold(key: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds, F.lit(0))
 
 
+def with_kept(docs: DataFrame, kept: Column) -> DataFrame:
+    """The struct ``kept`` of what a scoring passes on, and the text beside it unless it is in there."""
+    only = docs.select(kept.alias("kept"))
+    return only if "text" in only.schema["kept"].dataType.names else docs.select(kept.alias("kept"), "text")
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write once under ``spark.checkpoint.dir`` and read back: the lineage ends there, and a lost executor costs a read."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/llm/{label}-{uuid.uuid4().hex}"

@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from voxtally.llm.flat import expand, slices, span_hashes, text_bytes
-from voxtally.llm.tables import fold, store
+from voxtally.llm.flat import expand, slices, span_hashes, text_bytes, with_text
+from voxtally.llm.tables import fold, store, with_kept
 
 #: Labelled documents that are learned from (expected number of a hash sample of each class).
 TOXIC_SAMPLE, CLEAN_SAMPLE = 3_000, 5_000
@@ -303,11 +303,11 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def margins(docs: DataFrame, model: Model, kept: Column) -> DataFrame:
     """``kept`` (a struct of any columns) and ``margin``, the largest margin of the whole text's units."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    given = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), kept.alias("kept"))
+    given = with_kept(docs, kept)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(with_text(whole)):
                 yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(_margins(shared.value, batch))], ["kept", "margin"])
 
     schema = StructType([given.schema["kept"], StructField("margin", DoubleType())])
