@@ -1150,7 +1150,37 @@ def export_insights_json(spark, sf):
                                                     joined(texts).alias("quotes"), "ids")
 
 
-@register("export_report_md")
+def _report_sql() -> str:
+    """The lines of the report; where they stand is left to the tests."""
+    t = fixed.REPORT
+    head = [t["title"], "", f"{t['generated']} 2025-01-01 00:00:00 UTC", "", t["summary"], "", t["overview"], t["overview_columns"], t["overview_rule"],
+            "", t["details"], t["methods"], *t["method_notes"], "", t["privacy"], t["privacy_note"], "", f"> {fixed.DISCLAIMER}", ""]
+    f = lambda x, n: f"printf('%.{n}f', round_even({x}, {n}))"
+    said = lambda label, x: f"{q(t[label] + ' ')} || {x}"
+    per_theme = [
+        f"'| ' || concat_ws(' | ', theme_name, {f('priority_score', 4)}, mention_count, primary_count, secondary_count, {f('feedback_percentage', 1)} || '%', evidence_strength, status) || ' |'",
+        f"'### ' || {TITLE}", said("score", f("priority_score", 4)),
+        f"printf({q(t['components'])}, {f('frequency_score', 4)}, {f('severity_score', 4)}, {f('confidence_score', 4)})",
+        f"printf({q(t['mentions'])}, mention_count, primary_count, secondary_count)", said("percentage", f("feedback_percentage", 1) + " || '%'"),
+        f"printf({q(t['strength'])}, evidence_strength, {f('confidence', 3)})", said("status", "status"),
+        f"CASE WHEN note <> '' THEN {said('note', 'note')} END", q(t["ids"]), f"CASE WHEN quotes > 0 THEN {q(t['quotes'])} END",
+        q(t["causes"]), "'  - Observed evidence: ' || mention_count || ' feedback record(s) mention ' || replace(theme_name, '_', ' ') || '.'",
+        "'  - Possible interpretation: ' || text", f"'  - ' || {q(fixed.ROOT_CAUSE_CAVEAT)}", q(t["actions"]), "'  - Suggested action: ' || atext", f"'  - ' || {q(fixed.ACTION_CAVEAT)}", "''",
+    ]
+    return query(*TIDY_INS, DECISION_SQL, f"cause(theme_name, text) AS ({CAUSES})", f"act(theme_name, atext) AS ({ACTIONS})", f"""
+one AS (SELECT ins.*, coalesce(status, 'pending') AS status, coalesce(reviewer_note, '') AS note, text, atext
+  FROM ins LEFT JOIN dstate USING (theme_name) JOIN cause USING (theme_name) JOIN act USING (theme_name)),
+lines AS (SELECT unnest({views.sql_list(head)}) AS line
+  UNION ALL SELECT {said("records", "count(*)")} FROM safe
+  UNION ALL SELECT {said("analyzed", "count(*)")} FROM an WHERE primary_theme <> 'unknown'
+  UNION ALL SELECT {said("themes", "count(*)")} FROM ins
+  UNION ALL SELECT unnest([{", ".join(per_theme)}]) FROM one
+  UNION ALL SELECT '  - ' || feedback_id FROM mt
+  UNION ALL SELECT '  - `' || feedback_id || '`: "' || quote || '"' FROM picks)""",
+                 select="SELECT unnest(string_split(line, chr(10))) AS value FROM lines WHERE line IS NOT NULL")
+
+
+@register("export_report_md", _report_sql())
 def export_report_md(spark, sf):
     ranked, aggregation, analysis, safe = tidy_ranked(spark, sf)
     totals = an.analysis_totals(analysis).first()
