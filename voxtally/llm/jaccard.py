@@ -316,7 +316,7 @@ def group(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFr
     spark = docs.sparkSession
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = store(texts.mapInArrow(_base(words), "kind byte, row long, doc_id long, n int, key long"), "shingle-base")
-    rows = base.where("kind = 0").select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("node"))
+    rows = base.where("kind = 0").select("row", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("key")).alias("node"))
 
     # Classes of the most frequent shingles; their number is bounded, so they can be broadcast.
     counted = store(base.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).select("key", F.ceil(F.log2("n") * 4).cast("int").alias("class")), "shingle-counts")
