@@ -2,7 +2,7 @@
 
 Documents are tokenised, cut where they are longer than a sequence, and packed by best-fit decreasing in partitions of bounded size. Lower bounds
 from dual feasible functions certify a partition whose bin count they reach; partitions with gaps exchange the documents of their bins
-that are not full, and so do the emptiest bins of the others, until the whole count is certified or an exchange saves nothing more.
+that are not full, and the others those of their emptiest bins, until the whole count is certified or an exchange saves nothing more.
 """
 
 from __future__ import annotations
@@ -207,9 +207,11 @@ def _pack_partition(capacity: int):
         lengths = table.column("length").to_numpy()
         bins, offsets, loads = best_fit(lengths, capacity)
         bound = lower_bound(*np.unique(lengths, return_counts=True), capacity)
-        gaps = loads < capacity
-        exchanged = gaps if len(loads) > bound else np.arange(len(loads)) == loads.argmin()
-        exchanged &= gaps
+        exchanged = loads < capacity
+        if len(loads) == bound:  # certified: only what together could fill a bin more, the emptiest bins first
+            order = np.argsort(loads, kind="stable")
+            room = np.cumsum(capacity - loads[order])
+            exchanged[order[room - (capacity - loads[order]) >= capacity]] = False
         n = len(lengths)
         return pa.table({
             **{c: table.column(c) for c in ("uid", "doc_id", "piece", "start", "length", "ids_crc32")},
