@@ -28,7 +28,7 @@ WORDS, PERCENT = 3, 90
 #: Frequent shingles that are told apart from the rest. More would only mean fewer sets in a cell, never other results.
 FREQUENT = 1 << 18
 #: Entries of a task that are combined at once.
-ENTRIES = 4_000_000
+ENTRIES = 1_000_000
 #: Sets and shingles in a block of a cell.
 BLOCK_SETS, BLOCK_SHINGLES = 1_024, 500_000
 #: Residues by which sets outside all cells are told from the others before they are moved.

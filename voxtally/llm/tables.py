@@ -9,13 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxtally.session import shared_dir
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch: long texts would make Spark's default batches very large.
+BATCH_ROWS = 1_000
+
 
 def reachable(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it, unless they are told otherwise.
 
     Enough for local runs and for folders that all machines mount; elsewhere the package is shipped with ``--py-files``.
+    Whole texts travel to the workers, so the session's Arrow batches, if they still have Spark's default of 10 000 rows, are made smaller.
     """
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     return spark
 
 
