@@ -191,3 +191,18 @@ def test_parquet_rows_are_numbered_in_one_pass(spark, tmp_path):
     spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
     rows = csv.number_parquet_rows(spark.read.parquet(str(tmp_path / "t")).select("id", "_metadata"))
     assert all(r["_row_number"] == r.id + 2 for r in rows.collect())
+
+
+def test_staged_tables_can_be_dropped(spark, tmp_path):
+    from pathlib import Path
+
+    from voxtally.session import build_session, drop_staged, new_folder, stage
+
+    assert stage(spark.range(3), "three").count() == 3
+    folder = Path(new_folder(spark, "x").removeprefix("file:")).parent
+    kept = spark.newSession()
+    assert folder.exists() and build_session().sparkContext.applicationId in str(folder)
+    other = folder.parent / "another-application"
+    other.mkdir(exist_ok=True)
+    drop_staged(kept)
+    assert not folder.exists() and other.exists()

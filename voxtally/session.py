@@ -53,6 +53,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/voxtally/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Remove what this application has staged.  To be called when none of its results is needed any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new_folder(spark, "any")).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
