@@ -370,7 +370,8 @@ def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Dat
     """One document of each group: the one with the smallest id (a null id last), then the first row. All columns stay as they are."""
     grouped = store(group(docs, words, percent).where("n_shingles > 0").select("row", "doc_id", "g"), "text-groups")
     best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("best")
-    several = grouped.groupBy("g").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written by itself, so that the join below can split the rows of a group with very many copies.
+    several = store(grouped.groupBy("g").agg(best, F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
     dropped = grouped.join(several.select("g", F.col("best.row").alias("stays")), "g").where("row <> stays").select(F.col("row").alias("_row"))
     numbered = docs.select(F.struct("*").alias("kept"), F.monotonically_increasing_id().alias("_row"))
     return numbered.join(dropped, "_row", "left_anti").select("kept.*")
