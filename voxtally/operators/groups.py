@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -46,8 +45,8 @@ def cluster_feedback(
 ) -> Clusters:
     """K-Means with several seeded starts, the cheapest kept.
 
-    Key columns and vectors are written once; the vectors to learn from are kept in executor memory, spilling to
-    disk, while all starts read them.  The texts are not copied.
+    Key columns and vectors are written once, without the texts.  Each start reads the vectors once and keeps them, in
+    the form it iterates over, in executor memory or on disk; keeping the DataFrame as well would only slow the iterations.
     """
     usable = normalize_text(F.col(column)).isNotNull()
     no_id = F.lit(None).cast("int")
@@ -66,14 +65,13 @@ def cluster_feedback(
     usable = F.col("_usable")
     if size == 1:
         return Clusters(vectors.withColumn("cluster_id", F.when(usable, F.lit(0))).drop("_usable"), model, 1, warnings)
-    training = vectors.where(usable).select("tfidf").persist(StorageLevel.MEMORY_AND_DISK)
+    training = vectors.where(usable).select("tfidf")
     best = None
     for start in range(restarts):
         fitted = KMeans(k=size, seed=fixed.CLUSTER_SEED + start, featuresCol="tfidf", predictionCol="cluster_id").fit(training)
         cost = fitted.summary.trainingCost
         if best is None or cost < best[0]:
             best = (cost, fitted)
-    training.unpersist()
     labelled = best[1].transform(vectors)
     return Clusters(labelled.withColumn("cluster_id", F.when(usable, F.col("cluster_id"))).drop("_usable"), model, size, warnings)
 
