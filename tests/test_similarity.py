@@ -10,6 +10,7 @@ import pytest
 from voxtally import fixed
 from voxtally.operators import analysis as an
 from voxtally.operators import groups, similarity
+from voxtally.plans import pipeline
 from voxtally.sources.taxonomy import load_rules
 
 
@@ -108,7 +109,7 @@ def test_clusters(spark):
     assert {"refund", "crash", "otp"} <= {t for r in rows for t in r.representative_terms}
     assert all(len(r.representative_terms) <= 5 for r in rows)
     assert groups.cluster_feedback(frame(spark, ["a b", "c d"]), k=5).warnings == [fixed.MSG_CLUSTER_REDUCED]
-    with_ids = an.analyze_feedback(found.members.drop("tfidf")).orderBy("_row_number")
+    with_ids = pipeline.with_clusters(an.analyze_feedback(df), found).orderBy("_row_number")
     plain = an.analyze_feedback(df).orderBy("_row_number")
     assert with_ids.drop("cluster_id").collect() == plain.drop("cluster_id").collect()  # clusters change nothing else
     assert [r.cluster_id for r in with_ids.collect()] == labels
