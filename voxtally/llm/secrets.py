@@ -25,20 +25,55 @@ MASK = "[SECRET]"
 #: Characters of the neighbourhood that is looked at.
 AROUND = 64
 
-# A candidate is a whole run of these characters, at least 8, with a digit in it.
+# Fixed values. A candidate is a run of at least 8 of these characters that holds a digit or begins like a provider's key, a quoted value of at
+# least 8 characters, or any value (of any length and characters, quoted ones with blanks too) after a credential word and = or :.
 _RUN = r"[A-Za-z0-9_+/.~:@%\-]"
-CANDIDATE = rf"(?<!{_RUN})(?=[A-Za-z_+/.~:@%\-]*+[0-9]){_RUN}{{8,}}+"
-_CREDENTIAL = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth(orization)?|bearer|credentials?)"
+_BLANK, _QUOTE = r"[ \t\r\n\x0b\f\u00a0\u2028\u3000]", r"[\"'`]"
+_NEAR, _MARK = r"[ \t\"'`]", "[=:\uff1a\uff1d]"
+_PROVIDER = r"(?:AKIA|ASIA|gh[pousr]_|sk_live_|xox[abp]-|AIza)"
+_DIGIT = r"(?=[A-Za-z_+/.~:@%\-]*+[0-9])"
+_WORDS = ("pass", "password", "passwd", "passphrase", "passcode", "passwort", "kennwort", "contraseña", "clave", "senha", "mot de passe", "pwd", "secret", "token", "key", "auth", "authorization", "credential", "credentials")
+
+
+def _after_credential(last: str) -> str:
+    """Looks behind for a credential word, = or :, and ``last``: each alternative has one width, as any engine can do."""
+    by_length: dict[int, list[str]] = {}
+    for word in _WORDS:
+        by_length.setdefault(len(word), []).append(word)
+    ways = [f"(?<=(?i:bearer){_BLANK}{last})"]
+    for after in ("", _BLANK, _BLANK * 2):
+        tails = [before + mark + after + last for before in ("", _NEAR, _NEAR * 2) for mark in (_MARK, "=>", ":=")]
+        words = "|".join(f"(?<=(?i:{'|'.join(w)}){t})" for t in tails for w in by_length.values())
+        ways.append(f"(?<=[=:>\uff1a\uff1d]{after}{last})(?:{words})")
+    return "(?:" + "|".join(ways) + ")"
+
+
+# The value ends at a blank, at a quote, or where the next name and = or : begin; it does not begin with what belongs to the mark.
+_NAMED = r"[?&;,|][A-Za-z_\-]{1,24}+[=:]"
+_VALUE = rf"(?!{_QUOTE}|[=:]|(?<==)>)(?:(?!{_QUOTE}(?![A-Za-z0-9])|{_NAMED})[^ \t\r\n\x0b\f\u00a0\u2028\u3000])++"
+# A quoted value with blanks in it, unless it holds a run that is looked at by itself.
+_PHRASE = rf"(?![^\"'`\r\n]{{0,100}}?(?<!{_RUN})(?:{_PROVIDER}|{_DIGIT}{_RUN}{{8}}))[^\"'`\r\n=:]{{1,100}}+(?={_QUOTE})"
+_QUOTED = rf"(?<={_QUOTE})[^\"'`=:,; \t\r\n\x0b\f\u00a0\u2028\u3000]{{8,}}+(?={_QUOTE})"
+CANDIDATE = (
+    rf"(?<![A-Za-z0-9])(?:(?<={_QUOTE}){_after_credential(_QUOTE)}(?:{_PHRASE}|{_VALUE})|(?<=[=:>\uff1a\uff1d]|{_BLANK}){_after_credential('')}(?!bearer{_BLANK}|Bearer{_BLANK}){_VALUE}"
+    rf"|{_QUOTED}|(?<!{_RUN}){_DIGIT}{_RUN}{{8,}}+|(?<![A-Za-z0-9])(?={_PROVIDER}){_RUN}{{8,}}+)"
+)
+_CREDENTIAL = r"(?i)(pass(word|wd|phrase|code|wort)?|kennwort|contraseña|clave|senha|mot de passe|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth(orization)?|bearer|credentials?)"
 _HARMLESS = r"(?i)(commit|sha-?1|sha-?256|md5|checksum|digest|etag|uuid|order|invoice|version|example|sample|phone|card)"
+_PLACEHOLDER = r"(?i)^(null|none|nil|true|false|yes|no|required|optional|missing|empty|unknown|hidden|redacted|invalid|expired|n/a|tbd|[*.x_#-]+|<.*>?|[$%]?[{(].*|\$[a-z_]+|%[a-z_]+%|your.*|change.?me.*|example.*|placeholder.*|todo.*)$"
 _COMMON = ("www", "http", "https", "com", "org", "net", "mail", "example", "usr", "lib", "bin", "home", "etc", "var", "src", "test", "file", "user", "your", "changeme", "placeholder", "version", "index", "html", "json")
 
 
+#: Stands for a candidate while a text is split; texts that hold it themselves are split by the pattern.
+_APART = "\ufdd0"
+
+
 def candidates(text: Column) -> tuple[Column, Column]:
-    """(the candidates, the n + 1 stretches of text around them); a text without digits has none."""
-    some = text.rlike("[0-9]")
-    found = F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    around = F.when(some, F.split(text, CANDIDATE)).otherwise(F.array(text))
-    return F.coalesce(found, F.array().cast("array<string>")), around
+    """(the candidates, the n + 1 stretches of text around them)."""
+    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    # split() compiles a long pattern anew for each row, regexp_replace() does not
+    parted = F.split(F.regexp_replace(text, CANDIDATE, _APART), _APART)
+    return F.coalesce(found, F.array().cast("array<string>")), F.when(F.contains(text, F.lit(_APART)), F.split(text, CANDIDATE)).otherwise(parted)
 
 
 def _share(text: Column, drop: str) -> Column:
@@ -53,7 +88,7 @@ def features(c: Column, before: Column, after: Column, words: list[str], trigram
     changes = F.length(F.regexp_replace(c, r"(?<=[0-9])(?=[^0-9])|(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])", "#")) - n
     known = F.filter(F.split(low, "[^a-z]+"), lambda w: w.isin(words))
     covered = F.aggregate(known, F.lit(0), lambda s, w: s + F.length(w)) / n
-    spelled = F.aggregate(F.sequence(F.lit(1), n - 2), F.lit(0), lambda s, i: s + F.substr(low, i, F.lit(3)).isin(trigrams).cast("int")) / n
+    spelled = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), F.lit(0), lambda s, i: s + F.substr(low, i, F.lit(3)).isin(trigrams).cast("int")) / n
     last = F.substr(before, F.greatest(F.lit(1), F.length(before) - 24))
     flag = lambda x: x.cast("double")
     return {k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in {
@@ -64,6 +99,7 @@ def features(c: Column, before: Column, after: Column, words: list[str], trigram
         "at": flag(F.contains(c, F.lit("@"))), "path": flag(c.rlike(r"^(/|\./|~/|[a-z]+://)|/.*/")), "numeric": flag(c.rlike(r"^[-+0-9.:/]+$")),
         "provider": flag(c.rlike(r"^(AKIA|ASIA|gh[pousr]_|sk_live_|xox[abp]-|AIza)")),
         "credential": flag(last.rlike(_CREDENTIAL)), "harmless": flag(last.rlike(_HARMLESS)), "assigned": flag(before.rlike(r"[=:]\s*[\"']?$")),
+        "tight": flag(before.rlike(r"[=:][\"']?$")), "letters": _share(c, r"[^\p{L}]"), "marks": _share(c, r"[\p{L}\p{N}\s]"), "blanks": _share(c, r"\S"), "placeholder": flag(c.rlike(_PLACEHOLDER)),
         "quoted": flag(before.rlike(r"[\"']$") & after.rlike(r"^[\"']")),
     }.items()}
 
@@ -82,17 +118,24 @@ def labelled_findings(docs: DataFrame) -> DataFrame:
     h = lambda salt, n: F.substr(F.sha2(F.concat("h", F.lit(salt)), 256), F.lit(1), F.lit(n))
     digits = lambda salt, n: F.substr(F.translate(h(salt, 64), "abcdef", "123456"), F.lit(1), F.lit(n))
     mixed = lambda salt, n: F.substr(F.translate(F.base64(F.unhex(h(salt, 64))), "+/=", "xYz"), F.lit(1), F.lit(n))
+    letters = lambda salt, n: F.substr(F.translate(F.base64(F.unhex(h(salt, 64))), "0123456789+/=", "qWeRtYuIoPaSd"), F.lit(1), F.lit(n))
     w, text = F.col("w"), lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    w2, w3 = (F.coalesce(F.nullif(F.get(F.regexp_extract_all("near", F.lit("([A-Za-z]{3,})"), F.lit(1)), F.lit(i)), F.lit("")), F.lit(d)) for i, d in ((1, "horse"), (2, "battery")))
     vary = F.pmod(F.xxhash64("h"), F.lit(24)).cast("int")
     secret = [
         ('token = "', F.substr(h("a", 64), F.lit(1), 16 + vary), '"'), ("password=", F.substr(h("b", 64), F.lit(1), 10 + vary), ""), ("api_key: ", h("c", 32), ""),
         ("secret='", mixed("d", 24), "'"), ("", text("AKIA", F.upper(mixed("e", 16))), ""), ("", text("AKIA", F.upper(mixed("o", 16))), "."), ("", text("ghp_", mixed("f", 36)), ""), ("Authorization: Bearer ", mixed("g", 40), ""), ("key=", text("sk_live_", mixed("i", 24)), ""),
         ("pwd: ", mixed("j", 14), ""), ('"access_key": "', F.upper(mixed("k", 20)), '"'),
+        ("password=", text(F.initcap(w), F.initcap(w2), F.initcap(w3)), ""), ("password: ", text(F.initcap(w), F.initcap(w3)), ""), ("password=", F.lower(w2), ""), ('password = "', text(w, " ", w2, " ", w3), '"'),
+        ("pwd: ", mixed("A", 7), ""), ("passwd=", mixed("B", 5), ""), ("password=", text(mixed("C", 4), "!", letters("D", 4), "#", mixed("E", 2)), ""), ("password: ", text(letters("F", 3), "$", mixed("G", 3), "&", letters("H", 2)), ""),
+        ("secret: ", letters("I", 20), ""), ('token = "', letters("J", 24), '"'), ("Authorization: Bearer ", letters("K", 32), ""), ("", text("AKIA", F.upper(letters("L", 16))), ""), ("", text("ghp_", letters("M", 36)), ""), ('"', mixed("N", 32), '"'), ('"', letters("O", 32), '"'),
     ]
     other = [
         ("", text(w, ".", digits("a", 2), "@mail", digits("b", 1), ".example.com"), ""), ("", text(digits("c", 3), ".", digits("d", 2), ".", digits("e", 3), ".", digits("f", 1)), ""), ("", digits("g", 16), ""), ("+1 (", text(digits("i", 3), ") 555-", digits("j", 4)), ""), ("", digits("k", 10), ","),
         ("", text("/usr/lib/", w, "/", w, digits("l", 1), ".so"), ""), ("", text("https://www.", w, ".com/", w, "/", digits("m", 5), ".html"), ""), ("", text(w, "_", w, digits("n", 2)), ""), ("", text("20", digits("o", 2), "-0", digits("p", 1), "-1", digits("q", 1), "T10:00:00"), ""), ("version ", text("v", digits("r", 1), ".", digits("s", 1), ".", digits("t", 2), "-", w), ""),
         ("password=", text("changeme", digits("u", 3)), ""), ('token = "', text("your_token_", digits("v", 1)), '"'), ("password: ", text("example", digits("w", 4)), ""), ("commit ", h("x", 40), ""), ("md5 ", h("y", 32), ""), ("uuid ", text(h("z", 8), "-", h("1", 4), "-", h("2", 4), "-", h("3", 4), "-", h("4", 12)), ""), ("sha256:", h("5", 64), ""), ("order ", text("A", digits("6", 9)), ""),
+        ("password: ", F.lower(w2), ""), ("secret: ", F.lower(w3), ""), ("token: ", F.lower(w), ""), ("key: ", F.lower(w2), ""), ("key: ", F.initcap(w3), ""), ("key=", digits("8", 3), ""), ("token = ", "null", ""), ("password: ", "required", ""), ("password=", "<password>", ""), ("token=", "${TOKEN}", ""), ("password: ", "********", ""),
+        ('"', text(F.lower(w), F.lower(w2), "ing"), '"'), ("'", text(F.lower(w), "_", F.lower(w3), "_name"), "'"), ('"', "password", '": '), ('"', text(F.initcap(w), F.initcap(w2), "Service"), '"'), ('password = "', "your password here", '"'), ('secret: "', text("the ", w2, " of this ", w3, " is"), '"'),
         ("", text(w, digits("7", 4), w), ""), ("", text(w, "-", digits("8", 2), "/", w), "."),
     ]
     rows = [F.struct(text(" ", left, c, right, " ").alias("said"), (c if i < len(secret) else F.lit(None).cast("string")).alias("secret")) for i, (left, c, right) in enumerate([*secret, *other])]
