@@ -50,13 +50,17 @@ def _after_credential(last: str) -> str:
 
 # The value ends at a blank, at a quote, or where the next name and = or : begin; it does not begin with what belongs to the mark.
 _NAMED = r"[?&;,|][A-Za-z_\-]{1,24}+[=:]"
-_VALUE = rf"(?!{_QUOTE}|[=:]|(?<==)>)(?:(?!{_QUOTE}(?![A-Za-z0-9])|{_NAMED})[^ \t\r\n\x0b\f\u00a0\u2028\u3000])++"
+_CLOSING = rf"[.,;:)\]}}>]{{1,8}}+(?![^\"'` \t\r\n\x0b\f\u00a0\u2028\u3000])"
+_VALUE = rf"(?!{_QUOTE}|[=:]|(?<==)>)(?:(?!{_QUOTE}(?![A-Za-z0-9])|{_NAMED}|{_CLOSING})[^ \t\r\n\x0b\f\u00a0\u2028\u3000])++"
 # A quoted value with blanks in it, unless it holds a run that is looked at by itself.
 _PHRASE = rf"(?![^\"'`\r\n]{{0,100}}?(?<!{_RUN})(?:{_PROVIDER}|{_DIGIT}{_RUN}{{8}}))[^\"'`\r\n=:]{{1,100}}+(?={_QUOTE})"
 _QUOTED = rf"(?<={_QUOTE})[^\"'`=:,; \t\r\n\x0b\f\u00a0\u2028\u3000]{{8,}}+(?={_QUOTE})"
+# A run ends before the marks that close a sentence, may end in the padding of base64, and begins after a leading 'word:'.
+_LONG = rf"(?:(?![.:]{{1,8}}+(?!{_RUN})){_RUN}){{8,}}+(?:(?<=[A-Za-z0-9+/]{{15}})={{1,2}}+(?![A-Za-z0-9=\"'`]))?+"
+_LABEL = rf"(?!(?!{_PROVIDER})(?:[A-Za-z_\-]{{2,24}}+|(?i:sha-?[0-9]{{1,3}}|md5)):(?!/))"
 CANDIDATE = (
     rf"(?<![A-Za-z0-9])(?:(?<={_QUOTE}){_after_credential(_QUOTE)}(?:{_PHRASE}|{_VALUE})|(?<=[=:>\uff1a\uff1d]|{_BLANK}){_after_credential('')}(?!bearer{_BLANK}|Bearer{_BLANK}){_VALUE}"
-    rf"|{_QUOTED}|(?<!{_RUN}){_DIGIT}{_RUN}{{8,}}+|(?<![A-Za-z0-9])(?={_PROVIDER}){_RUN}{{8,}}+)"
+    rf"|{_QUOTED}|(?:(?<!{_RUN})|(?<=[A-Za-z_0-9\-]:)){_LABEL}(?:{_DIGIT}|(?={_PROVIDER})){_LONG}|(?={_PROVIDER}){_LONG})"
 )
 _CREDENTIAL = r"(?i)(pass(word|wd|phrase|code|wort)?|kennwort|contraseña|clave|senha|mot de passe|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|auth(orization)?|bearer|credentials?)"
 _HARMLESS = r"(?i)(commit|sha-?1|sha-?256|md5|checksum|digest|etag|uuid|order|invoice|version|example|sample|phone|card)"
@@ -93,7 +97,7 @@ def features(c: Column, before: Column, after: Column, words: list[str], trigram
     flag = lambda x: x.cast("double")
     return {k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in {
         "length": n, "transitions": changes / n, "distinct": F.size(F.array_distinct(F.split(c, ""))) / F.least(n, F.lit(32)),
-        "digits": _share(c, "[^0-9]"), "upper": _share(c, "[^A-Z]"), "lower": _share(c, "[^a-z]"), "hex": flag(c.rlike("^[0-9a-fA-F]+$")),
+        "digits": _share(c, "[^0-9]"), "padded": flag(c.rlike("=$")), "upper": _share(c, "[^A-Z]"), "lower": _share(c, "[^a-z]"), "hex": flag(c.rlike("^[0-9a-fA-F]+$")),
         "word_coverage": covered, "spelling": spelled,
         "slashes": n - F.length(F.replace(c, F.lit("/"))), "dots": n - F.length(F.replace(c, F.lit("."))), "dashes": n - F.length(F.replace(c, F.lit("-"))),
         "at": flag(F.contains(c, F.lit("@"))), "path": flag(c.rlike(r"^(/|\./|~/|[a-z]+://)|/.*/")), "numeric": flag(c.rlike(r"^[-+0-9.:/]+$")),
@@ -119,6 +123,8 @@ def labelled_findings(docs: DataFrame) -> DataFrame:
     digits = lambda salt, n: F.substr(F.translate(h(salt, 64), "abcdef", "123456"), F.lit(1), F.lit(n))
     mixed = lambda salt, n: F.substr(F.translate(F.base64(F.unhex(h(salt, 64))), "+/=", "xYz"), F.lit(1), F.lit(n))
     letters = lambda salt, n: F.substr(F.translate(F.base64(F.unhex(h(salt, 64))), "0123456789+/=", "qWeRtYuIoPaSd"), F.lit(1), F.lit(n))
+    full = lambda salt, n: F.substr(F.base64(F.unhex(h(salt, 64))), F.lit(1), F.lit(n))
+    marked = lambda salt, n: F.translate(full(salt, n), "QZ", "+/")
     w, text = F.col("w"), lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     w2, w3 = (F.coalesce(F.nullif(F.get(F.regexp_extract_all("near", F.lit("([A-Za-z]{3,})"), F.lit(1)), F.lit(i)), F.lit("")), F.lit(d)) for i, d in ((1, "horse"), (2, "battery")))
     vary = F.pmod(F.xxhash64("h"), F.lit(24)).cast("int")
@@ -127,6 +133,7 @@ def labelled_findings(docs: DataFrame) -> DataFrame:
         ("secret='", mixed("d", 24), "'"), ("", text("AKIA", F.upper(mixed("e", 16))), ""), ("", text("AKIA", F.upper(mixed("o", 16))), "."), ("", text("ghp_", mixed("f", 36)), ""), ("Authorization: Bearer ", mixed("g", 40), ""), ("key=", text("sk_live_", mixed("i", 24)), ""),
         ("pwd: ", mixed("j", 14), ""), ('"access_key": "', F.upper(mixed("k", 20)), '"'),
         ("password=", text(F.initcap(w), F.initcap(w2), F.initcap(w3)), ""), ("password: ", text(F.initcap(w), F.initcap(w3)), ""), ("password=", F.lower(w2), ""), ('password = "', text(w, " ", w2, " ", w3), '"'),
+        ("api_key=", full("P", 44), ""), ("secret: ", full("Q", 40), "."), ("token:", mixed("R", 16), ""), ("token:", F.substr(h("S", 64), F.lit(1), 12 + vary), "."), ("aws_secret_access_key = ", text(marked("T", 20), "/", marked("U", 19)), ""), ("Authorization: Bearer ", text(mixed("V", 20), ".", mixed("W", 30), ".", mixed("X", 20)), "."), ("", text("ghp_", mixed("Y", 36)), "."), ("password=", text(mixed("Z", 5), ".", mixed("AA", 6)), "."),
         ("pwd: ", mixed("A", 7), ""), ("passwd=", mixed("B", 5), ""), ("password=", text(mixed("C", 4), "!", letters("D", 4), "#", mixed("E", 2)), ""), ("password: ", text(letters("F", 3), "$", mixed("G", 3), "&", letters("H", 2)), ""),
         ("secret: ", letters("I", 20), ""), ('token = "', letters("J", 24), '"'), ("Authorization: Bearer ", letters("K", 32), ""), ("", text("AKIA", F.upper(letters("L", 16))), ""), ("", text("ghp_", letters("M", 36)), ""), ('"', mixed("N", 32), '"'), ('"', letters("O", 32), '"'),
     ]
