@@ -48,5 +48,13 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(stored: DataFrame) -> None:
+    """Remove a table that ``store`` gave (or a filter or selection of it), once nothing reads it any more."""
+    spark = stored.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in stored.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
