@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -15,9 +16,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(PATH)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(PATH)
 
 
 def check(frame, tokenizer):
@@ -51,12 +50,31 @@ def test_odd_rows(odd, nothing, tokenizer):
     assert packing.pack_documents(nothing, PATH).count() == 0
 
 
+ADDED = ["a <|endoftext|> b", "x<|startoftext|>y.", "<|ENDOFTEXT|>", "<|endoftext|", "The.<|endoftext|>,Then|", "A|<|StartOfText|>. <|endoftext|><|endoftext|>", "Éa<|ENDOFTEXT|>é!", "<|endoftext|>" * 5_000]
+
+
 def test_words_alone_are_words_in_text(tokenizer):
-    words = ["Don't", "stop␞here", "␞", "naïve,", "ét", "́x", "<|endoftext|>", "a<b>", "12.5%", "日本", "x" * 300, "'S", "İSTANBUL", "ΣΑΣ"]
-    got = packing._word_ids(PATH, words)
+    words = ["Don't", "stop␞here", "␞", "naïve,", "ét", "́x", "<|endoftext|>", "a<b>", "12.5%", "日本", "x" * 300, "'S", "İSTANBUL", "ΣΑΣ"]
+    got = packing.word_ids(PATH, words)
     assert [np.frombuffer(x, np.uint32).tolist() for x in got] == [tokenizer.encode(w, add_special_tokens=False).ids for w in words]
 
 
+def test_added_tokens_and_marks(spark, tokenizer):
+    texts = [*ADDED, "It's. Its.... its..... IT'S!?;: x. .x .,;:. é. É., a|b a|. |) e\u0301. (x) \"x.\" 1. 2), ", " ".join(ADDED[:-1])]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tokenizer)
+
+
+def test_a_full_word_table_starts_again(spark, tokenizer, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdeé.", k=rng.randint(1, 4))) for _ in range(300)) for _ in range(40)]
+    monkeypatch.setattr(packing, "CACHE", 50)
+    monkeypatch.setattr(packing, "_words", {})
+    for k in range(0, 40, 4):
+        ids, begins = packing.token_ids(pa.record_batch({"text": texts[k: k + 4]}), PATH)
+        for i, text in enumerate(texts[k: k + 4]):
+            assert ids[begins[i]: begins[i + 1]].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
 def fewest(sizes, capacity):
     """The smallest number of bins, by trying."""
     best = len(sizes)

@@ -11,30 +11,72 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from voxtally.llm.flat import expand, slices
+from voxtally.llm.flat import LOWER, expand, slices, span_hashes, text_bytes, word_spans
 from voxtally.llm.tables import store
 
 CAPACITY = 4096
 END = 1
 #: Pieces of a partition; rounds of exchange; dual feasible functions u_k with k up to STEPS.
 PARTITION, ROUNDS, STEPS = 16_384, 12, 24
-#: Words whose ids a worker keeps, in each of two generations.
-CACHE = 150_000
+#: Words whose ids a worker keeps; with more it goes on with those of the last slice.
+CACHE = 400_000
 # Stands between words that are tokenised together; a word that holds it is tokenised by itself.
 _BETWEEN = "␞"
 # One run of these letters is one pre-token, so the last token of each word tells where the next begins.
 _PLAIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
-_TAIL = ".,;:!?%&$#*|)"
+# Sentence marks, which never share a token with a letter.
+_TAIL = np.zeros(256, bool)
+_TAIL[list(b".,;:!?%&$#*|)")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+
+
+@dataclass
+class Words:
+    """The ids of the words that a worker has met: sorted hashes, the word's number for each, and by number where its ids are."""
+
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    numbers: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    firsts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for a new one."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        return np.where(self.hashes[at] == hashes, self.numbers[at], -1)
+
+    def add(self, hashes: np.ndarray, found: list[bytes]) -> None:
+        """New words, which get the next numbers."""
+        counts = np.array([len(x) // 4 for x in found], np.int64)
+        self.firsts = np.concatenate([self.firsts, len(self.ids) + np.cumsum(counts) - counts])
+        self.numbers = np.concatenate([self.numbers, len(self.counts) + np.arange(len(found))])
+        self.counts = np.concatenate([self.counts, counts])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint32)])
+        every = np.concatenate([self.hashes, hashes])
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.numbers = every[order], self.numbers[order]
+
+    def kept(self, numbers: np.ndarray) -> Words:
+        """A table of only these words (distinct numbers)."""
+        hash_of = np.zeros(len(self.counts), np.uint64)
+        hash_of[self.numbers] = self.hashes
+        order = np.argsort(hash_of[numbers])
+        counts = self.counts[numbers]
+        return Words(hash_of[numbers][order], order, np.cumsum(counts) - counts, counts, self.ids[expand(self.firsts[numbers], counts)])
+
 
 _tokenizers: dict[str, tuple] = {}
-_known: dict[str, bytes] = {}
-_older: dict[str, bytes] = {}
+_words: dict[str, Words] = {}
 
 
 def _tokenizer(path: str) -> tuple:
@@ -44,7 +86,6 @@ def _tokenizer(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         vocabulary = tokenizer.get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -84,50 +125,72 @@ def _encode_others(path: str, words: list[str]) -> dict[str, bytes]:
     return found
 
 
-def _word_ids(path: str, words: list[str]) -> list[bytes]:
-    """The ids of each word (no white space inside) as bytes.
-
-    Words never share a token, so many are tokenised as one text. A letter and a sentence mark never do either, so a word is looked
-    up without the marks at its end.
-    """
-    global _known, _older
-    heads, tails = [], []
-    for w in words:
-        head = w.rstrip(_TAIL)
-        if len(head) == len(w) or not head or not head[-1].isalpha():
-            head = w
-        heads.append(head)
-        tails.append(w[len(head):])
-    if len(_known) > CACHE:
-        _known, _older = {}, _known
-    new = []
-    for w in dict.fromkeys([*heads, *tails]):
-        if w not in _known:
-            if w in _older:
-                _known[w] = _older[w]
-            elif w:
-                new.append(w)
-    _known[""] = b""
-    plain = [w for w in new if _PLAIN.fullmatch(w)]
+def word_ids(path: str, words: list[str]) -> list[bytes]:
+    """The ids of each of some distinct words (no white space inside) as bytes. Words never share a token, so many are tokenised as one text."""
+    plain = [w for w in words if _PLAIN.fullmatch(w)]
+    found = {}
     for i in range(0, len(plain), 50_000):
-        _known.update(_encode_plain(path, plain[i: i + 50_000]))
-    _known.update(_encode_others(path, [w for w in new if not _PLAIN.fullmatch(w)]))
-    return [_known[a] + _known[b] if b else _known[a] for a, b in zip(heads, tails)]
+        found.update(_encode_plain(path, plain[i: i + 50_000]))
+    found.update(_encode_others(path, [w for w in words if w not in found]))
+    return [found[w] for w in words]
+
+
+def _folded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z lowered, as the tokenizer does itself; but its added tokens ``<|...|>`` only count as they are written, so words
+    with ``<|`` keep their letters."""
+    folded = LOWER[data]
+    marks = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))
+    for w in np.unique(np.searchsorted(starts, marks, side="right") - 1).tolist():
+        folded[starts[w]: ends[w]] = data[starts[w]: ends[w]]
+    return folded
+
+
+def _head_ends(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where each word ends without the sentence marks (up to four) after its last letter."""
+    out = ends.copy()
+    rows = np.arange(len(ends))
+    for _ in range(4):
+        rows = rows[(out[rows] - starts[rows] > 1) & _TAIL[data[out[rows] - 1]]]
+        out[rows] -= 1
+    rows = np.flatnonzero(out < ends)
+    back = rows[~_LETTER[data[out[rows] - 1]]]
+    out[back] = ends[back]
+    return out
 
 
 def token_ids(batch: pa.RecordBatch, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all texts, each followed by END; where each text's begin, and the end)."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))  # the tokenizer lowers case anyway
-    words = lists.flatten().dictionary_encode()
-    ids = _word_ids(path, words.dictionary.to_pylist())
-    ids.append(np.array([END], np.uint32).tobytes())
-    counts = np.array([len(x) // 4 for x in ids], np.int64)
-    firsts = np.cumsum(counts) - counts
-    flat = np.frombuffer(b"".join(ids), np.uint32)
-    per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    places = np.insert(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(per_text), len(ids) - 1)
-    begins = np.concatenate(([0], np.cumsum(counts[places])))[np.concatenate(([0], np.cumsum(per_text + 1)))]
-    return flat[expand(firsts[places], counts[places])], begins
+    """(ids of all texts, each followed by END; where each text's begin, and the end).
+
+    Words are looked up by 64-bit hashes, without the marks at their end, which are words of their own; only new ones become strings.
+    """
+    data, offsets = text_bytes(batch.column("text"))
+    starts, ends, first = word_spans(data, offsets)
+    data = _folded(data, starts, ends)
+    stops = _head_ends(data, starts, ends)
+    marked = np.flatnonzero(stops < ends)
+    begins, finals = np.concatenate([starts, stops[marked]]), np.concatenate([stops, ends[marked]])
+    hashes = np.concatenate([span_hashes(data, starts, stops), span_hashes(data, stops[marked], ends[marked])])
+    known = _words.setdefault(path, Words())
+    numbers = known.find(hashes)
+    new = np.flatnonzero(numbers < 0)
+    if len(new):
+        distinct, at, which = np.unique(hashes[new], return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        numbers[new] = len(known.counts) + which
+        known.add(distinct, word_ids(path, [raw[a:b].decode() for a, b in zip(begins[new[at]].tolist(), finals[new[at]].tolist())]))
+    # The parts of the texts in order: a word, its marks, the next word, ..., END.
+    earlier = np.concatenate(([0], np.cumsum(stops < ends)))
+    text = np.repeat(np.arange(batch.num_rows), np.diff(first))
+    at_word = np.arange(len(starts)) + earlier[:-1] + text
+    at_end = first[1:] + earlier[first[1:]] + np.arange(batch.num_rows)
+    order = np.concatenate([at_word, at_word[marked] + 1, at_end])
+    place, count = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    place[order] = np.concatenate([known.firsts[numbers], np.full(batch.num_rows, len(known.ids))])
+    count[order] = np.concatenate([known.counts[numbers], np.ones(batch.num_rows, np.int64)])
+    ids = np.append(known.ids, np.uint32(END))[expand(place, count)]
+    if len(known.counts) > CACHE:
+        _words[path] = known.kept(np.unique(numbers))
+    return ids, np.concatenate(([0], np.cumsum(count)[at_end]))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
