@@ -1,5 +1,10 @@
 """Language, toxicity and quality: held-out accuracy, and that nothing held out is learned from."""
 
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
 from pyspark.sql import functions as F
 
 from voxtally.llm import langid, quality, toxicity
@@ -45,6 +50,53 @@ def test_language_grams_by_hand():
     assert lettered.tolist() == [True, False, True, True]
 
 
+def plain_grams(text):
+    """The buckets of a text's n-grams, one by one."""
+    chars = [ord(c) + 1 if c.isalpha() else 0 for c in (text or "").lower()]
+    out = []
+    for place, n in enumerate(langid.ORDERS):
+        for k in range(len(chars) - n + 1):
+            if any(chars[k: k + n]):
+                h = 0x27D4EB2F * n & 0xFFFFFFFF
+                for c, m in zip(chars[k: k + n], (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+                    h = (h ^ c) * m & 0xFFFFFFFF
+                    h ^= h >> 15
+                out.append((place, h >> 16))
+    return out
+
+
+def test_language_equals_plain_naive_bayes_with_300_languages(spark):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzéßñøüąčđęłşžаbвгдежзиклмн"
+    own = {f"l{k:03}": rng.sample(letters, 6) for k in range(300)}
+    rows = []
+    for i in range(1_500):
+        lang = f"l{i % 300:03}"
+        text = " ".join("".join(rng.choices(own[lang], k=rng.randint(1, 6))) for _ in range(rng.randint(0, 25)))
+        rows.append((i, rng.choice([text, text.upper(), text + " 12?"]), lang if i % 11 else None))
+    held = [zlib.crc32(str(i).encode()) % 3 == 1 for i, _, _ in rows]
+    counts, docs = defaultdict(Counter), Counter()
+    for (_, text, lang), out in zip(rows, held):
+        if not out and lang:
+            counts[lang].update(plain_grams(text))
+            docs[lang] += 1
+    size = 1 << langid.BITS
+    total = {x: [sum(n for (o, _), n in c.items() if o == order) + langid.SMOOTHING * size for order in range(3)] for x, c in counts.items()}
+    expected = {}
+    for i, text, _ in rows:
+        mine = plain_grams(text)
+        logs = {x: math.log(docs[x] / sum(docs.values())) + sum(math.log((counts[x][g] + langid.SMOOTHING) / total[x][g[0]]) for g in mine) for x in sorted(docs)}
+        best = max(logs, key=logs.get)
+        expected[i] = (best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())) if mine else ("und", 0.0)
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(docs) > 280 and [r.held_out for r in sorted(found, key=lambda r: r.doc_id)] == held
+    assert all(abs(r.score - expected[r.doc_id][1]) < 1e-3 for r in found)
+    assert all(r.lang_pred == expected[r.doc_id][0] for r in found if expected[r.doc_id][1] > 0.51 or r.lang_pred == "und")
+    truth = {i: lang for i, _, lang in rows}
+    sure = [r for r in found if r.held_out and truth[r.doc_id] and r.score > 0.9]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in sure) > 0.8 * len(sure) > 0 and len({r.lang_pred for r in found}) > 250
+
+
 def test_toxicity_held_out(more_documents, labels):
     truth = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
     rows = [r for r in toxicity.classify(more_documents, labels).collect() if r.held_out and r.doc_id in truth]

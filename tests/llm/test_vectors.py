@@ -53,9 +53,24 @@ def test_top_k_odd_rows(spark):
 
 def test_products_stay_exact():
     a = np.array([[3 << 27, 1]])
-    assert topk._products(a, a)[0, 0] == (3 << 27) ** 2 + 1
-    with pytest.raises(OverflowError):
-        topk._products(a << 20, a << 20)
+    assert topk._products(a, a)[0][0, 0] == (3 << 27) ** 2 + 1
+    wide = a << 20
+    product, unsure = topk._products(np.concatenate([wide, a]), np.concatenate([wide, a, [[-5, 7 << 45]]]))
+    assert unsure.tolist() == [[True, False, True], [False, False, False]] or unsure.tolist() == [[True, True, False], [True, False, False]]
+    assert product[1, 2] == -5 * (3 << 27) + (7 << 45)
+
+
+def test_top_k_large_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(40, [1e8, 1e8], 0), (20, [-1e8, 1.0], 0), *((100 + i, (rng.normal(0, 1, 2) * 10.0 ** rng.integers(0, 8)).tolist(), 0) for i in range(60))]
+    assert top(spark, rows, 20) == brute_top(rows, 20)
+    halves = [(20, [1e9, -1e9, 1e9, 1.0], 0), (1, [1e9, 1e9, 1.0, 2.0], 0), (2, [1e9, 1e9, 3.0, 5.0], 0), (3, [-1e9, -1e9, 0.0, 9.0], 0), (4, [1.0, 0.0, 0.0, 0.0], 0)]
+    assert top(spark, halves, 3) == brute_top(halves, 3)  # the shares of the slices do not fit a long, the scores do
+    with pytest.raises(Exception, match="does not fit a long"):
+        top(spark, [(20, [1e9, 1e9], 0), (1, [1e9, 1e9], 0)], 3)
+    with pytest.raises(Exception, match="does not fit a long"):
+        top(spark, [(20, [1e9, 1e9], 0), (1, [-1e9, -1e9], 0)], 3)
+    assert [r[2] for r in top(spark, [(20, [1e9, 1e9], 0), (1, [-1e9, -1e9], 0), (2, [1.0, 1.0], 0)], 1)] == [2]
 
 
 def brute_links(rows, threshold=0.93):

@@ -16,8 +16,8 @@ from voxtally.llm.tables import fold, with_kept
 
 #: Labelled rows that the counts are taken from, for each language at most (expected number of a hash sample).
 SAMPLE_PER_LANG = 6_000
-#: Languages that can be learned: the most frequent ones. Bounds the matrix to BUCKETS x MAX_LANGS.
-MAX_LANGS = 128
+#: Languages in a column block of the matrix. Every learned language is scored, block by block; a worker holds 0.8 MB for each.
+BLOCK_LANGS = 64
 BITS, ORDERS = 16, (1, 2, 3)
 SMOOTHING = 0.5
 UNKNOWN = "und"
@@ -31,7 +31,7 @@ _letters: np.ndarray | None = None
 @dataclass
 class Model:
     langs: list[str]
-    log_prob: np.ndarray  # (orders * buckets, languages)
+    log_prob: list[np.ndarray]  # (orders * buckets, languages) in blocks of languages
     prior: np.ndarray
 
 
@@ -80,7 +80,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     counts[lang] = counts.get(lang, np.zeros(size, np.int64)) + np.bincount(own, minlength=size)
     for lang, total in counts.items():
         at = np.flatnonzero(total)
-        yield pa.record_batch({"lang": pa.array([lang] * len(at)), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
+        yield pa.record_batch({"lang": pa.array([lang] * len(at), pa.string()), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
 
 
 def train(docs: DataFrame, usable: Column) -> Model:
@@ -90,23 +90,24 @@ def train(docs: DataFrame, usable: Column) -> Model:
     Without any labelled row the model knows no language, and every prediction is ``und``.
     """
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang"), F.col("text"), F.col("doc_id"))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     langs = sorted(sizes)
     size = len(ORDERS) << BITS
     if not langs:
-        return Model([], np.zeros((size, 0), np.float32), np.zeros(0))
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, SAMPLE_PER_LANG / n)))])
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
-    sample = labelled.where(drawn).select("lang", "text").repartition(12)
+        return Model([], [], np.zeros(0))
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, SAMPLE_PER_LANG / n) * (1 << 20)) for k, n in sizes.items()], "lang string, share double")
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("share")
+    sample = labelled.join(F.broadcast(shares), "lang").where(drawn).select("lang", "text").repartition(12)
     rows = sample.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((size, len(langs)))
     place = {x: i for i, x in enumerate(langs)}
     columns = np.array([place[x] for x in rows.column("lang").to_pylist()], np.int64)
     counts[rows.column("bucket").to_numpy(), columns] = rows.column("n").to_numpy()
     by_order = counts.reshape(len(ORDERS), 1 << BITS, len(langs)) + SMOOTHING
-    log_prob = np.log(by_order / by_order.sum(1, keepdims=True)).reshape(size, len(langs)).astype(np.float32)
+    totals = by_order.sum(1, keepdims=True)
+    blocks = [np.log(by_order[:, :, a: a + BLOCK_LANGS] / totals[:, :, a: a + BLOCK_LANGS]).reshape(size, -1).astype(np.float32) for a in range(0, len(langs), BLOCK_LANGS)]
     prior = np.array([sizes[x] for x in langs], float)
-    return Model(langs, log_prob, np.log(prior / prior.sum()))
+    return Model(langs, blocks, np.log(prior / prior.sum()))
 
 
 def predict(docs: DataFrame, model: Model, kept: Column) -> DataFrame:
@@ -115,25 +116,27 @@ def predict(docs: DataFrame, model: Model, kept: Column) -> DataFrame:
     A null text, one without a letter, or a model without languages gives ``und`` with score 0. Ties go to the first language in
     alphabetical order. Only the text is looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    context = docs.sparkSession.sparkContext
+    shared, matrix = context.broadcast((model.langs, model.prior)), [context.broadcast(x) for x in model.log_prob]
     given = with_kept(docs, kept)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        names = np.array([*m.langs, UNKNOWN], object)
+        langs, prior = shared.value
+        names = np.array([*langs, UNKNOWN], object)
         for whole in batches:
             for batch in slices(with_text(whole)):
                 found, lettered = grams(batch)
-                if not m.langs:
+                if not langs:
                     yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array([UNKNOWN] * batch.num_rows, pa.string()), pa.array(np.zeros(batch.num_rows))], ["kept", "lang_pred", "score"])
                     continue
-                total = np.tile(m.prior, (batch.num_rows, 1))
+                total = np.tile(prior, (batch.num_rows, 1))
                 for h, begins in found:
                     full = np.flatnonzero(begins[1:] > begins[:-1])
-                    if len(full):
-                        total[full] += np.add.reduceat(m.log_prob[h], begins[:-1][full], axis=0, dtype=np.float64)
+                    for k, block in enumerate(matrix if len(full) else ()):
+                        a = k * BLOCK_LANGS
+                        total[full, a: a + BLOCK_LANGS] += np.add.reduceat(block.value[h], begins[:-1][full], axis=0, dtype=np.float64)
                 top = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-                best = names[np.where(lettered, total.argmax(1), len(m.langs))]
+                best = names[np.where(lettered, total.argmax(1), len(langs))]
                 yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(best, pa.string()), pa.array(np.where(lettered, top, 0.0))], ["kept", "lang_pred", "score"])
 
     schema = StructType([given.schema["kept"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])

@@ -25,7 +25,7 @@ END = 1
 #: Pieces of a partition; rounds of exchange; dual feasible functions u_k with k up to STEPS.
 PARTITION, ROUNDS, STEPS = 16_384, 12, 24
 #: Words whose ids a worker keeps; with more it goes on with those of the last slice.
-CACHE = 400_000
+CACHE = 1_000_000
 # Stands between words that are tokenised together; a word that holds it is tokenised by itself.
 _BETWEEN = "␞"
 # One run of these letters is one pre-token, so the last token of each word tells where the next begins.

@@ -39,7 +39,7 @@ from voxtally.session import new_folder
 #: What a read returns; ``.schema`` may name fewer of these, and without ``payload`` no block is decoded.
 SCHEMA = "file string, place long, record_id string, record_type string, target_uri string, date string, content_type string, payload_digest string, payload_length long, refers_to string, headers map<string,string>, payload binary"
 #: Bytes of files that make up a partition, by default.
-PARTITION_BYTES = 128 << 20
+PARTITION_BYTES = 32 << 20
 #: Records with shorter payloads are never stored as revisits.
 LEAST = 1000
 #: Records and payload bytes of a batch that a read passes on.
