@@ -56,7 +56,7 @@ def test_products_stay_exact():
     assert topk._products(a, a)[0][0, 0] == (3 << 27) ** 2 + 1
     wide = a << 20
     product, unsure = topk._products(np.concatenate([wide, a]), np.concatenate([wide, a, [[-5, 7 << 45]]]))
-    assert unsure.tolist() == [[True, False, True], [False, False, False]] or unsure.tolist() == [[True, True, False], [True, False, False]]
+    assert unsure.tolist() == [[True, True, True], [True, False, False]]
     assert product[1, 2] == -5 * (3 << 27) + (7 << 45)
 
 
