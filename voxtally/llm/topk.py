@@ -135,7 +135,7 @@ def _resolve(k: int, slices: int, cut: bool):
         if cut:
             ok = score >= cutoffs[q]
             q, c, score = q[ok], c[ok], score[ok]
-        order = np.lexsort((cids[c], -score, q))
+        order = np.lexsort((cids[c], ~score, q))  # ~ turns the order around without overflow
         q, c, score = q[order], c[order], score[order]
         first = np.searchsorted(q, np.arange(len(qids)))
         ok = np.arange(len(q)) - first[q] < k
