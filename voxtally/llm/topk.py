@@ -84,7 +84,7 @@ def _lists(k: int, slices: int, cut: bool):
             score, unsure = _products(q, c)
             own = qids[:, None] == cids[None, :]
             if cut:
-                reach = score >= -(-cutoffs // slices)[:, None]
+                reach = score >= (cutoffs // slices + (cutoffs % slices != 0))[:, None]
                 qi, ci = np.nonzero((reach if unsure is None else reach | unsure) & ~own)  # a share that may have wrapped around is sent in any case
             else:
                 few = min(k, len(cids))
@@ -173,7 +173,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, slices: int = SLICE
     clean = [t.where(F.col("id").isNotNull() & (F.size("v") > 0)).select("id", "v") for t in (queries.groupBy("id").agg(F.min("v").alias("v")), candidates)]
     asking, held = (store(t.withColumn("uid", F.monotonically_increasing_id()), "top-k-rows") for t in clean)
     asked, offered = asking.count(), held.count()
-    nothing = F.lit(TOO_SMALL + 1).cast("long")
+    nothing = F.lit(TOO_SMALL).cast("long")
     cb = store(_blocks(held.withColumn("cutoff", nothing), slices, CANDIDATE_BLOCK, offered), "candidate-blocks")
     query_blocks, candidate_blocks = (max(1, -(-n // size)) for n, size in ((asked, QUERY_BLOCK), (offered, CANDIDATE_BLOCK)))
     each_c = cb.withColumn("cb", F.col("block")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).drop("block")
