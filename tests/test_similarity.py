@@ -5,7 +5,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import vector_to_array
 
 from voxtally import fixed
 from voxtally.operators import analysis as an
@@ -113,3 +116,19 @@ def test_clusters(spark):
     plain = an.analyze_feedback(df).orderBy("_row_number")
     assert with_ids.drop("cluster_id").collect() == plain.drop("cluster_id").collect()  # clusters change nothing else
     assert [r.cluster_id for r in with_ids.collect()] == labels
+
+
+def test_all_starts_in_one_pass_are_as_good_as_single_fits(spark):
+    rng = random.Random(6)
+    topics = [["refund", "money", "pending"], ["app", "crash", "slow"], ["otp", "code", "late"], ["fee", "charge", "bill"], ["agent", "call", "rude"], ["login", "locked", "user"]]
+    texts = [" ".join(rng.choices(rng.choice(topics), k=6) + rng.choices(["the", "my", "again", "please"], k=3)) for _ in range(400)]
+    found = groups.cluster_feedback(frame(spark, texts), k=6)
+    rows = found.members.select("cluster_id", vector_to_array("tfidf").alias("x")).collect()
+    x, label = np.array([r.x for r in rows]), np.array([r.cluster_id for r in rows])
+    far = ((x[:, None] - found.centres[None]) ** 2).sum(2)
+    assert (far.argmin(1) == label).all() and found.cost == pytest.approx(far.min(1).sum())
+    for c in range(6):
+        assert np.allclose(found.centres[c], x[label == c].mean(0), atol=1e-3)
+    training = found.members.select("tfidf")
+    costs = [KMeans(k=6, seed=fixed.CLUSTER_SEED + s, featuresCol="tfidf").fit(training).summary.trainingCost for s in range(10)]
+    assert found.cost <= min(costs) * 1.001

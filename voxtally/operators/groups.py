@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from voxtally import fixed
 from voxtally.functions.exprs import normalize_text, strings
-from voxtally.operators.similarity import TfidfModel, tfidf_fit, with_vectors
+from voxtally.operators import kmeans
+from voxtally.operators.similarity import TfidfModel, tfidf_fit, vector_entries, with_vectors
 from voxtally.session import stage
 
 
@@ -27,6 +28,8 @@ class Clusters:
     model: TfidfModel | None
     k: int
     warnings: list[str] = field(default_factory=list)
+    centres: np.ndarray | None = None
+    cost: float | None = None
 
 
 def choose_k(records: int, requested: int | None = None) -> int:
@@ -45,8 +48,7 @@ def cluster_feedback(
 ) -> Clusters:
     """K-Means with several seeded starts, the cheapest kept.
 
-    Key columns and vectors are written once, without the texts.  Each start reads the vectors once and keeps them, in
-    the form it iterates over, in executor memory or on disk; keeping the DataFrame as well would only slow the iterations.
+    Key columns and vectors are written once, without the texts.  All starts share the passes over the vectors.
     """
     usable = normalize_text(F.col(column)).isNotNull()
     no_id = F.lit(None).cast("int")
@@ -65,15 +67,10 @@ def cluster_feedback(
     usable = F.col("_usable")
     if size == 1:
         return Clusters(vectors.withColumn("cluster_id", F.when(usable, F.lit(0))).drop("_usable"), model, 1, warnings)
-    training = vectors.where(usable).select("tfidf")
-    best = None
-    for start in range(restarts):
-        fitted = KMeans(k=size, seed=fixed.CLUSTER_SEED + start, featuresCol="tfidf", predictionCol="cluster_id").fit(training)
-        cost = fitted.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, fitted)
-    labelled = best[1].transform(vectors)
-    return Clusters(labelled.withColumn("cluster_id", F.when(usable, F.col("cluster_id"))).drop("_usable"), model, size, warnings)
+    raw = F.unwrap_udt("tfidf")
+    centres, cost = kmeans.fit(vectors.where(usable), raw["indices"], raw["values"], len(model.vocabulary), size, fixed.CLUSTER_SEED, restarts)
+    labelled = vectors.withColumn("cluster_id", F.when(usable, kmeans.nearest(vector_entries(F.col("tfidf")), centres)))
+    return Clusters(labelled.drop("_usable"), model, size, warnings, centres, cost)
 
 
 def cluster_terms(clusters: Clusters, top: int = fixed.CLUSTER_TERMS) -> DataFrame:

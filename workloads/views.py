@@ -55,13 +55,16 @@ SENTENCES = (
     "the money will be back on my side or why it takes so long.",
     "  Dashboard is slow, invoice overcharged twice \n and the refund pending  ",
 )
+#: Tables of fewer bytes are dealt out over all cores.
+SMALL_BYTES = 256 << 20
 CITIES = ("Mumbai", "Delhi", "Bengaluru", "Chennai")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The given table.  The test tables are files of one row group, which no split size can divide: those are dealt out."""
+    """The given table.  Small tables are files of one row group, which no split size can divide: those are dealt out."""
     df = read_table(spark, f"{sf_dir}/{name}.parquet")
-    return df.repartition(min(16, spark.sparkContext.defaultParallelism)) if df.rdd.getNumPartitions() == 1 else df
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_BYTES
+    return df.repartition(min(16, spark.sparkContext.defaultParallelism)) if small else df
 
 
 def _sentence() -> Column:
