@@ -201,3 +201,48 @@ def test_decision_store(spark, tmp_path):
     with pytest.raises(ValueError):
         store.save_decision("fees", "maybe")
     assert store.clear_decisions() == 2 and store.all_decisions().count() == 0
+
+
+def test_two_writers_and_compactions_lose_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "log")
+    one, two = dec.DecisionStore(spark, path), dec.DecisionStore(spark, path)
+    one.save_decision("fees", "approved")
+    two.save_decision("usability", "rejected")
+    events = dec.DecisionStore._events
+    turns = []
+
+    def slow(self, folder, files):  # while the first compaction copies, another writer saves and another compaction ends
+        found = events(self, folder, files)
+        if not turns:
+            turns.append(1)
+            two.save_decision("fees", "rejected", "late")
+            assert two.compact() == 3
+        return found
+
+    monkeypatch.setattr(dec.DecisionStore, "_events", slow)
+    assert one.compact() == 3  # its own copy of two events came second and does not count
+    monkeypatch.undo()
+    for store in (one, two, dec.DecisionStore(spark, path)):
+        assert {(r.theme_name, r.status) for r in store.all_decisions().collect()} == {("fees", "rejected"), ("usability", "rejected")}
+    two.save_decision("security", "pending")
+    assert one.compact() == 4 and two.log().count() == 4
+    one.save_decision("kyc", "approved")
+    assert two.vacuum() == 6 and one.log().count() == 5  # four event files, the first generation and its manifest
+    assert one.compact() == 5 and two.vacuum() == 3 and two.log().count() == 5
+    (tmp_path / "log" / "_generations" / "00000099.json").write_text('{"folder": ')  # a manifest that is not whole yet
+    assert two.log().count() == 5 and {r.theme_name for r in one.all_decisions().collect()} == {"fees", "usability", "security", "kyc"}
+
+
+def test_a_refused_table_leaves_no_other(spark, tmp_path):
+    good = spark.createDataFrame([("fees", 1)], "theme_name string, n int")
+    bad = spark.createDataFrame([("fees", "mail me at some.body@mail.example.com")], "theme_name string, feedback_id string")
+    path = str(tmp_path / "out")
+    write = lambda table, place: sinks.guarded(table).write.json(place)
+    with pytest.raises(Exception, match="readable personal data"):
+        sinks.publish({"insights": good, "ids": bad}, path, write)
+    assert list(tmp_path.iterdir()) == [] and sinks.published(spark, path) == []
+    sinks.publish({"insights": good, "ids": good}, path, write)
+    assert sinks.published(spark, path) == ["insights", "ids"] and spark.read.json(f"{path}/insights").count() == 1
+    with pytest.raises(FileExistsError):
+        sinks.publish({"insights": good}, path, write)
+    assert [p.name for p in tmp_path.iterdir()] == ["out"]

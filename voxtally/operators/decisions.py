@@ -2,19 +2,28 @@
 
 A decision is one appended row, so writers never read before they write.  The
 state of a theme is its latest event; a delete is an event as well.
+
+Many small files are slow to read.  A compaction writes all events into a folder of the next generation, with a manifest that names the event
+files it covers.  Readers take the newest generation with a whole manifest and all event files it does not cover, so what is saved
+during a compaction, by whomever, is never lost, and every holder of the log sees the same.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from voxtally import fixed
 from voxtally.functions.skew import lookup_join
 
+#: Folder of the compacted generations inside that of the log; hidden from a plain read of it.
+GENERATIONS = "_generations"
 LOG_SCHEMA = "theme_name string, action string, status string, reviewer_note string, event_time timestamp, event_id string"
 
 
@@ -25,12 +34,39 @@ class DecisionStore:
         self.spark, self.path = spark, path
 
     def log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(LOG_SCHEMA).parquet(self.path)
-        except AnalysisException as problem:
-            if problem.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], LOG_SCHEMA)
+        """All events: the newest generation and the event files after it."""
+        number, folder, covered = self._generation()
+        return self._events(folder, self._files(covered))
+
+    def _events(self, folder: str | None, files: list[str]) -> DataFrame:
+        read = self.spark.read.schema(LOG_SCHEMA).parquet
+        frames = ([read(folder)] if folder else []) + ([read(*files)] if files else [])
+        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], LOG_SCHEMA)
+
+    def _place(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _listed(self, path: str) -> list[str]:
+        place = self._place(path)
+        files = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(f.getPath().getName() for f in files.listStatus(place)) if files.exists(place) else []
+
+    def _files(self, covered: set[str]) -> list[str]:
+        names = [n for n in self._listed(self.path) if n.endswith(".parquet") and n[0] not in "_." and n not in covered]
+        return [f"{self.path.rstrip('/')}/{n}" for n in names]
+
+    def _generation(self) -> tuple[int, str | None, set[str]]:
+        """(number, folder, covered event files) of the newest generation; one whose manifest is not whole yet does not count."""
+        home = f"{self.path.rstrip('/')}/{GENERATIONS}"
+        for name in sorted((n for n in self._listed(home) if re.fullmatch(r"\d{8}\.json", n)), reverse=True):
+            row = self.spark.read.text(f"{home}/{name}", wholetext=True).first()
+            try:
+                told = json.loads(row["value"]) if row else None
+            except ValueError:
+                told = None
+            if told:
+                return int(name[:8]), f"{home}/{told['folder']}", set(told["covered"])
+        return 0, None, set()
 
     def state(self) -> DataFrame:
         return decision_state(self.log())
@@ -70,17 +106,47 @@ class DecisionStore:
         return count
 
     def compact(self) -> int:
-        """Rewrite the log in few files, sorted by theme, and return the number of events.
+        """Write all events into a folder of the next generation, sorted by theme, and return the number of events.
 
-        Saves come one file each; reading very many of them is slow.  The new log is written beside the old one, which stays until
-        the caller has switched ``path``; nothing is lost if the rewrite fails.
+        Of two compactions at a time the one that creates the manifest first counts; the other's folder goes. Nothing else is removed: event files and
+        older generations stay for whoever reads them just now, until ``vacuum``.
         """
-        events = self.log()
-        compacted = f"{self.path.rstrip('/')}-{uuid.uuid4().hex}"
-        events.repartitionByRange("theme_name", "event_time").write.parquet(compacted)
-        self.path = compacted
+        number, folder, covered = self._generation()
+        files = self._files(covered)
+        events = self._events(folder, files)
+        home, name = f"{self.path.rstrip('/')}/{GENERATIONS}", f"{number + 1:08d}-{uuid.uuid4().hex}"
+        events.repartitionByRange("theme_name", "event_time").write.parquet(f"{home}/{name}")
+        place = self._place(f"{home}/{number + 1:08d}.json")
+        system = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            out = system.create(place, False)
+        except Py4JJavaError as problem:
+            if "FileAlreadyExists" not in problem.java_exception.toString() and "already exists" not in problem.java_exception.toString():
+                raise
+            system.delete(self._place(f"{home}/{name}"), True)
+        else:
+            still_there = covered & set(self._listed(self.path))
+            told = {"folder": name, "covered": sorted(still_there | {f.rsplit("/", 1)[1] for f in files})}
+            out.write(bytearray(json.dumps(told).encode()))
+            out.close()
         return self.log().count()
 
+    def vacuum(self) -> int:
+        """Remove the event files that the newest generation covers and older generations, and return how many files went.
+
+        To be called when no reader can still be at work that began before that generation.
+        """
+        number, folder, covered = self._generation()
+        root = self.path.rstrip("/")
+        gone = [f"{root}/{n}" for n in self._listed(root) if n in covered]
+        keep = {f"{number:08d}.json", (folder or "").rsplit("/", 1)[-1]}
+        older = [n for n in self._listed(f"{root}/{GENERATIONS}") if n not in keep and re.match(r"\d{8}", n) and int(n[:8]) <= number]
+        gone += [f"{root}/{GENERATIONS}/{n}" for n in older]
+        for path in gone:
+            place = self._place(path)
+            place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        return len(gone)
+
     def _append(self, events: list[tuple]) -> None:
         rows = [(*e, _now(), uuid.uuid4().hex) for e in events]
         self._write(self.spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from datetime import datetime, timezone
 from functools import reduce
 from typing import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from voxtally import fixed
 from voxtally.functions.pii import any_unmasked, unmasked
@@ -113,6 +115,56 @@ def guarded(df: DataFrame) -> DataFrame:
     return df.withColumn(first, F.when(bad, F.raise_error(refused).cast(kind)).otherwise(F.col(f"`{first}`")))
 
 
+# --- several tables as one output ---
+
+
+MANIFEST = "_published.json"
+
+
+def _folder(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def publish(tables: dict[str, DataFrame], path: str, write: Callable[[DataFrame, str], None]) -> None:
+    """Write, check, then show: all tables go to a hidden folder beside ``path``, a manifest of them follows, and one rename makes the folder
+    visible.  If any write fails, the hidden folder goes and nothing is seen; a crash leaves a hidden folder that nobody reads.
+
+    Where a store has no atomic rename, ``published`` tells by the manifest, which comes last, whether all is there.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    target, files = _folder(spark, path)
+    if files.exists(target) and len(files.listStatus(target)):
+        raise FileExistsError(f"{path} holds files already.")
+    draft = f"{target.getParent().toString()}/.{target.getName()}-{uuid.uuid4().hex}"
+    hidden, _ = _folder(spark, draft)
+    try:
+        for name, table in tables.items():
+            write(table, f"{draft}/{name}")
+        out = files.create(_folder(spark, f"{draft}/{MANIFEST}")[0], False)
+        out.write(bytearray(json.dumps({"tables": list(tables)}).encode()))
+        out.close()
+        if files.exists(target):
+            files.delete(target, False)  # an empty folder; one that has filled meanwhile is an error
+        if not files.rename(hidden, target):
+            raise OSError(f"{path} could not be published.")
+    except BaseException:
+        files.delete(hidden, True)
+        raise
+
+
+def published(spark: SparkSession, path: str) -> list[str]:
+    """The tables of a complete output; none if there is no such output."""
+    place, files = _folder(spark, f"{path}/{MANIFEST}")
+    if not files.exists(place):
+        return []
+    stream = files.open(place)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["tables"]
+    finally:
+        stream.close()
+
+
 # --- records and insights ---------------------------------------------------
 
 
@@ -208,15 +260,15 @@ def export_insights_json(
     decisions: DataFrame | None = None, exported_at: str | None = None
 ) -> None:
     """JSON lines under ``path``: ``meta``, ``insights``, ``distributions`` (one line per theme, kind and value) and
-    ``source_feedback_ids`` (one line per theme and id).  The insights, a row per theme, are computed once."""
+    ``source_feedback_ids`` (one line per theme and id).  The insights, a row per theme, are computed once.  All four appear
+    together, or, if the gate refuses a row of one of them, none."""
     ranked = stage(ranked, "ranked")
     meta = ranked.agg(
         F.lit(exported_at or _now()).alias("exported_at"), F.count(F.lit(1)).alias("total_themes"),
         F.lit(fixed.DISCLAIMER).alias("disclaimer"),
     )
     tables = {"insights": insight_documents(ranked, decisions), "distributions": distributions, "source_feedback_ids": feedback_ids, "meta": meta}
-    for name, table in tables.items():
-        guarded(table).write.options(ignoreNullFields=False).json(f"{path}/{name}")
+    publish(tables, path, lambda table, place: guarded(table).write.options(ignoreNullFields=False).json(place))
 
 
 # --- Markdown report --------------------------------------------------------
