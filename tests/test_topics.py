@@ -1,11 +1,14 @@
 """Sentiment, themes, severity, intent, taxonomies, record analysis."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from voxtally import fixed
 from voxtally.functions import topics
-from voxtally.functions.exprs import contained_terms, lexicon_match, shared_words
+from voxtally.functions.exprs import contained_terms, lexicon_match, prefix_pattern
 from voxtally.operators import analysis as an
 from voxtally.sources.taxonomy import lexicon, load_rules, load_taxonomy
 
@@ -28,10 +31,10 @@ def test_sentiment(spark):
     assert got[6].matched_negative_terms == ["der"]  # substring matching
 
 
-def test_two_step_search_equals_plain_search(spark):
+def test_one_pass_search_equals_plain_search(spark):
     terms = topics.vocabulary(RULES)
-    groups = shared_words(terms)
-    assert sorted(t for g in groups for t in g["terms"]) == sorted(terms) and len(groups) < len(terms) / 2
+    pattern = re.compile(prefix_pattern(terms))
+    assert all(pattern.fullmatch(t) for t in terms) and len(pattern.pattern) < sum(map(len, terms)) * 2
     texts = ["refund still pending and kyc rejected", "App crashes, too many taps", "unhelpful der देर", "", *terms]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = df.select("t", contained_terms(F.lower("t"), terms).alias("h"), lexicon_match(F.lower("t"), terms).alias("o")).collect()
@@ -111,3 +114,16 @@ def test_record_analysis(spark):
     empty = an.analyze_rows(df.where("false"))
     assert an.analysis_warnings(empty) == [fixed.MSG_ANALYSIS_EMPTY]
     assert an.analysis_warnings(an.analyze_rows(df.union(df))) == [fixed.MSG_ANALYSIS_DUPLICATES]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_terms_in_one_pass_equal_single_searches(spark, seed):
+    rng = random.Random(seed)
+    terms = list(dict.fromkeys("".join(rng.choices("ab .?*(\\é", k=rng.randint(1, 5))) for _ in range(60)))
+    texts = ["".join(rng.choices("ab .?*(\\éc", k=rng.randint(0, 60))) for _ in range(200)] + [None, "", terms[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    rows = df.select("id", contained_terms(F.col("t"), terms).alias("any"), lexicon_match(F.col("t"), terms).alias("listed")).collect()
+    for r in rows:
+        expected = [t for t in terms if t in (texts[r.id] or "")]
+        assert sorted(r["any"]) == sorted(expected) and r.listed == expected
+    assert df.select(lexicon_match(F.col("t"), [])).distinct().collect() == [([],)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from typing import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -80,33 +81,41 @@ def string_map(values: dict[str, str]) -> Column:
     return constant(values, "map<string,string>")
 
 
-def shared_words(terms: Iterable[str]) -> list[dict]:
-    """Group terms by a word they share: a text without the word needs no look at any of them.
+def prefix_pattern(terms: Iterable[str]) -> str:
+    """A regex that finds the longest of the terms at a place: common beginnings are written once, so that a place costs as
+    many steps as its text goes along with any term, however many terms there are."""
+    root: dict = {}
+    for term in terms:
+        node = root
+        for c in term:
+            node = node.setdefault(c, {})
+        node[""] = {}
 
-    The word covering most terms is taken first; a term sharing none stands alone.
-    """
-    left, groups = list(dict.fromkeys(terms)), []
-    while left:
-        cover: dict[str, list[str]] = {}
-        for term in left:
-            for word in dict.fromkeys(term.split()):
-                cover.setdefault(word, [t for t in left if word in t])
-        word = max(cover, key=lambda w: (len(cover[w]), len(w)))
-        members = cover[word] if len(cover[word]) > 1 else [left[0]]
-        groups.append({"word": word if len(members) > 1 else left[0], "terms": members})
-        left = [t for t in left if t not in members]
-    return groups
+    def pattern(node: dict) -> str:
+        ways = [re.escape(c) + pattern(after) for c, after in sorted(node.items()) if c]
+        if not ways:
+            return ""
+        return f"(?:{'|'.join(ways)}){'?+' if '' in node else ''}" if len(ways) > 1 or "" in node else ways[0]
 
+    return pattern(root)
 
-def contained_terms(text_lower: Column, terms: Iterable[str]) -> Column:
-    """Distinct terms contained in the text, in no particular order; two-step search for long lists."""
-    groups = constant(shared_words(terms), "array<struct<word:string,terms:array<string>>>")
 
-    def search(text: Column) -> Column:
-        near = F.filter(groups, lambda g: F.contains(text, g["word"]))
-        return F.flatten(F.transform(near, lambda g: F.filter(g["terms"], lambda t: F.contains(text, t))))
+def contained_terms(text_lower: Column, terms: Iterable[str]) -> Column:
+    """Distinct terms contained in the text, in no particular order, in one pass over it.
 
-    return let(text_lower, search)
+    A pattern gives the longest term at each place, overlapping ones too; shorter terms at the same place are beginnings of it and are looked up.
+    """
+    known = [t for t in dict.fromkeys(terms) if t]
+    if not known:
+        return strings([])
+    longest = F.array_distinct(F.regexp_extract_all(text_lower, F.lit(f"(?=({prefix_pattern(known)}))"), F.lit(1)))
+    listed = set(known)
+    beginnings = {t: [t[:n] for n in range(1, len(t)) if t[:n] in listed] for t in known}
+    beginnings = {t: b for t, b in beginnings.items() if b}
+    if beginnings:
+        table = constant(beginnings, "map<string,array<string>>")
+        longest = let(longest, lambda found: F.array_distinct(F.concat(found, F.flatten(F.array_compact(F.transform(found, lambda t: F.try_element_at(table, t)))))))
+    return F.coalesce(longest, strings([]))
 
 
 def lexicon_match(text_lower: Column, terms: Iterable[str]) -> Column:
@@ -126,8 +135,6 @@ def keep(*conditional: Column) -> Column:
 
 def word_or_phrase(terms: Iterable[str]) -> tuple[str, list[str]]:
     """(regex for word-bounded terms, plain symbols such as ``?``)."""
-    import re
-
     words = [t for t in terms if any(c.isalnum() for c in t)]
     symbols = [t for t in terms if t and t not in words]
     pattern = "(?<![a-zA-Z0-9_])(?:" + "|".join(re.escape(w) for w in words) + ")(?![a-zA-Z0-9_])"
