@@ -14,6 +14,11 @@ EXPLORER_COLUMNS = (
     "feedback_id", "source", "date", "rating", "sentiment", "primary_theme", "secondary_themes", "severity", "intent",
     "product_area", "confidence", "requires_human_review", "analysis_method", "cluster_id", "pii_detected", "masked_text",
 )
+SEARCHED = ("feedback_id", "masked_text", "primary_theme", "secondary_themes", "source")
+#: The list filters and their columns.
+LISTS = {
+    "primary_themes": "primary_theme", "sentiments": "sentiment", "severities": "severity", "intents": "intent", "sources": "source", "analysis_methods": "analysis_method",
+}
 
 
 def secondary_names(column: str = "secondary_themes") -> Column:
@@ -65,7 +70,7 @@ def search_explorer(df: DataFrame, query: str) -> DataFrame:
     wanted = query.strip().lower()
     if not wanted:
         return df
-    columns = [c for c in ("feedback_id", "masked_text", "primary_theme", "secondary_themes", "source") if c in df.columns]
+    columns = [c for c in SEARCHED if c in df.columns]
     tests = [F.coalesce(F.rlike(F.lower(F.col(c)), F.lit(wanted)), F.lit(False)) for c in columns]
     return df.where(reduce(lambda a, b: a | b, tests))
 
@@ -83,13 +88,10 @@ def filter_explorer(
     search_query: str = "",
 ) -> DataFrame:
     """All given filters together; an empty list or None means no filter, ``Yes``/``No`` for the flags."""
-    lists = {
-        "primary_theme": primary_themes, "sentiment": sentiments, "severity": severities,
-        "intent": intents, "source": sources, "analysis_method": analysis_methods,
-    }
-    for column, wanted in lists.items():
+    for name, wanted in (("primary_themes", primary_themes), ("sentiments", sentiments), ("severities", severities), ("intents", intents),
+                         ("sources", sources), ("analysis_methods", analysis_methods)):
         if wanted:
-            df = df.where(F.col(column).isin(*wanted))
+            df = df.where(F.col(LISTS[name]).isin(*wanted))
     for column, answer in (("requires_human_review", human_review), ("pii_detected", pii_detected)):
         if answer in ("Yes", "No"):
             df = df.where(F.col(column) if answer == "Yes" else ~F.col(column))

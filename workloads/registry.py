@@ -12,7 +12,7 @@ from voxtally.functions.exprs import lexicon_match, normalize_text, strip, trim_
 from voxtally.functions.values import date_error, parse_date, parse_rating, rating_error
 from voxtally.operators import analysis as an
 from voxtally.operators import decisions as dec
-from voxtally.operators import explore, groups, insights, mentions, present, privacy, quality, quotes, similarity
+from voxtally.operators import explore, explorer_index, groups, insights, mentions, present, privacy, quality, quotes, similarity
 from voxtally.plans import pipeline
 from voxtally.session import new_folder, stage
 from voxtally.sources import feedback_csv, mapping, sinks
@@ -931,6 +931,22 @@ def search_explorer(spark, sf):
     return explore.search_explorer(_explorer(spark, sf), " Refund.*pending|signup ")
 
 
+def _indexed(spark, sf) -> explorer_index.IndexedExplorer:
+    return explorer_index.write(_explorer(spark, sf), new_folder(spark, "explorer"), rows=1_000)
+
+
+@register("filter_explorer_indexed", ORACLES["filter_explorer"])
+def filter_explorer_indexed(spark, sf):
+    """The same filter over blocks that a bitmap index chooses."""
+    return _indexed(spark, sf).filter(sentiments=["negative", "mixed"], severities=["high", "critical"], sources=["error", "view"], pii_detected="No", human_review="Yes")
+
+
+@register("search_explorer_indexed", ORACLES["search_explorer"])
+def search_explorer_indexed(spark, sf):
+    """The same search over blocks that a trigram index chooses."""
+    return _indexed(spark, sf).search(" Refund.*pending|signup ")
+
+
 @register("preview", query(*EXPLORER, select="SELECT * FROM ex ORDER BY CAST(feedback_id AS BIGINT) LIMIT 5"))
 def preview(spark, sf):
     return explore.preview(_explorer(spark, sf).orderBy(F.col("feedback_id").cast("long")), 5)
