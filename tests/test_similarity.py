@@ -132,3 +132,15 @@ def test_all_starts_in_one_pass_are_as_good_as_single_fits(spark):
     training = found.members.select("tfidf")
     costs = [KMeans(k=6, seed=fixed.CLUSTER_SEED + s, featuresCol="tfidf").fit(training).summary.trainingCost for s in range(10)]
     assert found.cost <= min(costs) * 1.001
+
+
+def test_models_are_saved_in_versions(spark, tmp_path):
+    path = str(tmp_path / "models")
+    with pytest.raises(FileNotFoundError, match="no model"):
+        similarity.load_model(spark, path)
+    first, second = (similarity.tfidf_fit(frame(spark, corpus(n))) for n in (10, 20))
+    assert [similarity.save_model(spark, m, path) for m in (first, second)] == [1, 2]
+    (tmp_path / "models" / "version-3").mkdir()  # a write that has not ended
+    assert similarity.load_model(spark, path) == (second, 2) and similarity.load_model(spark, path, 1) == (first, 1)
+    with pytest.raises(FileNotFoundError, match="no such version"):
+        similarity.load_model(spark, path, 3)

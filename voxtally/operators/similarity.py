@@ -64,6 +64,39 @@ class TfidfModel:
         return spark.createDataFrame(rows, "term_index int, term string, doc_freq long, idf double")
 
 
+MODEL_SCHEMA = "documents long, term_index int, term string, doc_freq long"
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions whose write has ended."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(place)]
+    done = [n for n in names if n.startswith("version-") and files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return sorted(int(n.removeprefix("version-")) for n in done)
+
+
+def save_model(spark: SparkSession, model: TfidfModel, path: str) -> int:
+    """Write a model (at most as many rows as terms) as the next version under ``path`` and return its number.  Versions are never changed; of two
+    writers of the same number the second fails."""
+    version = max(_versions(spark, path), default=0) + 1
+    rows = [(model.documents, i, t, n) for i, (t, n) in enumerate(zip(model.vocabulary, model.doc_freq))]
+    spark.createDataFrame(rows, MODEL_SCHEMA).coalesce(1).write.parquet(f"{path}/version-{version}")
+    return version
+
+
+def load_model(spark: SparkSession, path: str, version: int | None = None) -> tuple[TfidfModel, int]:
+    """A saved model and its version; the newest whole one, if none is named."""
+    known = _versions(spark, path)
+    if not known or (version is not None and version not in known):
+        raise FileNotFoundError(f"There is no {'such version' if known else 'model'} at {path}")
+    version = known[-1] if version is None else version
+    rows = spark.read.schema(MODEL_SCHEMA).parquet(f"{path}/version-{version}").orderBy("term_index").collect()
+    return TfidfModel(tuple(r["term"] for r in rows), tuple(r["doc_freq"] for r in rows), rows[0]["documents"]), version
+
+
 def term_counts(tokenised: DataFrame, size: int = fixed.TFIDF_VOCABULARY) -> DataFrame:
     """The ``size`` most frequent words and word pairs of ``words`` arrays, with their counts; ties by term.
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from voxtally import fixed
-from voxtally.operators.analysis import analyze_rows
+from voxtally.operators.analysis import analyze_feedback, analyze_rows
 from voxtally.operators.privacy import mask_feedback, safe_columns
 from voxtally.operators.quality import row_status, valid_rows
+from voxtally.operators.similarity import TfidfModel
 from voxtally.sources.taxonomy import DEFAULT_PRESET
 
 
@@ -32,16 +33,19 @@ def clean_stream(feedback: DataFrame) -> DataFrame:
     return valid_rows(row_status(feedback))
 
 
-def analyze_stream(feedback: DataFrame, preset: str = DEFAULT_PRESET, event_time: str | None = None) -> DataFrame:
-    """Mask and classify rows as they come (keyword rules; the similarity fallback needs a whole batch).
+def analyze_stream(
+    feedback: DataFrame, preset: str = DEFAULT_PRESET, event_time: str | None = None, model: tuple[TfidfModel, int] | None = None
+) -> DataFrame:
+    """Mask and classify rows as they come.
 
-    ``event_time`` names a timestamp column to carry along for windows.
+    The similarity fallback needs a vocabulary, which rows that are still to come can't give: with ``model``, a saved one and its version as
+    ``load_model`` gives them, the rows are those of a batch with that model, and ``model_version`` tells which it was.  Without, only the keyword rules
+    apply.  ``event_time`` names a timestamp column to carry along for windows.
     """
     masked = safe_columns(mask_feedback(feedback))
-    if event_time is None:
-        return analyze_rows(masked, preset)
-    stamped = masked.withColumn("_row_number", F.col(event_time))
-    return analyze_rows(stamped, preset).withColumnRenamed("_row_number", event_time)
+    stamped = masked if event_time is None else masked.withColumn("_row_number", F.col(event_time))
+    rows = analyze_rows(stamped, preset) if model is None else analyze_feedback(stamped, preset, model=model[0]).withColumn("model_version", F.lit(model[1]))
+    return rows if event_time is None else rows.withColumnRenamed("_row_number", event_time)
 
 
 def stream_trend(analysed: DataFrame, event_time: str, late: str = "1 day") -> DataFrame:

@@ -1261,6 +1261,19 @@ def stream_analyze(spark, sf):
     return _finish(out, "stream")
 
 
+@register("stream_analyze_model", query(RAW, "valid AS (SELECT _row_number, feedback_id, feedback_text FROM raw)",
+                                        sp.pii_ctes("valid", "feedback_text"), sp.pii_masked_cte("valid", "feedback_text", "safe"), sp.analysis_ctes("safe", fallback=True),
+                                        select="SELECT feedback_id, primary_theme, primary_confidence, severity, confidence, analysis_method, CAST(1 AS INT) AS model_version FROM an"))
+def stream_analyze_model(spark, sf):
+    """A stream with the fallback of a model that was fitted on a batch and saved."""
+    batch = privacy.mask_feedback(views.raw(spark, sf).select("feedback_id", "feedback_text"))
+    path = new_folder(spark, "model")
+    similarity.save_model(spark, similarity.tfidf_fit(batch), path)
+    rows = views.raw_from(_event_stream(spark, sf)).select("feedback_id", "feedback_text")
+    out = stream.analyze_stream(rows, model=similarity.load_model(spark, path))
+    return _finish(out.select("feedback_id", "primary_theme", "primary_confidence", "severity", "confidence", "analysis_method", "model_version"), "stream-model")
+
+
 @register("stream_trend", query(MASKED, "m2 AS (SELECT m.* FROM masked m)", sp.analysis_ctes("m2"), sp.mention_ctes("m2"), select="""
   SELECT theme_name, strftime(ts, '%Y-%m-%d') AS day, count(*) AS records FROM m_one JOIN events ON event_id = CAST(feedback_id AS BIGINT) GROUP BY ALL"""))
 def stream_trend(spark, sf):
