@@ -42,3 +42,23 @@ def test_digests(odd, library):
         ids = library.encode_ordinary(text[i] or "")
         assert (rows[i].n_tokens, rows[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
         assert rows[i].decoded_sha256 == hashlib.sha256((text[i] or "").encode()).hexdigest()
+
+
+def test_given_ids_are_decoded_by_the_token_byte_table(spark, library):
+    texts = ["one two, été \U0001f600", "", "x" * 2_000, "日本語 " * 50]
+    rows = [(i, np.array(library.encode_ordinary(t), "<u4").tobytes(), "decoded") for i, t in enumerate(texts)] + [(9, None, "x"), (9, None, "x")]
+    encoded = spark.createDataFrame(rows, "doc_id long, ids binary, decoded string")
+    found = [(r.doc_id, r.decoded if r.decoded is None else bytes(r.decoded).decode()) for r in bpe.decode(encoded, PATH).collect()]
+    assert sorted(found, key=str) == sorted([*enumerate(texts), (9, None), (9, None)], key=str)
+    unknown = spark.createDataFrame([(1, np.array([4_000_000], "<u4").tobytes())], "doc_id long, ids binary")
+    with pytest.raises(Exception, match="not in the token-byte table"):
+        bpe.decode(unknown, PATH).collect()
+
+
+def test_decoded_bytes_come_from_the_ids(odd, monkeypatch):
+    table = bpe.token_bytes(PATH)
+    assert b"".join(table.decode(np.array([i])) for i in range(300)) == table.decode(np.arange(300))
+    encoded = bpe.encode(odd, PATH, PATTERN)
+    both = encoded.select("doc_id", "ids", "decoded")
+    again = sorted((str(r.doc_id), bytes(r.decoded)) for r in bpe.decode(both, PATH).collect())
+    assert again == sorted((str(r.doc_id), bytes(r.decoded)) for r in both.collect())

@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding through one global table of distinct words.
 
 Texts are taken in blocks of bounded size. A block's pre-tokens become a list of its distinct words and, for each text, positions in that list.
-Only the distinct words are shuffled, by hash, packed into one record for each block and bucket; a bucket encodes each of its words once,
-decodes it by the token-byte table, and sends ids and bytes back to the blocks, where the texts are put together by position.
+Only the distinct words are shuffled, by hash, packed into one record for each block and bucket; a bucket encodes each of its words once
+and sends the ids back to the blocks, where the texts are put together by position. Decoding joins the ids of a text with the token-byte table, which
+has a row for each rank and is held by every worker.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +35,34 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def token_bytes(path: str) -> list[bytes | None]:
-    """The token-byte table: bytes by id."""
-    table = ranks(path)
-    out: list[bytes | None] = [None] * (max(table.values()) + 1)
-    for token, rank in table.items():
-        out[rank] = token
-    return out
+@dataclass
+class TokenBytes:
+    """The token-byte table by id: where each token's bytes begin in ``data``, and how many they are (-1: no such id)."""
+
+    starts: np.ndarray
+    lengths: np.ndarray
+    data: np.ndarray
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of all ids, one after the other; an unknown id is an error."""
+        ids = ids.astype(np.int64)
+        if len(ids) and (ids.max() >= len(self.lengths) or (self.lengths[ids] < 0).any()):
+            raise ValueError("an id is not in the token-byte table")
+        return self.data[expand(self.starts[ids], self.lengths[ids])].tobytes()
+
+
+_tables: dict[str, TokenBytes] = {}
+
+
+def token_bytes(path: str) -> TokenBytes:
+    if path not in _tables:
+        table = ranks(path)
+        lengths = np.full(max(table.values(), default=-1) + 1, -1, np.int64)
+        lengths[list(table.values())] = [len(token) for token in table]
+        full = np.maximum(lengths, 0)
+        by_rank = sorted((rank, token) for token, rank in table.items())
+        _tables[path] = TokenBytes(np.cumsum(full) - full, lengths, np.frombuffer(b"".join(token for _, token in by_rank), np.uint8))
+    return _tables[path]
 
 
 _encoders: dict = {}
@@ -49,7 +72,7 @@ def _encoder(path: str, pattern: str):
     if (path, pattern) not in _encoders:
         import tiktoken
 
-        _encoders[path, pattern] = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={}), token_bytes(path)
+        _encoders[path, pattern] = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
     return _encoders[path, pattern]
 
 
@@ -122,26 +145,24 @@ def _word_records(pattern: str, buckets: int, size: int):
 
 def _encode_bucket(path: str, pattern: str):
     def run(table: pa.Table) -> pa.Table:
-        """Encode each distinct word of a bucket once; back go ids, and bytes by way of the ids, for each block."""
-        encoder, by_id = _encoder(path, pattern)
-        known: dict[bytes, tuple[bytes, bytes]] = {}
+        """Encode each distinct word of a bucket once; back go the ids for each block."""
+        encoder = _encoder(path, pattern)
+        known: dict[bytes, bytes] = {}
         out = []
         for block, words, lengths in zip(table.column("block").to_pylist(), table.column("words").to_pylist(), table.column("lengths").to_pylist()):
             data = bytes(_unpack(words))
             ends = np.cumsum(_unpack(lengths, np.uint32).astype(np.int64)).tolist()
-            ids, decoded, at = [], [], 0
+            ids, at = [], 0
             for end in ends:
                 word = data[at:end]
                 at = end
                 found = known.get(word)
                 if found is None:
-                    own = encoder.encode_ordinary(word.decode())
-                    found = known[word] = (np.array(own, "<u4").tobytes(), b"".join([by_id[i] for i in own]))
-                ids.append(found[0])
-                decoded.append(found[1])
-            out.append((table.column("bucket")[0].as_py(), block, _pack(b"".join(ids)), _pack(np.array([len(x) // 4 for x in ids], np.uint32)), _pack(b"".join(decoded)), _pack(np.array([len(x) for x in decoded], np.uint32))))
-        names = ("bucket", "block", "ids", "id_counts", "decoded", "decoded_lengths")
-        kinds = (pa.int64(), pa.int64(), *[pa.binary()] * 4)
+                    found = known[word] = np.array(encoder.encode_ordinary(word.decode()), "<u4").tobytes()
+                ids.append(found)
+            out.append((table.column("bucket")[0].as_py(), block, _pack(b"".join(ids)), _pack(np.array([len(x) // 4 for x in ids], np.uint32))))
+        names = ("bucket", "block", "ids", "id_counts")
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.table({n: pa.array([row[i] for row in out], k) for i, (n, k) in enumerate(zip(names, kinds))})
 
     return run
@@ -162,40 +183,54 @@ def _text_records(pattern: str, buckets: int, size: int):
                 number[order] = np.arange(len(order), dtype=np.int32)
                 places = number[places]
             ids = pa.concat_arrays([x.column("doc_id") for x in block])
-            yield pa.record_batch({"block": pa.array([_block_id(n)]), "doc_ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "counts": pa.array([counts.tolist()], pa.list_(pa.int64())), "places": pa.array([_pack(places)], pa.binary())})
+            yield pa.record_batch({"block": pa.array([_block_id(n)]), "doc_ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())), "counts": pa.array([counts.tolist()], pa.list_(pa.int64())), "n_words": pa.array([len(words)], pa.int64()), "places": pa.array([_pack(places)], pa.binary())})
 
     return run
 
 
-def _assemble(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
-    words = words.sort_by("bucket")
+def _assemble(path: str, digests: bool):
+    def run(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
+        """The ids of each text by position, and the bytes that these ids give."""
+        words, table = words.sort_by("bucket"), token_bytes(path)
+
+        def joined(column: str) -> np.ndarray:
+            parts = [_unpack(x, np.uint32) for x in words.column(column).to_pylist()]
+            return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+        ids, counts_of = joined("ids"), joined("id_counts").astype(np.int64)
+        starts = np.cumsum(counts_of) - counts_of
+        out = []
+        for doc_ids, counts, total, packed in zip(*(texts.column(c).to_pylist() for c in ("doc_ids", "counts", "n_words", "places"))):
+            if total != len(counts_of):
+                raise RuntimeError("the texts changed between two reads")
+            places = _unpack(packed, np.int32)
+            at = 0
+            for doc_id, n in zip(doc_ids, counts):
+                own = places[at: at + n]
+                at += n
+                tokens = ids[expand(starts[own], counts_of[own])].astype("<u4")
+                raw, decoded = tokens.tobytes(), table.decode(tokens)
+                out.append((doc_id, len(tokens), *((hashlib.sha256(x).hexdigest() for x in (raw, decoded)) if digests else (raw, decoded))))
+        kinds = (pa.int64(), pa.int64(), *[pa.string() if digests else pa.binary()] * 2)
+        names = ("doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")))
+        return pa.table({n: pa.array([x[i] for x in out], k) for i, (n, k) in enumerate(zip(names, kinds))})
+
+    return run
 
-    def joined(column: str, dtype: type) -> np.ndarray:
-        parts = [_unpack(x, dtype) for x in words.column(column).to_pylist()]
-        return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
-    ids, id_counts = joined("ids", np.uint32), joined("id_counts", np.uint32).astype(np.int64)
-    decoded, lengths = joined("decoded", np.uint8).tobytes(), joined("decoded_lengths", np.uint32).astype(np.int64)
-    id_starts, ends = np.cumsum(id_counts) - id_counts, np.cumsum(lengths).tolist()
-    pieces = [decoded[a:b] for a, b in zip([0, *ends[:-1]], ends)]
-    out = []
-    for doc_ids, counts, packed in zip(*(texts.column(c).to_pylist() for c in ("doc_ids", "counts", "places"))):
-        places = _unpack(packed, np.int32)
-        at = 0
-        for doc_id, n in zip(doc_ids, counts):
-            own = places[at: at + n]
-            at += n
-            tokens = ids[expand(id_starts[own], id_counts[own])]
-            out.append((doc_id, tokens, b"".join([pieces[i] for i in own.tolist()])))
-    return pa.table({
-        "doc_id": pa.array([x[0] for x in out], pa.int64()), "n_tokens": pa.array([len(x[1]) for x in out], pa.int64()),
-        "ids": pa.array([x[1].astype("<u4").tobytes() for x in out], pa.binary()), "decoded": pa.array([x[2] for x in out], pa.binary())})
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``doc_id, decoded``: the bytes of ``ids`` (little-endian unsigned 32-bit integers), joined with the token-byte table of the rank file ``path``.
 
+    Null ids give null, empty ones no bytes; an id that is not in the table is an error; repeated rows stay; an empty table gives no rows; other columns are ignored.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_bytes(path)
+        for batch in batches:
+            found = [None if x is None else table.decode(np.frombuffer(x, "<u4")) for x in batch.column("ids").to_pylist()]
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "decoded": pa.array(found, pa.binary())})
 
-def _digest(key: tuple, texts: pa.Table, words: pa.Table) -> pa.Table:
-    found = _assemble(key, texts, words)
-    sums = {c: pa.array([hashlib.sha256(x).hexdigest() for x in found.column(c).to_pylist()], pa.string()) for c in ("ids", "decoded")}
-    return pa.table({"doc_id": found.column("doc_id"), "n_tokens": found.column("n_tokens"), "ids_sha256": sums["ids"], "decoded_sha256": sums["decoded"]})
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -203,7 +238,7 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, bloc
 
     With ``digests`` their SHA-256 in hex comes instead (``ids_sha256, decoded_sha256``). Each match of ``pattern`` is encoded by itself, without
     special tokens. Null texts count as empty: no ids. Repeated rows each give a row; other columns are ignored. ``docs`` is read twice
-    and must come from a table, so that its blocks are the same both times.
+    and must come from a table, so that its blocks are the same both times; blocks whose words differ in number are an error.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -211,9 +246,8 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = False, bloc
     splits = texts.rdd.getNumPartitions()
     buckets = max(partitions(spark), splits * WORD_BYTES_OF_BLOCK // BUCKET_BYTES)
     words = texts.mapInArrow(_word_records(pattern, buckets, block_bytes), "bucket long, block long, words binary, lengths binary")
-    known = words.groupBy("bucket").applyInArrow(_encode_bucket(path, pattern), "bucket long, block long, ids binary, id_counts binary, decoded binary, decoded_lengths binary")
-    packed = texts.mapInArrow(_text_records(pattern, buckets, block_bytes), "block long, doc_ids array<long>, counts array<long>, places binary")
+    known = words.groupBy("bucket").applyInArrow(_encode_bucket(path, pattern), "bucket long, block long, ids binary, id_counts binary")
+    packed = texts.mapInArrow(_text_records(pattern, buckets, block_bytes), "block long, doc_ids array<long>, counts array<long>, n_words long, places binary")
     both = packed.groupBy("block").cogroup(known.groupBy("block"))
-    if digests:
-        return both.applyInArrow(_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return both.applyInArrow(_assemble, "doc_id long, n_tokens long, ids binary, decoded binary")
+    kinds = "ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded binary"
+    return both.applyInArrow(_assemble(path, digests), f"doc_id long, n_tokens long, {kinds}")
