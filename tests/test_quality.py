@@ -1,5 +1,9 @@
 """Cleaning, validation, duplicates, reports."""
 
+import itertools
+import warnings
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +113,19 @@ def test_conformance(spark):
     assert bad == {"expected_sentiment_known", "expected_severity_known", "expected_product_area_filled"}
     with pytest.raises(ValueError):
         quality.constraints("nothing")
+
+
+def test_dates_of_any_shape_as_pandas_reads_them(spark):
+    texts = ["2025", "2025-01", "2025-1", "1/2025", "01.2025", "202501051030", "Jan 5", "5 Jan", "12", "2025-13-01", "13/13/2025", "25-1-5", "1/5/25", "5 Jan 25", "Jan 5 '25",
+             "2025-01-05T10:00:00+05:30", "Sun Jan  5 10:00:00 2025", "Sun, 05 Jan 2025 10:00:00 GMT", "10:30 Jan 5 2025", "Jan, 2025", "2025 Jan", "7 2025", "hello", "5th of", "1736035200"]
+    for y, m, d in itertools.product(("2025", "1999"), ("1", "07", "12"), ("5", "09", "31")):
+        texts += [x for s in "-/. " for x in (f"{y}{s}{m}{s}{d}", f"{m}{s}{d}{s}{y}", f"{d}{s}{m}{s}{y}")]
+    for y, n, d in itertools.product(("2025", "1999"), ("Jan", "march", "SEPT", "December", "Sep."), ("5", "09", "31")):
+        texts += [f"{d} {n} {y}", f"{n} {d}, {y}", f"{d}-{n}-{y}", f"{y} {n} {d}", f"{y}-{n}-{d}", f"{n}-{d}-{y}", f"{d}/{n}/{y}", f"{d}th of {n} {y}", f"{d}. {n} {y}", f"{n} {y}", f"{d}{n}{y}",
+                  f"{n} {d} {y} 10:30 PM", f"Monday, {n} {d}, {y}", f"{d} {n} {y} at 10:30", f"{y}, {n} {d}", f"{d},{n},{y}"]
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        read = {t: pd.to_datetime(t, errors="coerce") for t in texts}
+    df = spark.createDataFrame([(t,) for t in read], "v string")
+    got = {r.v: r.d for r in df.select("v", F.date_format(parse_date(F.col("v")), "yyyy-MM-dd").alias("d")).collect()}
+    assert got == {t: None if pd.isna(d) else d.date().isoformat() for t, d in read.items()}
