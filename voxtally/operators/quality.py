@@ -80,7 +80,7 @@ def flag_repeats(df: DataFrame, key: str, flag: str, counted: DataFrame | None =
     return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def _text_key() -> Column:
+def text_key() -> Column:
     """Digest of the trimmed lower-case text, so no long text is shuffled as a key."""
     return F.sha2(F.lower(trim_to_null(F.col("feedback_text"))), 256)
 
@@ -91,13 +91,13 @@ def flag_duplicate_ids(df: DataFrame) -> DataFrame:
 
 def flag_duplicate_text(df: DataFrame) -> DataFrame:
     """Equal trimmed lower-case text, compared by a 256-bit digest."""
-    return flag_repeats(df.withColumn("_text_key", _text_key()), "_text_key", "duplicate_text").drop("_text_key")
+    return flag_repeats(df.withColumn("_text_key", text_key()), "_text_key", "duplicate_text").drop("_text_key")
 
 
 def checked_rows(df: DataFrame) -> DataFrame:
     """Every row with its messages, both duplicate flags, status and joined messages."""
     own = _own_status()
-    rows = _trimmed(df).withColumn("_text_key", _text_key())
+    rows = _trimmed(df).withColumn("_text_key", text_key())
     with_ids = flag_repeats(rows, "feedback_id", "duplicate_id")
     flagged = flag_repeats(with_ids, "_text_key", "duplicate_text", counted=rows).drop("_text_key")
     # Order of effects: repeated text only touches rows still valid, then a

@@ -17,7 +17,7 @@ from voxtally.plans import pipeline
 from voxtally.session import new_folder, stage
 from voxtally.sources import feedback_csv, mapping, sinks
 from voxtally.sources.taxonomy import lexicon, load_rules, load_taxonomy
-from voxtally.streaming import stream
+from voxtally.streaming import repeats, stream
 from workloads import sqlparts as sp
 from workloads import views
 from workloads.sqlparts import query
@@ -1286,3 +1286,26 @@ def stream_trend(spark, sf):
     out = new_folder(spark, "trend")
     stream.write_updates(stream.stream_trend(analysis, "event_time"), out, new_folder(spark, "trend-state")).awaitTermination()
     return stream.latest_updates(spark, out, "theme_name", "day")
+
+
+def _flag_stream(spark, sf, make, flag: str) -> DataFrame:
+    """The event feedback as files of one batch each, in any order, and the flags after the last batch."""
+    folder = new_folder(spark, "stream-in")
+    rows = views.raw_from(views.table(spark, sf, "events").withColumn("_ts", F.col("ts")), extra=("_ts",))
+    rows.select("_row_number", "feedback_id", "feedback_text", "_ts").repartitionByRange(3, "_row_number").write.parquet(folder)
+    source = stream.read_feedback_stream(spark, folder, spark.read.parquet(folder).schema, "*.parquet", files_per_trigger=1)
+    out = new_folder(spark, "flags")
+    repeats.write_flags(make(source, "_ts", late="10000 days", keep_days=10000), out, new_folder(spark, "flags-state")).awaitTermination()
+    return repeats.latest_flags(spark, out, flag)
+
+
+@register("stream_duplicate_ids", query(RAW, select="""SELECT _row_number,
+  feedback_id IS NOT NULL AND count(*) OVER (PARTITION BY feedback_id) > 1 AS duplicate_id FROM raw"""))
+def stream_duplicate_ids(spark, sf):
+    return _flag_stream(spark, sf, repeats.flag_duplicate_ids_stream, "duplicate_id")
+
+
+@register("stream_duplicate_text", query(RAW, select=f"""SELECT _row_number, t IS NOT NULL AND count(*) OVER (PARTITION BY t) > 1 AS duplicate_text
+  FROM (SELECT _row_number, lower({sp.to_null('feedback_text')}) AS t FROM raw)"""))
+def stream_duplicate_text(spark, sf):
+    return _flag_stream(spark, sf, repeats.flag_duplicate_text_stream, "duplicate_text")
