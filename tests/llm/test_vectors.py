@@ -114,10 +114,19 @@ def test_estimates_are_unbiased_and_bounded():
     unit = rng.standard_normal((400, 64))
     unit[200:] = unit[:200] + 0.3 * rng.standard_normal((200, 64))
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    rotated, codes, correction = near_vectors.encode(unit, 256)
-    true, estimate = unit @ unit.T, (codes @ rotated.T) / correction[:, None]
-    off = ~np.eye(400, dtype=bool)
-    assert abs((estimate - true)[off].mean()) < 0.003
-    assert (near_vectors.upper_bounds(rotated, codes, correction) >= true - 1e-5)[off].all()
-    tight = near_vectors.upper_bounds(rotated, codes, correction)[off]
-    assert (tight[true[off] < 0.4] < 0.93).mean() > 0.99  # few others need an exact cosine
+    codes = [near_vectors.encode(unit, seed) for seed in (0, 1)]
+    assert codes[0][0].shape == (400, 32) and codes[0][0].dtype == np.uint8
+    (first, first_error), (second, second_error) = (near_vectors.decode(*codes[seed], 64, seed) for seed in (0, 1))
+    true, estimate = unit @ unit.T, first @ second.T
+    assert abs((estimate - true).mean()) < 0.003
+    limits = near_vectors.lower_limits(first_error, second_error, 64, 0.93)
+    assert (estimate >= limits)[true >= 0.93].all() and (true >= 0.93).sum() > 400
+    assert (estimate < limits)[true < 0.6].mean() > 0.99  # few others need an exact cosine
+    spread = ((estimate - true) / np.sqrt(((first_error[:, None] + second_error) * (1 - true ** 2) + first_error[:, None] * second_error) / 63)).std()
+    assert 0.9 < spread < 1.1  # the standard deviation that the limits are made of
+
+
+def test_links_beyond_the_range_of_squares(spark):
+    far = "vec_id long, embedding array<double>, label int"
+    rows = spark.createDataFrame([(1, [1e200, 2e200], 0), (2, [1.0, 2.0], 0), (3, [1e-200, 2e-200], 0), (4, [2.0, -1.0], 0)], far)
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors.near_duplicates(rows).collect()) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]

@@ -1,13 +1,17 @@
 """Near-duplicate embeddings: randomised-rotation binary codes with correction factors decide which pairs need exact cosines.
 
-A vector of length 1, padded and rotated at random, keeps the signs of its components as its code, and the inner product of code and vector as
-its correction. Code times another vector, divided by the correction, is an unbiased estimate of the cosine; its error is bounded by
-EPSILON standard deviations. A pair whose upper bound is below the threshold is done; the others get an exact cosine in double precision.
-The codes of both sides are used, and the smaller of the two bounds counts.
+Each vector of length 1 is rotated at random, twice and independently, into at least CODE_BITS dimensions. The signs of the rotated components
+are its two codes; the inner product of a code with its rotated vector is that code's correction. Both are computed once and stored, as bits. A code rotated
+back and divided by its correction is the vector plus an error of known length whose direction is random among those at a right
+angle to the vector. So the inner product of one vector's first code with another's second one is an unbiased estimate of their cosine, and a pair whose
+estimate stays EPSILON standard deviations below the threshold is done. Only codes are copied to the pairs of blocks; the vectors that are in a
+pair left open are fetched by a join, for exact cosines in double precision.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -18,60 +22,133 @@ from voxtally.llm.tables import store
 THRESHOLD = 0.93
 #: Standard deviations that a bound leaves: one pair in about 10 ** 9 may be missed.
 EPSILON = 6.0
-#: Bits of a code, at least (vectors with more components get as many bits as components).
+#: Bits of a code, at least (vectors with more components get as many bits as components, in whole bytes).
 CODE_BITS = 256
 #: Distinct vectors of a block. Blocks are compared in pairs, inside one label.
 BLOCK = 2_048
+#: Pairs whose bounds or cosines are held at a time.
+_HELD = 1 << 20
+_CODES = "first binary, second binary, first_correction float, second_correction float"
+
+
+@lru_cache(maxsize=4)
+def rotation(dims: int, seed: int) -> np.ndarray:
+    """``dims`` rows of a random orthogonal matrix with a column for each bit of a code."""
+    bits = max(CODE_BITS, -(-dims // 8) * 8)
+    q, r = np.linalg.qr(np.random.default_rng((seed, dims)).standard_normal((bits, bits)))
+    return np.ascontiguousarray((q * np.sign(np.diag(r)))[:dims])
 
 
-def rotation(size: int, seed: int = 7) -> np.ndarray:
-    """A random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, size)))
-    return q * np.sign(np.diag(r))
+def normalised(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; scaled by the largest component first, so that no square leaves the range of a double."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def encode(unit: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rotated vectors, codes of +-1 / sqrt(bits), inner products of each code with its vector)."""
-    rotated = (unit @ rotation(bits)[: unit.shape[1]]).astype(np.float32)
-    codes = np.where(rotated >= 0, np.float32(1), np.float32(-1)) / np.float32(np.sqrt(bits))
-    return rotated, codes, np.einsum("ij,ij->i", codes, rotated).astype(np.float32)
+def encode(unit: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes as packed bits, correction of each)."""
+    rotated = unit @ rotation(unit.shape[1], seed)
+    return np.packbits(rotated >= 0, axis=1), (np.abs(rotated).sum(axis=1) / np.sqrt(rotated.shape[1])).astype(np.float32)
 
 
-def upper_bounds(rotated: np.ndarray, codes: np.ndarray, correction: np.ndarray, epsilon: float = EPSILON) -> np.ndarray:
-    """For each code and each rotated vector the largest cosine that is likely."""
-    c = np.maximum(correction, np.float32(1e-3))
-    error = epsilon * np.sqrt(np.maximum(0, 1 - c * c)) / (c * np.sqrt(np.float32(codes.shape[1] - 1)))
-    return (codes @ rotated.T) / c[:, None] + error[:, None].astype(np.float32)
+def decode(codes: np.ndarray, correction: np.ndarray, dims: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(unbiased estimates of the vectors, squared lengths of their errors)."""
+    back = rotation(dims, seed).astype(np.float32)
+    signs = np.unpackbits(codes, axis=1).astype(np.float32) * 2 - 1
+    about = signs @ back.T / (np.sqrt(np.float32(back.shape[1])) * correction)[:, None]
+    return about, np.maximum(0, np.einsum("ij,ij->i", about, about) - 1)
+
+
+def lower_limits(left: np.ndarray, right: np.ndarray, dims: int, threshold: float, epsilon: float = EPSILON) -> np.ndarray:
+    """The smallest estimate that a pair at or above the threshold is likely to have, by the squared lengths of both errors.
+
+    An error is at a right angle to its vector, so only the sine of the angle between the vectors carries over; the third term is that of error with error.
+    """
+    sine2 = 1 - min(1.0, threshold) ** 2 if threshold > 0 else 1.0
+    variance = ((left[:, None] + right[None, :]) * np.float32(sine2) + left[:, None] * right[None, :]) / np.float32(max(1, dims - 1))
+    return np.float32(threshold - 1e-5) - np.float32(epsilon) * np.sqrt(variance)
+
+
+class Codes:
+    """The decoded codes of the vectors of a table."""
+
+    def __init__(self, table: pa.Table, dims: int):
+        self.dims = dims
+        self.sides = []
+        for seed, name in enumerate(("first", "second")):
+            bits = np.frombuffer(b"".join(table.column(name).to_pylist()), np.uint8).reshape(table.num_rows, -1)
+            self.sides.append(decode(bits, table.column(f"{name}_correction").to_numpy(), dims, seed))
+
+    def likely(self, rows: np.ndarray, others: np.ndarray, threshold: float) -> np.ndarray:
+        """Which pairs of rows and others may reach the threshold: both estimates, each with one vector's first and the other's second code, must allow it."""
+        (first, first_error), (second, second_error) = self.sides
+        open_ = first[rows] @ second[others].T >= lower_limits(first_error[rows], second_error[others], self.dims, threshold)
+        if open_.any():
+            open_ &= second[rows] @ first[others].T >= lower_limits(second_error[rows], first_error[others], self.dims, threshold)
+        return open_
+
+
+def _open_pairs(table: pa.Table, threshold: float):
+    """``rows, others, which pairs of them are open`` for parts of all pairs of a pair of blocks."""
+    block = table.column("block").to_numpy()
+    codes = Codes(table, table.column("dims")[0].as_py())
+    across = block.min() != block.max()
+    left = np.flatnonzero(block == block.min())
+    right = np.flatnonzero(block != block.min()) if across else left
+    step = max(1, _HELD // len(right))
+    for begin in range(0, len(left), step):
+        rows = left[begin: begin + step]
+        likely = codes.likely(rows, right, threshold)
+        if not across:
+            likely &= right[None, :] > rows[:, None]
+        if likely.any():
+            yield rows, right, likely
+
+
+def _encoded(batches):
+    for batch in batches:
+        vectors, dims = batch.column("vector"), batch.column("dims").to_numpy()
+        flat, offsets = vectors.flatten().to_numpy(), np.concatenate([[0], np.cumsum(dims)])
+        out = [[None] * len(dims) for _ in range(4)]
+        for size in np.unique(dims):  # vectors of one length at a time
+            rows = np.flatnonzero(dims == size)
+            unit = normalised(flat[offsets[rows][:, None] + np.arange(size)])
+            for seed in (0, 1):
+                codes, correction = encode(unit, seed)
+                for row, code, c in zip(rows.tolist(), codes, correction.tolist()):
+                    out[seed][row], out[2 + seed][row] = code.tobytes(), c
+        types = (pa.binary(), pa.binary(), pa.float32(), pa.float32())
+        names = ("first", "second", "first_correction", "second_correction")
+        yield pa.RecordBatch.from_pydict({**{n: batch.column(n) for n in batch.schema.names}, **{n: pa.array(o, t) for n, o, t in zip(names, out, types)}})
+
+
+def _undecided(threshold: float):
+    def run(table: pa.Table) -> pa.Table:
+        """The vectors of a pair of blocks that are in a pair which the codes leave open."""
+        wanted = np.zeros(table.num_rows, bool)
+        for rows, others, likely in _open_pairs(table, threshold):
+            wanted[rows] |= likely.any(axis=1)
+            wanted[others] |= likely.any(axis=0)
+        return table.filter(pa.array(wanted)).select(["home", "p", "q", "block", "node"])
+
+    return run
 
 
 def _links(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         """Counts of links for each vector of a pair of blocks, and links that span what is connected."""
-        node, block = table.column("node").to_numpy(), table.column("block").to_numpy()
-        copies = table.column("copies").to_numpy()
+        node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
         flat = table.column("vector").combine_chunks()
         flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
-        vectors = flat.flatten().to_numpy().reshape(len(node), -1)
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        rotated, codes, correction = encode(unit, max(CODE_BITS, vectors.shape[1]))
-        across = block.min() != block.max()
-        left = np.flatnonzero(block == block.min())
-        right = np.flatnonzero(block != block.min()) if across else left
+        unit = normalised(flat.flatten().to_numpy().reshape(len(node), -1))
         found = np.zeros(len(node), np.int64)
         label = np.arange(len(node))
         spanning = []
-        for begin in range(0, len(left), 256):
-            rows = left[begin: begin + 256]
-            likely = upper_bounds(rotated[right], codes[rows], correction[rows]) >= threshold
-            likely &= upper_bounds(rotated[rows], codes[right], correction[right]).T >= threshold
-            if not across:
-                likely &= right[None, :] > rows[:, None]
+        for rows, others, likely in _open_pairs(table, threshold):
             i, j = np.nonzero(likely)
-            if not len(i):
-                continue
-            i, j = rows[i], right[j]
+            i, j = rows[i], others[j]
             if len(i) > 0.2 * likely.size:  # a dense part: all its exact cosines at once
-                cosine = (unit[rows] @ unit[right].T)[likely]
+                cosine = (unit[rows] @ unit[others].T)[likely]
             else:
                 cosine = np.concatenate([np.einsum("ij,ij->i", unit[i[k: k + 65_536]], unit[j[k: k + 65_536]]) for k in range(0, len(i), 65_536)])
             ok = cosine >= threshold
@@ -106,15 +183,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     group = F.when(F.coalesce(fine, F.lit(False)), F.struct("label", F.transform("v", lambda x: x + F.lit(0.0)).alias("v")))
     rows = rows.select("vec_id", group.alias("g"))
     distinct = rows.where("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
-    distinct = store(distinct.select("g.label", F.col("g.v").alias("vector"), "copies", "least", F.monotonically_increasing_id().alias("node")), "vectors")
-
-    # A label's vectors of one length are cut into blocks of about BLOCK; each vector goes to all pairs that its block is in.
-    key = distinct.withColumn("part", F.struct("label", F.size("vector").alias("length")))
-    sizes = key.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = key.join(sizes, "part").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    distinct = distinct.select("g.label", F.col("g.v").alias("vector"), F.size("g.v").alias("dims"), "copies", "least", F.monotonically_increasing_id().alias("node"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema)
+    distinct = store(distinct.mapInArrow(_encoded, f"{fields}, {_CODES}"), "vectors")
+
+    # A label's vectors of one length are cut into blocks of about BLOCK; each code goes to all pairs that its block is in.
+    part = ["label", "dims"]
+    sizes = distinct.groupBy(*part).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("node").alias("home"))
+    codes = ["node", "first", "second", "first_correction", "second_correction"]
+    placed = distinct.select(*part, *codes).join(sizes, part).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = placed.select("part", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "node", "block", "vector", "copies")
-    found = store(pair.groupBy("part", "p", "q").applyInArrow(_links(threshold), "a long, b long, n long"), "vector-links")
+    pair = placed.select("home", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "dims", *codes)
+    undecided = store(pair.groupBy("home", "p", "q").applyInArrow(_undecided(threshold), "home long, p int, q int, block int, node long"), "vectors-undecided")
+    fetched = undecided.join(distinct.select("dims", "vector", "copies", *codes), "node")
+    found = store(fetched.groupBy("home", "p", "q").applyInArrow(_links(threshold), "a long, b long, n long"), "vector-links")
 
     more = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     groups = components(found.where("b is not null").select("a", "b"), "a", "b")
