@@ -75,7 +75,16 @@ def ranked_rows(spark: SparkSession, sf: str) -> DataFrame:
 GIVEN = ", ".join(q(t) for t in feedback_csv.NULL_TEXTS)
 CSV_VIEW = f"""csv AS (SELECT CAST(doc_id AS VARCHAR) AS feedback_id,
   CASE WHEN text NOT IN ({GIVEN}) THEN text END AS feedback_text, source, lang AS language FROM documents)"""
-CSV_RAW = f"csv_raw AS (SELECT * REPLACE (CASE WHEN feedback_text NOT IN ({GIVEN}) THEN feedback_text END AS feedback_text) FROM raw)"
+#: Rows of a file that is written in order. Row numbers count in each file, from 2 on.
+FILE_ROWS = 4_000
+CSV_RAW = f"""csv_raw AS (SELECT * REPLACE ((_row_number - 2) % {FILE_ROWS} + 2 AS _row_number,
+  CASE WHEN feedback_text NOT IN ({GIVEN}) THEN feedback_text END AS feedback_text) FROM raw)"""
+
+
+def _in_files(df: DataFrame, place: Column) -> DataFrame:
+    """Rows whose places count from 0, dealt out so that each task writes one file of FILE_ROWS rows in order."""
+    files = (df.agg(F.max(place)).first()[0] or 0) // FILE_ROWS + 1
+    return df.repartitionById(files, F.floor(place / FILE_ROWS).cast("int")).sortWithinPartitions(place)
 
 
 def _write_csv(df: DataFrame, label: str) -> str:
@@ -104,8 +113,8 @@ CSV_CLEAN = (RAW, CSV_RAW, sp.clean_ctes("csv_raw"))
 
 
 def _ingested(spark, sf) -> feedback_csv.Ingest:
-    """The raw feedback as one CSV file in the order of its numbers, and back through the whole ingest."""
-    rows = views.raw(spark, sf).coalesce(1).sortWithinPartitions("_row_number").drop("_row_number")
+    """The raw feedback as CSV files in the order of its numbers, and back through the whole ingest."""
+    rows = _in_files(views.raw(spark, sf), F.col("_row_number") - 2).drop("_row_number")
     return feedback_csv.load_and_validate(spark, _write_csv(rows, "raw"))
 
 
@@ -152,11 +161,11 @@ def taxonomy(spark, sf):
 # === cleaning, validation, quality ==========================================
 
 
-@register("row_numbering", "SELECT doc_id, doc_id + 2 AS row_number FROM documents")
+@register("row_numbering", f"SELECT doc_id, doc_id % {FILE_ROWS} + 2 AS row_number FROM documents")
 def row_numbering(spark, sf):
-    """One text file of the ids in order, read in splits of 4 KB: each split's first row needs the counts of those before it."""
+    """Text files of the ids in order, read in splits of 4 KB: each split's first row needs the counts of those before it in its file."""
     path = new_folder(spark, "lines")
-    views.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("value")).coalesce(1).sortWithinPartitions(F.col("value").cast("long")).write.text(path)
+    _in_files(views.table(spark, sf, "documents").select("doc_id"), F.col("doc_id")).select(F.col("doc_id").cast("string").alias("value")).write.text(path)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
