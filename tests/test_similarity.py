@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
 from voxtally import fixed
 from voxtally.operators import analysis as an
@@ -51,8 +52,28 @@ def frame(spark, texts):
     return spark.createDataFrame([(i, str(i), t) for i, t in enumerate(texts)], "_row_number long, feedback_id string, masked_text string")
 
 
+@pytest.mark.parametrize("buckets", [3, 64, 1 << 18])
+@pytest.mark.parametrize("size", [1, 7, 30])
+def test_leading_terms_are_exact_in_any_number_of_buckets(spark, monkeypatch, buckets, size):
+    monkeypatch.setattr(similarity, "BUCKETS", buckets)
+    rng = random.Random(size)
+    rows = [f"w{int(rng.paretovariate(0.7))}" for _ in range(1500)] + [f"tie{i % 20}" for i in range(100)]
+    got = similarity.leading_terms(spark.createDataFrame([(t,) for t in rows], "term string"), size, "t").collect()
+    assert [(r.term, r.n) for r in got] == sorted(Counter(rows).items(), key=lambda i: (-i[1], i[0]))[:size]
+
+
+def test_rare_terms_are_not_counted_one_by_one(spark):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("w"), F.col("id") % 40)).otherwise(F.col("id").cast("string")).alias("term"))
+    rows = similarity._with_bucket(rows)
+    totals = similarity._bucket_totals(rows, "t")
+    assert rows.select("term").distinct().count() == 20_020
+    assert similarity._counted(rows, totals.where("total >= 1000")).count() < 50  # the 20 frequent ones and what shares a bucket with them
+
+
+@pytest.mark.parametrize("direct", [0, similarity.DIRECT_WORDS])
 @pytest.mark.parametrize("size", [6, 25, 5000])
-def test_fit_with_cut_vocabulary(spark, size):
+def test_fit_with_cut_vocabulary(spark, monkeypatch, size, direct):
+    monkeypatch.setattr(similarity, "DIRECT_WORDS", direct)
     texts = corpus()
     model = similarity.tfidf_fit(frame(spark, [*texts, None, "nan", " "]), size=size)
     vocabulary, idf = fit(texts, size)

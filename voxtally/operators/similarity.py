@@ -22,6 +22,11 @@ from voxtally.session import stage
 # Word characters as letters, digits, underscore, plus the Devanagari block inside a word.
 TOKEN = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_\u0900-\u097F]*[\p{L}\p{N}_])?"
 
+#: Hashed buckets that terms are counted by before any is counted exactly; this also bounds the list of buckets that is broadcast.
+BUCKETS = 1 << 18
+#: Up to this many words in all texts, words and pairs are counted without buckets: there can't be more distinct ones.
+DIRECT_WORDS = 20_000_000
+
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
@@ -97,17 +102,65 @@ def load_model(spark: SparkSession, path: str, version: int | None = None) -> tu
     return TfidfModel(tuple(r["term"] for r in rows), tuple(r["doc_freq"] for r in rows), rows[0]["documents"]), version
 
 
+def _counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _with_bucket(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+
+
+def _bucket_totals(rows: DataFrame, label: str) -> DataFrame:
+    """Rows of each bucket: sums that tasks and shuffles combine, at most BUCKETS rows whatever the number of terms.  No term is more frequent than its bucket."""
+    return stage(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("total")), label)
+
+
+def _counted(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Exact counts of the terms of some buckets; the others never leave the task that reads them."""
+    return _counts(rows.join(F.broadcast(buckets.select("bucket")), "bucket", "left_semi"))
+
+
+def _floor(counts: DataFrame, size: int) -> int:
+    """The count of the ``size``-th term; 0 if there are fewer."""
+    found = counts.orderBy(F.desc("n"), "term").limit(size).agg(F.count(F.lit(1)).alias("terms"), F.min("n").alias("least")).first()
+    return found.least if found.terms == size else 0
+
+
+def leading_terms(rows: DataFrame, size: int, label: str) -> DataFrame:
+    """The ``size`` most frequent values of ``term`` with their counts, ties by term.
+
+    Terms are first counted by hashed buckets.  The terms of the ``size`` largest buckets are counted exactly, and the ``size``-th of them is a floor: other
+    terms can only be among the leading if their whole bucket reaches it.  So what is shuffled does not grow with the number of distinct terms.
+    """
+    rows = _with_bucket(rows)
+    totals = _bucket_totals(rows, f"{label}-buckets")
+    largest = stage(totals.orderBy(F.desc("total"), "bucket").limit(size), f"{label}-largest")
+    known = stage(_counted(rows, largest), f"{label}-known")
+    others = totals.where(F.col("total") >= _floor(known, size)).join(F.broadcast(largest), "bucket", "left_anti")
+    counts = known if others.isEmpty() else known.unionByName(_counted(rows, others))
+    return counts.orderBy(F.desc("n"), "term").limit(size)
+
+
 def term_counts(tokenised: DataFrame, size: int = fixed.TFIDF_VOCABULARY) -> DataFrame:
     """The ``size`` most frequent words and word pairs of ``words`` arrays, with their counts; ties by term.
 
     A pair is never more frequent than its first word, and among equals it sorts after it, so a pair can only be among the ``size`` if its first
-    word is.  Those words, at most ``size``, are broadcast; what is left is counted in the task before it is shuffled.
+    word is.  Those words, at most ``size``, are broadcast.  If there are that many, the last one's count is a floor for pairs, and only the pairs of
+    buckets that reach it are counted exactly.  Texts of at most DIRECT_WORDS words are counted in fewer passes; the result is the same.
     """
-    words = tokenised.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    leading = stage(words.orderBy(F.desc("n"), "term").limit(size), "leading-words")
+    direct = (tokenised.agg(F.sum(F.size("words"))).first()[0] or 0) <= DIRECT_WORDS
+    words = tokenised.select(F.explode("words").alias("term"))
+    best = _counts(words).orderBy(F.desc("n"), "term").limit(size) if direct else leading_terms(words, size, "words")
+    leading = stage(best, "leading-words")
     first = F.broadcast(leading.select(F.col("term").alias("first")))
     pairs = tokenised.select(F.explode(bigrams(F.col("words"))).alias("term")).withColumn("first", F.substring_index("term", " ", 1))
-    counted = pairs.join(first, "first", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.join(first, "first", "left_semi").drop("first")
+    if direct:
+        counted = _counts(pairs)
+    else:
+        pairs = _with_bucket(pairs)
+        totals = _bucket_totals(pairs, "pair-buckets")
+        counted = _counted(pairs, totals.where(F.col("total") >= _floor(leading, size)))
     return leading.unionByName(counted).orderBy(F.desc("n"), "term").limit(size)
 
 
