@@ -18,8 +18,8 @@ from voxtally.functions.exprs import constant
 from voxtally.session import importable, stage
 
 STEPS, ROUNDS, TOLERANCE = 2, 20, 1e-4
-#: Products that a task holds at once.
-CELLS = 2_000_000
+#: Products that a task holds at once, few enough for the cache of a core (a text is taken whole).
+CELLS = 25_000
 _BLOCK = "rows binary, indices binary, values binary, numbers binary"
 _FOUND = "kind string, start int, cluster int, dim int, value double, indices binary, weights binary"
 
