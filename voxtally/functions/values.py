@@ -129,6 +129,9 @@ def parse_date(raw: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(strip(raw), _WEEKDAY, ""), _CLOCK, "")
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(bare, _CLOCK_INSIDE, " "), _COMPACT_CLOCK, "$1"), _ORDINAL, "$1")
     date = let(strip(bare), scan)
+    # Most dates are plain ISO ones; those need none of the above, which is not evaluated for them.
+    trimmed = strip(raw)
+    date = F.when(F.rlike(trimmed, F.lit("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")), trimmed.try_cast("date")).otherwise(date)
     earliest, latest = F.lit("1677-09-22").cast("date"), F.lit("2262-04-11").cast("date")
     return let(date, lambda d: F.when(d.between(earliest, latest), d))
 
