@@ -15,6 +15,10 @@ EDGE_SPACE = (
 )
 
 
+#: Ways to go on at one place of a pattern from which on they are grouped.
+GROUP = 8
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body``.
 
@@ -95,6 +99,11 @@ def prefix_pattern(terms: Iterable[str]) -> str:
         ways = [re.escape(c) + pattern(after) for c, after in sorted(node.items()) if c]
         if not ways:
             return ""
+        if len(ways) > GROUP:
+            # Many ways are looked at in groups: a class of first letters tells whether any of a group can go on.
+            firsts = [re.escape(c) for c in sorted(node) if c]
+            step = max(GROUP // 2, round(len(ways) ** 0.5))
+            ways = [f"(?=[{''.join(firsts[i: i + step])}])(?:{'|'.join(ways[i: i + step])})" for i in range(0, len(ways), step)]
         return f"(?:{'|'.join(ways)}){'?+' if '' in node else ''}" if len(ways) > 1 or "" in node else ways[0]
 
     return pattern(root)
