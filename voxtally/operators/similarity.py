@@ -8,16 +8,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from math import log
-from typing import Sequence
+from typing import Iterator, Sequence
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorSlicer
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from voxtally import fixed
-from voxtally.functions import topics
+from voxtally.functions import term_batches, topics
 from voxtally.functions.exprs import constant, let, normalize_text, settle, strings
-from voxtally.session import stage
+from voxtally.session import importable, stage
 
 # Word characters as letters, digits, underscore, plus the Devanagari block inside a word.
 TOKEN = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_\u0900-\u097F]*[\p{L}\p{N}_])?"
@@ -103,7 +105,9 @@ def load_model(spark: SparkSession, path: str, version: int | None = None) -> tu
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    """Occurrences and documents of each term; a row without them stands for one."""
+    own = {c: F.lit(1).cast("long") for c in ("n", "docs") if c not in rows.columns}
+    return rows.withColumns(own).groupBy("term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _with_bucket(rows: DataFrame) -> DataFrame:
@@ -112,7 +116,8 @@ def _with_bucket(rows: DataFrame) -> DataFrame:
 
 def _bucket_totals(rows: DataFrame, label: str) -> DataFrame:
     """Rows of each bucket: sums that tasks and shuffles combine, at most BUCKETS rows whatever the number of terms.  No term is more frequent than its bucket."""
-    return stage(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("total")), label)
+    each = F.sum("n") if "n" in rows.columns else F.count(F.lit(1))
+    return stage(rows.groupBy("bucket").agg(each.alias("total")), label)
 
 
 def _counted(rows: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -141,20 +146,19 @@ def leading_terms(rows: DataFrame, size: int, label: str) -> DataFrame:
     return counts.orderBy(F.desc("n"), "term").limit(size)
 
 
-def term_counts(tokenised: DataFrame, size: int = fixed.TFIDF_VOCABULARY) -> DataFrame:
-    """The ``size`` most frequent words and word pairs of ``words`` arrays, with their counts; ties by term.
+def term_counts(tokenised: DataFrame, size: int = fixed.TFIDF_VOCABULARY, direct: bool = False) -> DataFrame:
+    """The ``size`` most frequent words and word pairs of ``words`` arrays, with their counts and the documents that hold them; ties by term.
 
-    A pair is never more frequent than its first word, and among equals it sorts after it, so a pair can only be among the ``size`` if its first
-    word is.  Those words, at most ``size``, are broadcast.  If there are that many, the last one's count is a floor for pairs, and only the pairs of
-    buckets that reach it are counted exactly.  Texts of at most DIRECT_WORDS words are counted in fewer passes; the result is the same.
+    A task counts the terms of some texts before anything leaves it. A pair is never more frequent than its first word, and among equals it sorts after it, so a pair
+    can only be among the ``size`` if its first word is.  Those words, at most ``size``, are broadcast.  If there are that many, the last one's count is a floor for
+    pairs, and only the pairs of buckets that reach it are counted exactly.  With ``direct``, for few words, there are fewer passes; the result is the same.
     """
-    direct = (tokenised.agg(F.sum(F.size("words"))).first()[0] or 0) <= DIRECT_WORDS
-    words = tokenised.select(F.explode("words").alias("term"))
+    context = importable(tokenised.sparkSession).sparkContext
+    words = tokenised.select("words").mapInArrow(term_batches.count_words, term_batches.COUNTED)
     best = _counts(words).orderBy(F.desc("n"), "term").limit(size) if direct else leading_terms(words, size, "words")
     leading = stage(best, "leading-words")
-    first = F.broadcast(leading.select(F.col("term").alias("first")))
-    pairs = tokenised.select(F.explode(bigrams(F.col("words"))).alias("term")).withColumn("first", F.substring_index("term", " ", 1))
-    pairs = pairs.join(first, "first", "left_semi").drop("first")
+    firsts = context.broadcast([row.term for row in leading.select("term").collect()])
+    pairs = tokenised.select("words").mapInArrow(term_batches.count_pairs(firsts), term_batches.COUNTED)
     if direct:
         counted = _counts(pairs)
     else:
@@ -165,19 +169,15 @@ def term_counts(tokenised: DataFrame, size: int = fixed.TFIDF_VOCABULARY) -> Dat
 
 
 def tfidf_fit(df: DataFrame, column: str = "masked_text", size: int = fixed.TFIDF_VOCABULARY) -> TfidfModel | None:
-    """Fit on all non-missing texts; null when there is no term.  At most ``size`` terms reach the driver."""
+    """Fit on all non-missing texts; null when there is no term.  At most ``size`` terms reach the driver, and as many leading words."""
     texts = df.select(normalize_text(F.col(column)).alias("text")).where("text is not null")
-    tokenised = stage(texts.select(tokens(F.col("text")).alias("words")), "words")  # tokenised once, read three times
-    vocabulary = tuple(sorted(row.term for row in term_counts(tokenised, size).collect()))
-    if not vocabulary:
+    tokenised = stage(texts.select(tokens(F.col("text")).alias("words")), "words")  # tokenised once, read by each pass
+    total = tokenised.agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("words")).alias("words")).first()
+    if not total.words:
         return None
-    # Document frequencies of the chosen terms only: at most ``size`` groups leave each task.
-    unweighted = TfidfModel(vocabulary, (0,) * len(vocabulary), 0)
-    counted = unweighted.counts(tokenised.select(F.concat("words", bigrams(F.col("words"))).alias("_terms")), "_terms", "_tf")
-    # Entry -1 stands for the document itself, so the same pass counts the documents.
-    present = counted.select(F.explode(F.array_append(F.unwrap_udt("_tf")["indices"], F.lit(-1))).alias("i"))
-    found = {row.i: row.n for row in present.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return TfidfModel(vocabulary, tuple(found[i] for i in range(len(vocabulary))), found[-1])
+    docs = {row.term: row.docs for row in term_counts(tokenised, size, total.words <= DIRECT_WORDS).collect()}
+    vocabulary = tuple(sorted(docs))
+    return TfidfModel(vocabulary, tuple(docs[t] for t in vocabulary), total.documents)
 
 
 def with_vectors(df: DataFrame, model: TfidfModel, column: str = "masked_text", out: str = "tfidf") -> DataFrame:
@@ -204,27 +204,38 @@ def theme_reference_docs(spark: SparkSession, rules: Sequence[dict]) -> DataFram
     return spark.createDataFrame(rows, "rule_ord int, theme string, text string")
 
 
-def theme_similarity(df: DataFrame, model: TfidfModel, rules: Sequence[dict], terms_col: str, out: str) -> DataFrame:
-    """Adds the cosine similarity to every theme text, as an array in rule order.
+def theme_similarity(df: DataFrame, model: TfidfModel, rules: Sequence[dict], words_col: str, out: str) -> DataFrame:
+    """Adds the cosine similarity to every theme text, as an array in rule order; null where there are no ``words``.
 
-    The theme vectors (a handful of terms each) become a constant table; each
-    row only touches the few vocabulary entries that any theme uses.
+    The theme vectors are a small table that every task holds.
     """
-    docs = theme_reference_docs(df.sparkSession, rules).withColumn("_terms", terms(F.col("text")))
-    vectors = [r.v for r in model.transform(docs, "_terms", "v").orderBy("rule_ord").select("v").collect()]
-    used = sorted({int(i) for v in vectors for i in v.indices})
-    zeros = constant([0.0] * len(rules), "array<double>")
-    if not used:
-        return df.withColumn(out, zeros)
-    weights = constant([[float(v[i]) for v in vectors] for i in used], "array<array<double>>")
-    full = model.transform(df, terms_col, "_vector")
-    sliced = VectorSlicer(inputCol="_vector", outputCol="_slice", indices=used).transform(full)
-
-    def add(total: Column, entry: Column) -> Column:
-        return F.zip_with(total, F.get(weights, entry["i"]), lambda t, w: t + entry["v"] * w)
-
-    dots = F.aggregate(vector_entries(F.col("_slice")), zeros, add)
-    return sliced.withColumn(out, dots).drop("_vector", "_slice")
+    context = importable(df.sparkSession).sparkContext
+    docs = theme_reference_docs(df.sparkSession, rules).select("rule_ord", tokens(F.col("text")).alias("words"))
+    texts = {r.rule_ord: r.words for r in docs.collect()}
+    held = context.broadcast((model.vocabulary, model.idf, [texts[i] for i in range(len(rules))]))
+
+    @F.arrow_udf("array<double>")
+    def similarities(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary, idf, texts = held.value
+        known, idf = pa.array(vocabulary, pa.string()), np.array(idf)
+        firsts = pa.array(sorted({t.split(" ")[0] for t in vocabulary if " " in t}), pa.string())
+        themes = np.zeros((len(vocabulary), len(texts)))
+        for _, owner, term, weight in term_batches.entries(pa.array(texts, pa.list_(pa.string())), known, firsts, idf):
+            themes[term, owner] = weight
+        used = themes.any(1)
+        for lists in parts:
+            found = []
+            for count, owner, term, weight in term_batches.entries(lists, known, firsts, idf):
+                mine = used[term]
+                sums = np.zeros((count, len(texts)))
+                np.add.at(sums, owner[mine], themes[term[mine]] * weight[mine, None])
+                found.append(sums)
+            sums = np.concatenate(found) if found else np.zeros((0, len(texts)))
+            none = lists.is_null().to_numpy(zero_copy_only=False)
+            sizes = np.where(none, 0, len(texts))
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(sums[~none].ravel()), mask=pa.array(none))
+
+    return df.withColumn(out, similarities(words_col))
 
 
 def tfidf_fallback(
@@ -234,8 +245,8 @@ def tfidf_fallback(
     empty = F.lit(None).cast("struct<theme:string,similarity:double,subtheme:string,confidence:double,product_area:string,severity:string>")
     if model is None:
         return df.withColumn("_fallback", empty)
-    asked = df.withColumn("_terms", F.when(needed, terms(text)).otherwise(strings([])))
-    scored = theme_similarity(asked, model, rules, "_terms", "_similarity")
+    asked = settle(df, _words=F.when(needed, tokens(text)))
+    scored = theme_similarity(asked, model, rules, "_words", "_similarity")
     # Rounding makes equal similarities equal, so the first theme wins a tie everywhere.
     rounded = F.transform(F.col("_similarity"), lambda s: F.round(s, 12))
     best = let(rounded, lambda s: F.struct(F.array_max(s).alias("s"), F.array_position(s, F.array_max(s)).alias("at")))
@@ -253,4 +264,4 @@ def tfidf_fallback(
         )
         return F.when(needed & (b["s"] >= fixed.FALLBACK_MIN_SIMILARITY), chosen)
 
-    return settle(scored.drop("_terms"), _fallback=let(best, build)).drop("_similarity")
+    return settle(scored.drop("_words"), _fallback=let(best, build)).drop("_similarity")
