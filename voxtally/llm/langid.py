@@ -19,6 +19,8 @@ SAMPLE_PER_LANG = 6_000
 #: Languages in a column block of the matrix. Every learned language is scored, block by block; a worker holds 0.8 MB for each.
 BLOCK_LANGS = 64
 BITS, ORDERS = 16, (1, 2, 3)
+#: Text bytes scored at once: each byte costs some 100 bytes of hashes and places, and a worker keeps its largest need.
+SCORED_BYTES = 1 << 18
 SMOOTHING = 0.5
 UNKNOWN = "und"
 #: What the pipeline asks of a document: a learned language, held likelier than this.
@@ -124,7 +126,7 @@ def predict(docs: DataFrame, model: Model, kept: Column) -> DataFrame:
         langs, prior = shared.value
         names = np.array([*langs, UNKNOWN], object)
         for whole in batches:
-            for batch in slices(with_text(whole)):
+            for batch in slices(with_text(whole), size=SCORED_BYTES):
                 found, lettered = grams(batch)
                 if not langs:
                     yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array([UNKNOWN] * batch.num_rows, pa.string()), pa.array(np.zeros(batch.num_rows))], ["kept", "lang_pred", "score"])
