@@ -66,3 +66,57 @@ def test_only_one_row_of_a_key_and_arrow_batch_needs_state():
     assert out.column("known").to_pylist() == [True, False, True, False, True]
     (none,) = repeats._one_of_each(iter([batch.slice(0, 0)]))
     assert none.num_rows == 0
+
+
+def test_a_bucket_asks_the_store_once_for_all_its_keys():
+    import pandas as pd
+
+    class Store:
+        def __init__(self):
+            self.value, self.calls, self.timers = None, 0, set()
+
+        def getValueState(self, *_):
+            return self
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+        def getCurrentWatermarkInMs(self):
+            return 150
+
+    def put(*rows):
+        frame = pd.DataFrame(rows, columns=["key", "number", "named", "ms", "known"])
+        return sorted((r.n, r.f) for out in state.handleInputRows((0,), iter([frame]), None) for r in out.itertuples())
+
+    key = lambda n: bytes([n]) * repeats.DIGEST
+    store, state = Store(), repeats._FirstSeen("n", "f", 100)
+    state.init(store)
+    assert put(*[(key(n), n, True, n, False) for n in range(200)], (None, 900, True, 0, True)) == [(n, False) for n in range(200)] + [(900, True)]
+    assert store.calls == 1 and store.timers == {100}
+    assert put((key(7), 300, True, 60, False), (key(7), 301, True, 50, False)) == [(7, True), (300, True), (301, True)]
+    assert store.calls == 3
+    assert list(state.handleExpiredTimer((0,), store, None)) == []
+    store.timers.discard(100)
+    assert sorted(state._read()[1]) == [key(7), *(key(n) for n in range(50, 200))] and store.timers == {150}
+
+
+def test_a_missing_number_is_kept(spark, tmp_path):
+    parts = [[(None, "a", "t", START), (1, "b", "t", START)], part(1, [("a", "t")])]
+    assert run(spark, tmp_path, parts, repeats.flag_duplicate_ids_stream, "duplicate_id") == {None: True, 1: False, 100: True}
