@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import vector_to_array
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from voxtally import fixed
 from voxtally.operators import analysis as an
-from voxtally.operators import groups, similarity
+from voxtally.operators import groups, kmeans, similarity
 from voxtally.plans import pipeline
 from voxtally.sources.taxonomy import load_rules
 
@@ -155,6 +156,37 @@ def test_all_starts_in_one_pass_are_as_good_as_single_fits(spark):
     assert found.cost <= min(costs) * 1.001
 
 
+def test_vectors_are_stored_in_small_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    sizes = np.concatenate((rng.integers(0, 30, 6000), np.zeros(2000, int), [1500, 0, 3]))
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    indices, values, numbers = rng.integers(0, 5000, ends[-1]).astype(np.int32), rng.random(ends[-1]), rng.integers(-2**62, 2**62, len(sizes))
+    lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (indices, values)]
+    batch = pa.RecordBatch.from_arrays([*lists, pa.array(numbers)], ["i", "v", "h"])
+    packed = [*kmeans._pack(iter([batch.slice(0, 5), batch.slice(5), batch.slice(0, 0)]))]
+    stored = spark.createDataFrame([r for p in packed for r in p.to_pylist()], kmeans._BLOCK).coalesce(1)
+    largest = stored.selectExpr("max(length(rows) + length(indices) + length(values) + length(numbers)) AS bytes", "count(*) AS n").first()
+    assert largest.bytes < 30_000 and largest.n > 200
+
+    monkeypatch.setattr(kmeans, "VECTORS", 700)
+    monkeypatch.setattr(kmeans, "COMPONENTS", 1000)
+    portions = [x for p in packed for x in kmeans._portions(p)] + [*kmeans._portions(packed[1].slice(0, 0))]
+    assert all(len(s) <= 700 and (s.sum() <= 1000 or len(s) == 1) for s, *_ in portions)
+    for k, wanted in enumerate((sizes, indices, values, numbers)):
+        assert np.array_equal(np.concatenate([p[k] for p in portions]), wanted)
+
+
+def test_portions_and_stored_rows_make_no_difference(spark, monkeypatch):
+    df = frame(spark, [*corpus(200), None, "zzz", *["refund pending"] * 50])
+    model = similarity.tfidf_fit(df, size=12)  # a text without a listed term has an empty vector
+    whole = groups.cluster_feedback(df, k=4, model=model)
+    monkeypatch.setattr(kmeans, "ROW_BYTES", 100)
+    cut = groups.cluster_feedback(df, k=4, model=model)
+    assert np.allclose(whole.centres, cut.centres, atol=1e-9) and whole.cost == pytest.approx(cut.cost)
+    labels = [[r.cluster_id for r in c.members.orderBy("_row_number").collect()] for c in (whole, cut)]
+    assert labels[0] == labels[1]
+
+
 def test_models_are_saved_in_versions(spark, tmp_path):
     path = str(tmp_path / "models")
     with pytest.raises(FileNotFoundError, match="no model"):

@@ -1,6 +1,6 @@
 """K-Means over sparse vectors, all starts in the same passes.
 
-Vectors are packed once into blocks. A pass reads each block once and serves every start: it draws candidates for the first centres, weighs them, or assigns the
+Vectors are packed once into rows of a few KB. A pass reads each row once and serves every start: it draws candidates for the first centres, weighs them, or assigns the
 vectors and sums them up by start and cluster. First centres are chosen as in k-means||: each of two steps draws 2 k vectors for each start, with probabilities by
 their squared distance from what is drawn already (the smallest of -ln(u) / d squared, so exactly that many), and k of them are kept by weighted k-means++.
 What reaches the driver is a row for each start, cluster and component; its number does not depend on the vectors.
@@ -20,18 +20,57 @@ from voxtally.session import importable, stage
 STEPS, ROUNDS, TOLERANCE = 2, 20, 1e-4
 #: Products that a task holds at once, few enough for the cache of a core (a text is taken whole).
 CELLS = 25_000
+#: Bytes of the vectors of a stored row (a vector is taken whole): readers and writers hold rows by the thousand, however large these are.
+ROW_BYTES = 4096
+#: Vectors and components that a task works on at once (a vector is taken whole).
+VECTORS, COMPONENTS = 10_000, 500_000
 _BLOCK = "rows binary, indices binary, values binary, numbers binary"
 _FOUND = "kind string, start int, cluster int, dim int, value double, indices binary, weights binary"
 
 
+def _offsets(lists: pa.Array) -> np.ndarray:
+    """Where each list or binary value of an Arrow array begins in its data, and where the last one ends."""
+    if not len(lists):
+        return np.zeros(1, np.int64)
+    wide = pa.types.is_large_binary(lists.type) or pa.types.is_large_list(lists.type)
+    return np.frombuffer(lists.buffers()[1], np.int64 if wide else np.int32)[lists.offset: lists.offset + len(lists) + 1].astype(np.int64)
+
+
+def _binary(numbers: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of some numbers, a value for each part between two cuts."""
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts * numbers.itemsize), pa.py_buffer(np.ascontiguousarray(numbers))]).cast(pa.binary())
+
+
+def _numbers(column: pa.Array, kind) -> np.ndarray:
+    """The numbers of all values of a binary column, one after the other as Arrow holds them."""
+    ends = _offsets(column)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0]: ends[-1]].view(kind) if ends[0] < ends[-1] else np.zeros(0, kind)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("i")
         if batch.num_rows:
-            sizes = np.diff(np.asarray(lists.offsets)).astype(np.int32)
+            begins = _offsets(lists)
+            begins = begins - begins[0]
+            place = 12 * (begins[:-1] + np.arange(len(lists))) // ROW_BYTES
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(place)) + 1, [len(lists)]))
             yield pa.record_batch({
-                "rows": [sizes.tobytes()], "indices": [lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32).tobytes()],
-                "values": [batch.column("v").flatten().to_numpy(zero_copy_only=False).tobytes()], "numbers": [batch.column("h").to_numpy(zero_copy_only=False).tobytes()]})
+                "rows": _binary(np.diff(begins).astype(np.int32), cuts),
+                "indices": _binary(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), begins[cuts]),
+                "values": _binary(batch.column("v").flatten().to_numpy(zero_copy_only=False), begins[cuts]),
+                "numbers": _binary(batch.column("h").to_numpy(zero_copy_only=False), cuts)})
+
+
+def _portions(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(components of each vector, indices, values, hashes) of some vectors at a time."""
+    sizes, indices, values, numbers = (_numbers(batch.column(c), kind) for c, kind in (("rows", np.int32), ("indices", np.int32), ("values", np.float64), ("numbers", np.int64)))
+    begins = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, min(at + VECTORS, int(np.searchsorted(begins, begins[at] + COMPONENTS, side="right")) - 1))
+        yield sizes[at:end], indices[begins[at]: begins[end]], values[begins[at]: begins[end]], numbers[at:end]
+        at = end
 
 
 def _pass(kind: str, shared, dims: int, draw: int, seed: int):
@@ -62,8 +101,7 @@ def _pass(kind: str, shared, dims: int, draw: int, seed: int):
         best = [[] for _ in starts]
         sums, counts, costs = {}, np.zeros(ranges[-1]), np.zeros(len(starts))
         for batch in batches:
-            for raw in batch.to_pylist():
-                sizes, indices, values, numbers = np.frombuffer(raw["rows"], np.int32), np.frombuffer(raw["indices"], np.int32), np.frombuffer(raw["values"]), np.frombuffer(raw["numbers"], np.int64)
+            for sizes, indices, values, numbers in _portions(batch):
                 begins = np.concatenate(([0], np.cumsum(sizes)))
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 own = np.bincount(owner, weights=values * values, minlength=len(sizes))
