@@ -1,6 +1,6 @@
 """K-Means over sparse vectors, all starts in the same passes.
 
-Vectors are packed once into rows of a few KB. A pass reads each row once and serves every start: it draws candidates for the first centres, weighs them, or assigns the
+Vectors are packed once into rows of 1 KB. A pass reads each row once and serves every start: it draws candidates for the first centres, weighs them, or assigns the
 vectors and sums them up by start and cluster. First centres are chosen as in k-means||: each of two steps draws 2 k vectors for each start, with probabilities by
 their squared distance from what is drawn already (the smallest of -ln(u) / d squared, so exactly that many), and k of them are kept by weighted k-means++.
 What reaches the driver is a row for each start, cluster and component; its number does not depend on the vectors.
@@ -21,7 +21,7 @@ STEPS, ROUNDS, TOLERANCE = 2, 20, 1e-4
 #: Products that a task holds at once, few enough for the cache of a core (a text is taken whole).
 CELLS = 25_000
 #: Bytes of the vectors of a stored row (a vector is taken whole): readers and writers hold rows by the thousand, however large these are.
-ROW_BYTES = 4096
+ROW_BYTES = 1024
 #: Vectors and components that a task works on at once (a vector is taken whole).
 VECTORS, COMPONENTS = 10_000, 500_000
 _BLOCK = "rows binary, indices binary, values binary, numbers binary"
